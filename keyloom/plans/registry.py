@@ -1,6 +1,335 @@
-def queries():
-    return {}
+"""Queries by name, each with the statement it is held against where SQL can express it."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import exprs as X
+from ..operators import arrays, bitmaps, control, geo, hashes, jsondocs, keyspace, lists, modules, scripting, sets, sketches, state, streams, strings, timeseries, vectors, zsets
+from ..sources.catalog import Catalog
+from .relations import statement
+
+NOW = 500_000
+_QUERIES: dict[str, Callable[[Catalog], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, build: Callable[[Catalog], DataFrame], relations: str = "", sql: str | None = None) -> None:
+    _QUERIES[name] = build
+    if sql is not None:
+        _SQL[name] = statement(relations, sql)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: (lambda spark, sf_dir, build=build: build(Catalog(spark, sf_dir))) for name, build in _QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def values(c: Catalog, schema: str, *rows: tuple) -> DataFrame:
+    return c.spark.createDataFrame([tuple(r) for r in rows], schema)
+
+
+C = F.col
+
+# Keyspace
+_KEYS = lambda c: keyspace.keyspace(string=c.kv(NOW), hash=c.h, set=c.s, zset=c.z)
+_KEYS_SQL = ", ks AS (SELECT DISTINCT key, 'string' AS type FROM kv UNION ALL SELECT DISTINCT key, 'hash' FROM h UNION ALL SELECT DISTINCT key, 'set' FROM s UNION ALL SELECT DISTINCT key, 'zset' FROM z) "
+_PROBES = [(1, "cust:1"), (2, "cust:7"), (3, "cust:700"), (4, "nobody"), (5, "cust:1"), (6, "cust:22"), (7, "cust:9")]
+_PROBES_SQL = ", probes(ord, key) AS (VALUES " + ", ".join(f"({o}, '{k}')" for o, k in _PROBES) + ") "
+_probes = lambda c: values(c, "ord int, key string", *_PROBES)
+
+query("scan", lambda c: keyspace.scan(_KEYS(c), "cust:1*5", "string", "cust:1", 50), "kv h s z", _KEYS_SQL + "SELECT key, type FROM ks WHERE type = 'string' AND key > 'cust:1' AND key LIKE 'cust:1%5' AND length(key) >= 7 ORDER BY key LIMIT 50")
+query("keys_glob", lambda c: keyspace.scan(_KEYS(c), "cust:12*"), "kv h s z", _KEYS_SQL + "SELECT key, type FROM ks WHERE starts_with(key, 'cust:12')")
+query("dbsize", lambda c: keyspace.dbsize(_KEYS(c)), "kv h s z", _KEYS_SQL + "SELECT count(*) AS size FROM ks")
+query("type", lambda c: keyspace.types(keyspace.keyspace(string=c.kv(NOW)), _probes(c)), "kv", _PROBES_SQL + "SELECT ord, key, CASE WHEN key IN (SELECT key FROM kv) THEN 'string' ELSE 'none' END AS type FROM probes")
+query("exists", lambda c: keyspace.exists(c.kv(NOW), _probes(c)), "kv", _PROBES_SQL + "SELECT count(*) AS n FROM probes WHERE key IN (SELECT key FROM kv)")
+query("del_count", lambda c: keyspace.removed(c.kv(NOW), _probes(c)), "kv", _PROBES_SQL + "SELECT count(*) AS n FROM kv WHERE key IN (SELECT key FROM probes)")
+query("del", lambda c: state.delete(c.kv(NOW), _probes(c), ["key"]).select("key"), "kv", _PROBES_SQL + "SELECT key FROM kv WHERE key NOT IN (SELECT key FROM probes)")
+query("ttl", lambda c: keyspace.ttls(c.kv(NOW), _probes(c), NOW), "kv", _PROBES_SQL + """SELECT p.ord, p.key, CAST(CASE WHEN kv.key IS NULL THEN -2 WHEN expire_at_ms IS NULL THEN -1 ELSE ceil((expire_at_ms - 500000) / 1000) END AS BIGINT) AS ttl,
+ CAST(CASE WHEN kv.key IS NULL THEN -2 WHEN expire_at_ms IS NULL THEN -1 ELSE expire_at_ms - 500000 END AS BIGINT) AS pttl,
+ CAST(CASE WHEN kv.key IS NULL THEN -2 WHEN expire_at_ms IS NULL THEN -1 ELSE expire_at_ms // 1000 END AS BIGINT) AS expiretime,
+ CAST(CASE WHEN kv.key IS NULL THEN -2 WHEN expire_at_ms IS NULL THEN -1 ELSE expire_at_ms END AS BIGINT) AS pexpiretime FROM probes p LEFT JOIN kv ON kv.key = p.key""")
+for _flag, _cond in ((None, "TRUE"), ("NX", "expire_at_ms IS NULL"), ("XX", "expire_at_ms IS NOT NULL"), ("GT", "coalesce(900000 > expire_at_ms, FALSE)"), ("LT", "coalesce(900000 < expire_at_ms, TRUE)")):
+    query(
+        f"expireat{'_' + _flag.lower() if _flag else ''}", lambda c, f=_flag: keyspace.expire(c.kv(NOW), c.kv(NOW).filter("value LIKE '%5'").select("key"), F.lit(900_000).cast("bigint"), NOW, f).select("key", "expire_at_ms"),
+        "kv", f"SELECT key, CASE WHEN value LIKE '%5' AND {_cond} THEN 900000 ELSE expire_at_ms END AS expire_at_ms FROM kv",
+    )
+query("expire_past", lambda c: keyspace.expire(c.kv(NOW), _probes(c).select("key").distinct(), F.lit(1).cast("bigint"), NOW).select("key"), "kv", _PROBES_SQL + "SELECT key FROM kv WHERE key NOT IN (SELECT key FROM probes)")
+query("persist", lambda c: keyspace.persist(c.kv(NOW), c.kv(NOW).filter("value LIKE '%4'").select("key")).select("key", "expire_at_ms"), "kv", "SELECT key, CASE WHEN value LIKE '%4' THEN NULL ELSE expire_at_ms END AS expire_at_ms FROM kv")
+query("copy", lambda c: keyspace.copy(c.kv(NOW), "cust:1", "cust:2", True).select("key", "value"), "kv", "SELECT key, CASE WHEN key = 'cust:2' THEN (SELECT value FROM kv WHERE key = 'cust:1') ELSE value END AS value FROM kv")
+query("rename", lambda c: keyspace.rename(c.kv(NOW), "cust:1", "moved").select("key", "value"), "kv", "SELECT CASE WHEN key = 'cust:1' THEN 'moved' ELSE key END AS key, value FROM kv")
+query("renamenx", lambda c: keyspace.rename(c.kv(NOW), "cust:1", "cust:2", True).select("key", "value"), "kv", "SELECT key, value FROM kv")
+query("sort_limit", lambda c: keyspace.sort(c.s, desc=True, offset=2, count=5).select("key", "member", C("rn").cast("bigint").alias("rn")), "s", "SELECT key, member, rn FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CAST(member AS DOUBLE) DESC, member DESC) - 1 AS rn FROM s) WHERE rn BETWEEN 2 AND 6")
+query("sort_alpha", lambda c: keyspace.sort(c.s, alpha=True, count=7).select("key", "member"), "s", "SELECT key, member FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY member) AS rn FROM s) WHERE rn <= 7")
+query("dump_restore", lambda c: keyspace.restore(keyspace.dump(c.kv(NOW))), "kv", "SELECT key, value, expire_at_ms FROM kv")
+query("randomkey", lambda c: keyspace.randomkey(c.kv(NOW)).select("key"))
+
+# Strings
+query("mget", lambda c: strings.mget(c.kv(NOW), _probes(c)), "kv", _PROBES_SQL + "SELECT p.ord, p.key, kv.value FROM probes p LEFT JOIN kv ON kv.key = p.key")
+query("batch_get_governed", lambda c: strings.mget(c.kv(NOW, ["g1"]), _probes(c)), "kv_all", _PROBES_SQL + "SELECT p.ord, p.key, k.value FROM probes p LEFT JOIN (SELECT * FROM kv_all WHERE (expire_at_ms IS NULL OR expire_at_ms > 500000) AND (governance IS NULL OR governance = 'g1')) k ON k.key = p.key")
+query("strlen", lambda c: c.table("documents").select("doc_id", F.octet_length("text").cast("bigint").alias("n")), "", "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n FROM documents")
+query("getrange", lambda c: c.kv(NOW).select("key", strings.getrange(C("value"), 2, -3).alias("piece")), "kv", "SELECT key, substr(value, 3, length(value) - 4) AS piece FROM kv")
+query("getrange_before", lambda c: c.kv(NOW).select("key", strings.getrange(C("value"), 0, -99).alias("piece")), "kv", "SELECT key, substr(value, 1, 1) AS piece FROM kv")
+query("setrange", lambda c: c.kv(NOW).select("key", strings.setrange(C("value"), 3, "XY").alias("value")), "kv", "SELECT key, substr(value, 1, 3) || 'XY' || substr(value, 6) AS value FROM kv")
+query("append", lambda c: strings.appended(c.items.select("key", "seq", C("item").alias("piece"))).select("key", "bytes", F.md5("value").alias("digest")), "items", "SELECT key, CAST(strlen(v) AS INT) AS bytes, md5(v) AS digest FROM (SELECT key, string_agg(item, '' ORDER BY seq) AS v FROM items GROUP BY key)")
+query("incr_running", lambda c: strings.running(c.counters), "counters", "SELECT key, seq, CAST(sum(delta) OVER (PARTITION BY key ORDER BY seq) AS BIGINT) AS value FROM counters")
+query("incrby", lambda c: strings.totals(c.counters), "counters", "SELECT key, CAST(sum(delta) AS BIGINT) AS value FROM counters GROUP BY key")
+query("decrby", lambda c: strings.totals(c.counters.select("key", "seq", (-C("delta")).alias("delta"))), "counters", "SELECT key, CAST(-sum(delta) AS BIGINT) AS value FROM counters GROUP BY key")
+query("incrbyfloat", lambda c: c.events.groupBy(C("user_id").cast("string").alias("key")).agg(F.round(F.sum("value"), 6).alias("value")), "ev", "SELECT CAST(user_id AS VARCHAR) AS key, round(sum(value), 6) AS value FROM ev GROUP BY 1")
+query(
+    "increx", lambda c: strings.bounded(c.counters.select("key", "seq", F.when(C("seq") % 2 == 0, -C("delta")).otherwise(C("delta")).alias("delta")), -50, 200), "counters",
+    """, o AS (SELECT key, CASE WHEN seq % 2 = 0 THEN -delta ELSE delta END AS d, row_number() OVER (PARTITION BY key ORDER BY seq) AS rn FROM counters),
+ f AS (SELECT key, rn, greatest(least(d, 200), -50) AS v FROM o WHERE rn = 1 UNION ALL SELECT f.key, o.rn, greatest(least(f.v + o.d, 200), -50) FROM f JOIN o ON o.key = f.key AND o.rn = f.rn + 1)
+ SELECT key, CAST(max_by(v, rn) AS BIGINT) AS value FROM f GROUP BY key""",
+)
+query("getset_lag", lambda c: strings.getset(c.counters.select("key", "seq", C("delta").alias("value"))), "counters", "SELECT key, seq, delta AS value, lag(delta) OVER (PARTITION BY key ORDER BY seq) AS old FROM counters")
+_NEW = [("cust:1", "one"), ("fresh", "two"), ("cust:4", "three")]
+_NEW_SQL = ", new(key, value) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _NEW) + ") "
+_new = lambda c: values(c, "key string, value string", *_NEW)
+query("set", lambda c: strings.set_if(c.kv(NOW), _new(c)).select("key", "value", "expire_at_ms"), "kv", _NEW_SQL + "SELECT key, value, expire_at_ms FROM kv WHERE key NOT IN (SELECT key FROM new) UNION ALL SELECT key, value, NULL FROM new")
+query("set_xx", lambda c: strings.set_if(c.kv(NOW), _new(c), "XX").select("key", "value"), "kv", _NEW_SQL + "SELECT kv.key, coalesce(new.value, kv.value) AS value FROM kv LEFT JOIN new ON new.key = kv.key")
+query("setnx", lambda c: strings.setnx(c.kv(NOW), _new(c)).select("key", "value"), "kv", _NEW_SQL + "SELECT key, value FROM kv UNION ALL SELECT key, value FROM new WHERE key NOT IN (SELECT key FROM kv)")
+query("msetnx", lambda c: strings.msetnx(c.kv(NOW).select("key", "value"), _new(c)), "kv", "SELECT key, value FROM kv")
+query("digest", lambda c: c.kv(NOW).select("key", strings.digest(C("value")).alias("digest")))
+query("lcs", lambda c: strings.lcs(c.table("part").select(C("p_partkey").alias("id"), C("p_name").alias("a"), C("p_type").alias("b"))))
+
+# Bits
+query("getbit", lambda c: c.kv(NOW).select("key", bitmaps.getbit(C("value"), 10).alias("bit")), "kv", "SELECT key, CAST((ascii(substr(value, 2, 1)) >> 5) & 1 AS INT) AS bit FROM kv")
+query("bitcount", lambda c: c.kv(NOW).select("key", bitmaps.bitcount(C("value")).cast("bigint").alias("n")), "kv", "SELECT key, CAST(bit_count(CAST(encode(value) AS BIT)) AS BIGINT) AS n FROM kv")
+query("bitpos", lambda c: c.kv(NOW).select("key", bitmaps.bitpos(C("value"), 1).alias("at")), "kv", "SELECT key, CAST(bit_position('1'::BIT, CAST(encode(value) AS BIT)) - 1 AS BIGINT) AS at FROM kv")
+query("bitop_xor", lambda c: c.kv(NOW).select("key", bitmaps.bitop("XOR", C("value"), C("key")).alias("hex")))
+query("bitfield_get", lambda c: c.kv(NOW).select("key", bitmaps.bitfield_get(C("value"), 0, 8).alias("u8")), "kv", "SELECT key, CAST(ascii(value) AS BIGINT) AS u8 FROM kv")
+for _op, _sql in (("AND", "SELECT bit FROM bits WHERE key = 'click' INTERSECT SELECT bit FROM bits WHERE key = 'view'"), ("OR", "SELECT bit FROM bits WHERE key IN ('click', 'view')  GROUP BY bit"), ("XOR", "SELECT bit FROM bits WHERE key IN ('click', 'view') GROUP BY bit HAVING count(*) = 1"), ("DIFF", "SELECT bit FROM bits WHERE key = 'click' EXCEPT SELECT bit FROM bits WHERE key = 'view'")):
+    query(f"r_bitop_{_op.lower()}", lambda c, op=_op: bitmaps.combine(c.bits, op, ["click", "view"]), "bits", _sql)
+query("r_bitcount", lambda c: bitmaps.cardinality(c.bits), "bits", "SELECT key, count(*) AS n FROM bits GROUP BY key")
+query("r_min_max", lambda c: bitmaps.edges(c.bits), "bits", "SELECT key, min(bit) AS least, max(bit) AS most FROM bits GROUP BY key")
+query("r_rangeintarray", lambda c: bitmaps.members_between(c.bits, 10, 40), "bits", "SELECT key, bit FROM bits WHERE bit BETWEEN 10 AND 40")
+query("r_bitpos_gap", lambda c: bitmaps.first_gap(c.bits), "bits", "SELECT k.key, (SELECT min(g) FROM (SELECT 0 AS g UNION ALL SELECT bit + 1 FROM bits b WHERE b.key = k.key) WHERE g NOT IN (SELECT bit FROM bits b WHERE b.key = k.key)) AS gap FROM (SELECT DISTINCT key FROM bits) k")
+query("r_jaccard", lambda c: bitmaps.jaccard(c.bits, "signup", "error"), "bits", "SELECT CAST(count(*) FILTER (n = 2) AS DOUBLE) / count(*) AS jaccard FROM (SELECT bit, count(*) AS n FROM bits WHERE key IN ('signup', 'error') GROUP BY bit)")
+query("r_setrange", lambda c: bitmaps.set_range(c.spark, "r", 5, 60), "", "SELECT 'r' AS key, g AS bit FROM range(5, 61) AS t(g)")
+query("r_appendintarray", lambda c: c.bits.unionByName(bitmaps.set_range(c.spark, "click", 100, 200)).distinct(), "bits", "SELECT key, bit FROM bits UNION SELECT 'click', g FROM range(100, 201) AS t(g)")
+
+# Hashes
+query("hgetall", lambda c: hashes.hgetall(c.h.filter("key LIKE 'cust:1%'")).select("key", F.to_json("pairs").alias("pairs")), "h", """SELECT key, '{' || string_agg('"' || field || '":"' || value || '"', ',' ORDER BY field) || '}' AS pairs FROM h WHERE key LIKE 'cust:1%' GROUP BY key""")
+_HP = [("cust:1", "name"), ("cust:1", "none"), ("cust:5", "segment"), ("x", "name"), ("cust:15", "segment"), ("cust:900", "segment")]
+_HP_SQL = ", hp(key, field) AS (VALUES " + ", ".join(f"('{k}', '{f}')" for k, f in _HP) + ") "
+_hp = lambda c: values(c, "key string, field string", *_HP)
+query("hmget", lambda c: hashes.hmget(c.h, _hp(c)), "h", _HP_SQL + "SELECT hp.key, hp.field, h.value FROM hp LEFT JOIN h ON h.key = hp.key AND h.field = hp.field")
+query("hlen", lambda c: hashes.hlen(hashes.alive(c.h, NOW)), "h", "SELECT key, count(*) AS n FROM h WHERE field_expire_at_ms IS NULL OR field_expire_at_ms > 500000 GROUP BY key")
+query("hkeys", lambda c: c.h.select("key", "field"), "h", "SELECT key, field FROM h")
+query("hstrlen", lambda c: hashes.hstrlen(c.h, "name"), "h", "SELECT key, CAST(strlen(value) AS INT) AS n FROM h WHERE field = 'name'")
+query("hincrby", lambda c: hashes.hincrby(c.h, c.h.filter("field = 'cents'").select("key", "field", F.lit(25).cast("bigint").alias("delta"))), "h", "SELECT key, field, CAST(value AS BIGINT) + 25 AS value FROM h WHERE field = 'cents'")
+query("hset", lambda c: hashes.hset(c.h, _hp(c).withColumn("value", F.lit("v"))).select("key", "field", "value"), "h", _HP_SQL + "SELECT h.key, h.field, h.value FROM h LEFT JOIN hp ON h.key = hp.key AND h.field = hp.field WHERE hp.key IS NULL UNION ALL SELECT key, field, 'v' FROM hp")
+query("hset_created", lambda c: hashes.hset_created(c.h, _hp(c)), "h", _HP_SQL + "SELECT hp.key, count(*) FILTER (h.key IS NULL) AS created FROM hp LEFT JOIN h ON h.key = hp.key AND h.field = hp.field GROUP BY hp.key")
+query("hsetnx", lambda c: hashes.hsetnx(c.h, _hp(c).withColumn("value", F.lit("v"))).select("key", "field", "value"), "h", _HP_SQL + "SELECT key, field, value FROM h UNION ALL SELECT hp.key, hp.field, 'v' FROM hp LEFT JOIN h ON h.key = hp.key AND h.field = hp.field WHERE h.key IS NULL")
+query("hdel", lambda c: hashes.hdel(c.h, _hp(c)).select("key", "field"), "h", _HP_SQL + "SELECT h.key, h.field FROM h LEFT JOIN hp ON h.key = hp.key AND h.field = hp.field WHERE hp.key IS NULL")
+for _flag, _cond in ((None, "TRUE"), ("NX", "field_expire_at_ms IS NULL"), ("GT", "coalesce(600000 > field_expire_at_ms, FALSE)")):
+    query(f"hexpireat{'_' + _flag.lower() if _flag else ''}", lambda c, f=_flag: hashes.hexpire(c.h, _hp(c), F.lit(600_000).cast("bigint"), NOW, f), "h", _HP_SQL + f"SELECT hp.key, hp.field, CASE WHEN h.key IS NULL THEN -2 WHEN NOT {_cond} THEN 0 ELSE 1 END AS code FROM hp LEFT JOIN h ON h.key = hp.key AND h.field = hp.field")
+query("httl", lambda c: hashes.httl(c.h, _hp(c), 1000), "h", _HP_SQL + """SELECT hp.key, hp.field, CAST(CASE WHEN h.key IS NULL THEN -2 WHEN field_expire_at_ms IS NULL THEN -1 ELSE ceil((field_expire_at_ms - 1000) / 1000) END AS BIGINT) AS httl,
+ CAST(CASE WHEN h.key IS NULL THEN -2 WHEN field_expire_at_ms IS NULL THEN -1 ELSE field_expire_at_ms - 1000 END AS BIGINT) AS hpttl FROM hp LEFT JOIN h ON h.key = hp.key AND h.field = hp.field""")
+query("hrandfield", lambda c: hashes.hrandfield(c.h, 2))
+
+# Lists
+query("lrange", lambda c: lists.lrange(c.l, 0, 1), "lr", "SELECT key, i, value FROM lr WHERE i BETWEEN 0 AND 1")
+query("lrange_tail", lambda c: lists.lrange(c.l, -2, -1), "lr", "SELECT key, i, value FROM lr WHERE i >= n - 2")
+query("ltrim", lambda c: lists.lrange(c.l, 1, -2), "lr", "SELECT key, i, value FROM lr WHERE i >= 1 AND i <= n - 2")
+query("lindex", lambda c: lists.lindex(c.l, -1), "lr", "SELECT key, value FROM lr WHERE i = n - 1")
+query("llen", lambda c: lists.llen(c.l), "l", "SELECT key, count(*) AS n FROM l GROUP BY key")
+query("lpos", lambda c: lists.lpos(c.l, "3"), "lr", "SELECT key, min(i) AS i FROM lr WHERE value = '3' GROUP BY key")
+query("lpos_all_rev", lambda c: lists.lpos(c.l, "3", -1, 0), "lr", "SELECT key, i FROM lr WHERE value = '3'")
+query("lrem", lambda c: lists.lrem(c.l, -1, "3").select("key", "pos"), "l", "SELECT key, pos FROM (SELECT *, row_number() OVER (PARTITION BY key, value ORDER BY pos DESC) AS m FROM l) WHERE value <> '3' OR m > 1")
+query("linsert", lambda c: lists.linsert(c.l, "3", "new"), "lr", """, p AS (SELECT key, min(i) AS place FROM lr WHERE value = '3' GROUP BY key), u AS (SELECT key, CAST(i AS DOUBLE) AS i, value FROM lr UNION ALL SELECT key, place - 0.5, 'new' FROM p)
+ SELECT key, row_number() OVER (PARTITION BY key ORDER BY i) - 1 AS i, value FROM u""")
+query("lset", lambda c: lists.lset(c.l, -1, "last"), "lr", "SELECT key, i, CASE WHEN i = n - 1 THEN 'last' ELSE value END AS value FROM lr")
+query("rpush", lambda c: lists.push(c.l, ["a", "b"]), "l", "SELECT key, pos, value FROM l UNION ALL SELECT key, max(pos) + 1, 'a' FROM l GROUP BY key UNION ALL SELECT key, max(pos) + 2, 'b' FROM l GROUP BY key")
+query("lpush", lambda c: lists.push(c.l, ["a", "b"], left=True), "l", "SELECT key, pos, value FROM l UNION ALL SELECT key, min(pos) - 1, 'a' FROM l GROUP BY key UNION ALL SELECT key, min(pos) - 2, 'b' FROM l GROUP BY key")
+query("lpop", lambda c: lists.pop(c.l, 2)[0], "l", "SELECT key, pos, value FROM l WHERE pos < 2")
+query("rpop_rest", lambda c: lists.pop(c.l, 1, left=False)[1], "lr", "SELECT key, pos, value FROM lr WHERE i < n - 1")
+query("lmove", lambda c: lists.move(c.l.filter("key < 40"), 1, 2, True, False), "lr", """, k AS (SELECT min(key) AS a FROM l)
+ SELECT key, pos, value FROM lr WHERE key < 40 AND NOT (key = 1 AND pos = 0) UNION ALL SELECT 2, coalesce((SELECT max(pos) + 1 FROM l WHERE key = 2), 0), value FROM lr WHERE key = 1 AND pos = 0""")
+query("lmpop", lambda c: lists.mpop(c.l, [-5, 3, 4], 2), "l", "SELECT key, pos, value FROM l WHERE key = (SELECT CASE WHEN count(*) FILTER (key = 3) > 0 THEN 3 ELSE 4 END FROM l) AND pos < 2")
+
+# Sets
+query("scard", lambda c: sets.scard(c.s), "s", "SELECT key, count(*) AS n FROM s GROUP BY key")
+query("sunion", lambda c: sets.algebra(c.s, "union", ["click", "view"]), "s", "SELECT DISTINCT member FROM s WHERE key IN ('click', 'view')")
+query("sinter", lambda c: sets.algebra(c.s, "inter", ["click", "view", "error"]), "s", "SELECT member FROM s WHERE key IN ('click', 'view', 'error') GROUP BY member HAVING count(*) = 3")
+query("sdiff", lambda c: sets.algebra(c.s, "diff", ["view", "signup", "error"]), "s", "SELECT member FROM s WHERE key = 'view' EXCEPT SELECT member FROM s WHERE key IN ('signup', 'error')")
+query("sintercard", lambda c: sets.sintercard(c.s, ["click", "view"], 20), "s", "SELECT least(count(*), 20) AS n FROM (SELECT member FROM s WHERE key IN ('click', 'view') GROUP BY member HAVING count(*) = 2)")
+query("sunionstore", lambda c: sets.store(c.s, "view", sets.algebra(c.s, "union", ["click", "error"])), "s", "SELECT key, member FROM s WHERE key <> 'view' UNION ALL SELECT DISTINCT 'view', member FROM s WHERE key IN ('click', 'error')")
+query("smismember", lambda c: sets.smismember(c.s, values(c, "key string, member string", ("click", "1"), ("click", "-4"), ("none", "1"))), "s", ", p(key, member) AS (VALUES ('click', '1'), ('click', '-4'), ('none', '1')) SELECT p.key, p.member, CASE WHEN s.key IS NULL THEN 0 ELSE 1 END AS found FROM p LEFT JOIN s ON s.key = p.key AND s.member = p.member")
+query("sadd_added", lambda c: sets.sadd_added(c.s, values(c, "key string, member string", ("click", "-1"), ("click", "-2"), ("click", "-1"))), "s", "SELECT 'click' AS key, CAST(2 AS BIGINT) AS added")
+query("srem", lambda c: sets.srem(c.s, c.s.filter("member LIKE '1%'")), "s", "SELECT key, member FROM s WHERE member NOT LIKE '1%'")
+query("smove", lambda c: sets.smove(c.s, "click", "view", "1"), "s", "SELECT key, member FROM s WHERE NOT (key = 'click' AND member = '1') UNION SELECT 'view', member FROM s WHERE key = 'click' AND member = '1'")
+query("smembers", lambda c: c.s, "s", "SELECT key, member FROM s")
+query("srandmember", lambda c: sets.pick(c.s, -5))
+
+# Sorted sets
+query("zset_topk", lambda c: zsets.zrange(c.z, 0, 9, rev=True), "zr", "SELECT key, member, score, rrank AS rank FROM zr WHERE rrank < 10")
+query("zrank", lambda c: zsets.zrank(c.z), "zr", "SELECT key, member, score, rank FROM zr")
+query("zrevrank", lambda c: zsets.zrank(c.z, True), "zr", "SELECT key, member, score, rrank AS rank FROM zr")
+query("zrange_tail", lambda c: zsets.zrange(c.z, -3, -1), "zr", "SELECT key, member, score, rank FROM zr WHERE rank >= n - 3")
+query("zrangebyscore", lambda c: zsets.zrangebyscore(c.z, "(0", 1000.5), "z", "SELECT key, member, score FROM z WHERE score > 0 AND score <= 1000.5")
+query("zrangebyscore_limit", lambda c: zsets.zrangebyscore(c.z, 0, "+inf", offset=2, count=3), "z", "SELECT key, member, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, member) AS m FROM z WHERE score >= 0) WHERE m BETWEEN 3 AND 5")
+query("zrevrangebyscore_limit", lambda c: zsets.zrangebyscore(c.z, "-inf", 5000, rev=True, count=4), "z", "SELECT key, member, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, member DESC) AS m FROM z WHERE score <= 5000) WHERE m <= 4")
+query("zrangebylex", lambda c: zsets.zrangebylex(c.z, "[c1", "(c2"), "z", "SELECT key, member, score FROM z WHERE member >= 'c1' AND member < 'c2'")
+query("zcount", lambda c: zsets.zcount(c.z, "-inf", "(2000"), "z", "SELECT key, count(*) FILTER (score < 2000) AS n FROM z GROUP BY key")
+query("zlexcount", lambda c: zsets.zlexcount(c.z, "-", "[c5"), "z", "SELECT key, count(*) FILTER (member <= 'c5') AS n FROM z GROUP BY key")
+query("zcard", lambda c: zsets.zcard(c.z), "z", "SELECT key, count(*) AS n FROM z GROUP BY key")
+query("zmscore", lambda c: zsets.zmscore(c.z, c.table("customer").filter("c_custkey < 20").select(F.lit("3").alias("key"), F.concat(F.lit("c"), "c_custkey").alias("member"))), "z", "SELECT '3' AS key, 'c' || c_custkey AS member, z.score FROM customer LEFT JOIN z ON z.key = '3' AND z.member = 'c' || c_custkey WHERE c_custkey < 20")
+query("zpopmin", lambda c: zsets.zpop(c.z, 3)[0], "zr", "SELECT key, member, score FROM zr WHERE rank < 3")
+query("zpopmax_rest", lambda c: zsets.zpop(c.z, 3, True)[1], "zr", "SELECT key, member, score FROM zr WHERE rrank >= 3")
+query("zmpop", lambda c: zsets.zmpop(c.z, ["none", "3", "4"], 2), "zr", "SELECT key, member, score FROM zr WHERE key = '3' AND rank < 2")
+query("zremrangebyrank", lambda c: zsets.zremrangebyrank(c.z, 2, -3), "zr", "SELECT key, member, score FROM zr WHERE NOT rank BETWEEN 2 AND n - 3")
+query("zremrangebyscore", lambda c: zsets.zremrangebyscore(c.z, 0, "(100"), "z", "SELECT key, member, score FROM z WHERE NOT (score >= 0 AND score < 100)")
+query("zremrangebylex", lambda c: zsets.zremrangebylex(c.z, "[c1", "+"), "z", "SELECT key, member, score FROM z WHERE member < 'c1'")
+_ZD = lambda c: c.z.filter("member LIKE '%5'").select("key", "member", F.lit(500.0).alias("score")).unionByName(values(c, "key string, member string, score double", ("3", "new", 7.0)))
+for _n, _kw, _new_sql in (("", {}, "500.0"), ("_nx", {"nx": True}, "score"), ("_gt", {"gt": True}, "greatest(score, 500.0)"), ("_lt", {"lt": True}, "least(score, 500.0)"), ("_gt_incr", {"gt": True, "incr": True}, "CASE WHEN 500.0 > score THEN score + 500.0 ELSE score END")):
+    query(f"zadd{_n}", lambda c, kw=_kw: zsets.zadd(c.z, _ZD(c), **kw), "z", f"SELECT key, member, CASE WHEN member LIKE '%5' THEN {_new_sql} ELSE score END AS score FROM z UNION ALL SELECT '3', 'new', 7.0")
+query("zadd_xx", lambda c: zsets.zadd(c.z, _ZD(c), xx=True), "z", "SELECT key, member, CASE WHEN member LIKE '%5' THEN 500.0 ELSE score END AS score FROM z")
+query("zincrby", lambda c: zsets.zincrby(c.z, c.z.select("key", "member", F.lit(2.5).alias("delta"))), "z", "SELECT key, member, score + 2.5 AS score FROM z")
+for _agg in ("sum", "min", "max"):
+    query(f"zunion_{_agg}", lambda c, a=_agg: zsets.combine([c.za, c.zb], "union", [2.0, 1.0], a), "za zb", f"SELECT member, {_agg}(score) AS score FROM (SELECT member, score * 2 AS score FROM za UNION ALL SELECT member, score FROM zb) GROUP BY member")
+    query(f"zinter_{_agg}", lambda c, a=_agg: zsets.combine([c.za, c.zb], "inter", [1.0, 3.0], a), "za zb", f"SELECT member, {_agg}(score) AS score FROM (SELECT member, score FROM za UNION ALL SELECT member, score * 3 FROM zb) GROUP BY member HAVING count(*) = 2")
+query("zinter_twice", lambda c: zsets.combine([c.za, c.za, c.zb], "inter"), "za zb", "SELECT za.member, za.score * 2 + zb.score AS score FROM za JOIN zb ON za.member = zb.member")
+query("zdiff", lambda c: zsets.combine([c.za, c.zb.filter("score > 4")], "diff"), "za zb", "SELECT member, score FROM za WHERE member NOT IN (SELECT member FROM zb WHERE score > 4)")
+query("zintercard", lambda c: zsets.combine([c.za, c.zb], "inter").agg(F.least(F.count("*"), F.lit(10)).alias("n")), "za zb", "SELECT least(count(*), 10) AS n FROM za JOIN zb ON za.member = zb.member")
+query("zrandmember", lambda c: zsets.zrandmember(c.z, 2))
+
+# Geo
+query("geoadd", lambda c: geo.geoadd(c.places), "geo", "SELECT key, member, score FROM geo")
+query("geopos", lambda c: geo.geopos(geo.geoadd(c.places)).select("key", "member", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat")), "pos", "SELECT key, member, round(lon, 6) AS lon, round(lat, 6) AS lat FROM pos")
+_HAV = "2 * 6372797.560856 * asin(sqrt(power(sin((radians({b}lat) - radians({a}lat)) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * power(sin((radians({b}lon) - radians({a}lon)) / 2), 2)))"
+query("geodist", lambda c: geo.geodist(geo.geoadd(c.places), c.table("customer").select(C("c_custkey").alias("a"), (C("c_custkey") + 1).alias("b")), "km").select("a", "b", F.round("distance", 3).alias("distance")), "pos", f"SELECT c_custkey AS a, c_custkey + 1 AS b, round(({_HAV.format(a='p.', b='q.')}) / 1000, 3) AS distance FROM customer LEFT JOIN pos p ON p.member = c_custkey LEFT JOIN pos q ON q.member = c_custkey + 1")
+_G = geo.quantised(10.0, 20.0)
+_CENTRE = f", c AS (SELECT CAST({_G[0]!r} AS DOUBLE) AS lon, CAST({_G[1]!r} AS DOUBLE) AS lat) "
+query("georadius", lambda c: geo.search_radius(geo.geoadd(c.places), 10.0, 20.0, 5000, "km").select("key", "member", F.round("distance", 3).alias("distance")), "pos", _CENTRE + f"SELECT p.key, p.member, round(({_HAV.format(a='c.', b='p.')}) / 1000, 3) AS distance FROM pos p CROSS JOIN c WHERE ({_HAV.format(a='c.', b='p.')}) <= 5000000")
+query("georadius_count", lambda c: geo.search_radius(geo.geoadd(c.places), 10.0, 20.0, 15000, "km", 10).select("member", F.round("distance", 3).alias("distance")), "pos", _CENTRE + f"SELECT p.member, round(({_HAV.format(a='c.', b='p.')}) / 1000, 3) AS distance FROM pos p CROSS JOIN c ORDER BY ({_HAV.format(a='c.', b='p.')}), p.member LIMIT 10")
+query("georadiusbymember", lambda c: geo.search_member(geo.geoadd(c.places), 100, 6000, "km").select("key", "member", F.round("distance", 3).alias("distance")), "pos", f", c AS (SELECT lon, lat FROM pos WHERE member = 100) SELECT p.key, p.member, round(({_HAV.format(a='c.', b='p.')}) / 1000, 3) AS distance FROM pos p CROSS JOIN c WHERE ({_HAV.format(a='c.', b='p.')}) / 1000 <= 6000")
+query("geosearch_box", lambda c: geo.search_box(geo.geoadd(c.places), 10.0, 20.0, 8000, 6000, "km").select("key", "member", F.round("distance", 3).alias("distance")), "pos", _CENTRE + f", q AS (SELECT p.*, c.lon AS clon, c.lat AS clat FROM pos p CROSS JOIN c) SELECT key, member, round((2 * 6372797.560856 * asin(sqrt(power(sin((radians(lat) - radians(clat)) / 2), 2) + cos(radians(clat)) * cos(radians(lat)) * power(sin((radians(lon) - radians(clon)) / 2), 2)))) / 1000, 3) AS distance FROM q WHERE 2 * 6372797.560856 * asin(sqrt(power(cos(radians(clat)) * sin((radians(lon) - radians(clon)) / 2), 2))) <= 4000000 AND 2 * 6372797.560856 * asin(sqrt(power(sin((radians(lat) - radians(clat)) / 2), 2))) <= 3000000")
+query("geohash", lambda c: geo.geohashes(geo.geoadd(c.places)), "geo", "SELECT key, member, " + " || ".join(f"substr('{X.GEOHASH}', CAST(((score >> {47 - 5 * i}) & 31) + 1 AS INT), 1)" for i in range(10) if 47 - 5 * i >= 0) + f" || substr('{X.GEOHASH}', CAST(((score << 3) & 31) + 1 AS INT), 1) AS geohash FROM geo")
+query("geo_join", lambda c: geo.join_radius(geo.geoadd(c.places.filter("member % 2 = 0")), geo.geoadd(c.places.filter("member % 2 = 1")), 300_000).select("a_member", "b_member", F.round("distance", 2).alias("distance")), "pos", f"SELECT p.member AS a_member, q.member AS b_member, round({_HAV.format(a='p.', b='q.')}, 2) AS distance FROM pos p JOIN pos q ON p.member % 2 = 0 AND q.member % 2 = 1 WHERE ({_HAV.format(a='p.', b='q.')}) <= 300000")
+
+# Streams
+_MID = lambda c: c.events.agg(F.min("ms").alias("lo"), F.max("ms").alias("hi")).first()
+query("xlen", lambda c: streams.xlen(c.x), "x", "SELECT key, count(*) AS n FROM x GROUP BY key")
+query("xrange", lambda c: streams.xrange(c.x, "1704067200000", "1704500000000-9999"), "x", "SELECT key, ms, seq, \"user\", value FROM x WHERE ms >= 1704067200000 AND (ms < 1704500000000 OR (ms = 1704500000000 AND seq <= 9999))")
+query("xrange_count", lambda c: streams.xrange(c.x, count=5).select("key", "ms", "seq"), "xn", "SELECT key, ms, seq FROM xn WHERE up <= 5")
+query("xrevrange_count", lambda c: streams.xrange(c.x, count=5, rev=True).select("key", "ms", "seq"), "xn", "SELECT key, ms, seq FROM xn WHERE down <= 5")
+query("xread", lambda c: streams.xread(c.x, c.x.groupBy("key").agg((F.min("ms") + 86_400_000).alias("c_ms"), F.lit(0).alias("c_seq")), 7).select("key", "ms", "seq"), "x", ", cur AS (SELECT key, min(ms) + 86400000 AS c FROM x GROUP BY key) SELECT key, ms, seq FROM (SELECT x.*, row_number() OVER (PARTITION BY x.key ORDER BY ms, seq) AS m FROM x JOIN cur ON x.key = cur.key WHERE ms > c OR (ms = c AND seq > 0)) WHERE m <= 7")
+query("xtrim", lambda c: streams.xtrim(c.x, 100).select("key", "ms", "seq"), "xn", "SELECT key, ms, seq FROM xn WHERE down <= 100")
+query("xdel", lambda c: streams.xdel(c.x, c.x.filter("seq % 3 = 0").select("key", "ms", "seq")).select("key", "ms", "seq"), "x", "SELECT key, ms, seq FROM x WHERE seq % 3 <> 0")
+query("xinfo", lambda c: streams.xinfo(c.x), "xn", "SELECT key, count(*) AS length, max(ms) FILTER (up = 1) AS first_ms, max(seq) FILTER (up = 1) AS first_seq, max(ms) FILTER (down = 1) AS last_ms, max(seq) FILTER (down = 1) AS last_seq FROM xn GROUP BY key")
+
+# Sparse arrays
+query("ar_get_range", lambda c: arrays.argetrange(c.a.filter("key < 200"), 1, 4), "a", "SELECT k.key, g AS idx, a.value FROM (SELECT DISTINCT key FROM a WHERE key < 200) k CROSS JOIN range(1, 5) AS t(g) LEFT JOIN a ON a.key = k.key AND a.idx = g")
+query("ar_scan", lambda c: arrays.arscan(c.a, 2, 6, 2), "a", "SELECT key, idx, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY idx) AS m FROM a WHERE idx BETWEEN 2 AND 6) WHERE m <= 2")
+query("ar_grep", lambda c: arrays.argrep(c.a, 1, 5, [("GLOB", "1*"), ("EXACT", "27")]), "a", "SELECT key, idx, value FROM a WHERE idx BETWEEN 1 AND 5 AND (starts_with(CAST(value AS VARCHAR), '1') OR value = 27)")
+query("ar_op", lambda c: arrays.arop(c.a, 1, 5, 10), "a", "SELECT key, count(*) AS used, count(*) FILTER (value = 10) AS matches, CAST(sum(value) AS BIGINT) AS total, min(value) AS least, max(value) AS most, bit_and(value) AS all_and, bit_or(value) AS all_or, bit_xor(value) AS all_xor FROM a WHERE idx BETWEEN 1 AND 5 GROUP BY key")
+query("ar_info", lambda c: arrays.arinfo(c.a), "a", "SELECT key, count(*) AS count, max(idx) + 1 AS length FROM a GROUP BY key")
+query("ar_del_range", lambda c: arrays.ardelrange(c.a, 2, 3), "a", "SELECT key, idx, value FROM a WHERE idx NOT BETWEEN 2 AND 3")
+query("ar_ring", lambda c: arrays.arring(c.items.select("key", "seq", C("item").alias("value")), 8), "items", ", o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) - 1 AS n FROM items) SELECT key, CAST(n % 8 AS BIGINT) AS idx, max_by(item, n) AS value FROM o GROUP BY 1, 2")
+query("ar_lastitems", lambda c: arrays.arlastitems(c.items, 3), "items", "SELECT key, item, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS m FROM items) WHERE m <= 3")
+
+# Vectors. The queries of a search are a stated set: ten elements against all.
+_QS = lambda c: [(r.element, r.vector) for r in c.v.filter("element < 10").select("element", "vector").collect()]
+_COS = "list_cosine_similarity(q.vector, v.vector)"
+query("vsim_topk", lambda c: vectors.vsim(c.v, _QS(c), 10).select("query", "element", F.round("score", 6).alias("score"), C("rank").cast("bigint").alias("rank")), "v", f"SELECT query, element, round(s, 6) AS score, rank FROM (SELECT q.element AS query, v.element, {_COS} AS s, row_number() OVER (PARTITION BY q.element ORDER BY {_COS} DESC, v.element) AS rank FROM v q JOIN v ON q.element < 10) WHERE rank <= 10")
+query("vsim_filter", lambda c: vectors.vsim(c.v, _QS(c), 5, ".label >= 3 && .label != 5").select("query", "element", F.round("score", 6).alias("score")), "v", f"SELECT query, element, round(s, 6) AS score FROM (SELECT q.element AS query, v.element, {_COS} AS s, row_number() OVER (PARTITION BY q.element ORDER BY {_COS} DESC, v.element) AS rank FROM v q JOIN v ON q.element < 10 AND v.label >= 3 AND v.label <> 5) WHERE rank <= 5")
+query("semantic_search", lambda c: vectors.semantic_search(c.v.filter("element >= 10"), _QS(c), 0.2).select("query", "element", F.round("score", 6).alias("score")), "v", f"SELECT query, element, round(s, 6) AS score FROM (SELECT q.element AS query, v.element, {_COS} AS s, row_number() OVER (PARTITION BY q.element ORDER BY {_COS} DESC, v.element) AS rank FROM v q JOIN v ON q.element < 10 AND v.element >= 10 WHERE {_COS} >= 0.2) WHERE rank = 1")
+query("semantic_governed", lambda c: vectors.semantic_search(c.v.filter("element >= 10").withColumn("governance", F.when(C("element") % 3 == 0, F.concat(F.lit("t"), (C("element") % 2).cast("string")))), _QS(c), 0.2, ["t0"]).select("query", "element"), "v", f"SELECT query, element FROM (SELECT q.element AS query, v.element, row_number() OVER (PARTITION BY q.element ORDER BY {_COS} DESC, v.element) AS rank FROM v q JOIN v ON q.element < 10 AND v.element >= 10 WHERE {_COS} >= 0.2 AND (v.element % 3 <> 0 OR v.element % 2 = 0)) WHERE rank = 1")
+query("vinfo", lambda c: vectors.vinfo(c.v), "v", "SELECT count(*) AS size, CAST(max(len(vector)) AS INT) AS dim FROM v")
+query("vreduce", lambda c: c.v.select("element", F.round(vectors.reduced(C("vector"), 64, 4)[1], 6).alias("second")), "v", "SELECT element, round(list_sum(vector[17:32]) / 16, 6) AS second FROM v")
+query("vquantise", lambda c: c.v.select("element", F.aggregate(vectors.quantised(C("vector"), "BIN"), F.lit(0), lambda a, x: a + x).alias("positive")), "v", "SELECT element, CAST(len(list_filter(vector, lambda x: x > 0)) AS INT) AS positive FROM v")
+query("vrange", lambda c: vectors.vrange(c.v, "[1", "(3"), "v", "SELECT element FROM v WHERE CAST(element AS VARCHAR) >= '1' AND CAST(element AS VARCHAR) < '3'")
+query("lsh_candidates", lambda c: vectors.lsh_candidates(c.v))
+
+# Exact sketches
+query("pfcount_exact", lambda c: sketches.pfcount(c.s), "s", "SELECT key, count(DISTINCT member) AS n FROM s GROUP BY key")
+query("pfcount_union", lambda c: sketches.pfcount(c.s, ["click", "signup"]), "s", "SELECT count(DISTINCT member) AS n FROM s WHERE key IN ('click', 'signup')")
+query("pfmerge", lambda c: sketches.pfmerge(c.s, "view", ["click", "signup"]), "s", "SELECT key, member FROM s WHERE key <> 'view' UNION ALL SELECT DISTINCT 'view', member FROM s WHERE key IN ('click', 'signup')")
+query("bf_add", lambda c: sketches.first_seen(c.items), "items", "SELECT key, item, seq, CASE WHEN row_number() OVER (PARTITION BY key, item ORDER BY seq) = 1 THEN 1 ELSE 0 END AS added FROM items")
+_IP = ", p(key, item) AS (VALUES ('click', '1'), ('view', '77'), ('view', 'none')) "
+_ip = lambda c: values(c, "key string, item string", ("click", "1"), ("view", "77"), ("view", "none"))
+query("bf_exists", lambda c: sketches.contains(c.items, _ip(c)), "items", _IP + "SELECT p.key, p.item, CASE WHEN EXISTS (SELECT 1 FROM items i WHERE i.key = p.key AND i.item = p.item) THEN 1 ELSE 0 END AS found FROM p")
+query("bf_card", lambda c: sketches.card(c.items), "items", "SELECT key, count(DISTINCT item) AS n FROM items GROUP BY key")
+query("cf_count", lambda c: sketches.counts(c.items), "items", "SELECT key, item, count(*) AS cnt FROM items GROUP BY key, item")
+query("cf_del", lambda c: sketches.cuckoo_counts(c.items.withColumn("sign", F.when(C("seq") % 3 == 0, -1).otherwise(1))), "items", """, o AS (SELECT key, item, CASE WHEN seq % 3 = 0 THEN -1 ELSE 1 END AS d, row_number() OVER (PARTITION BY key, item ORDER BY seq) AS rn FROM items),
+ f AS (SELECT key, item, rn, greatest(d, 0) AS v FROM o WHERE rn = 1 UNION ALL SELECT f.key, f.item, o.rn, greatest(f.v + o.d, 0) FROM f JOIN o ON o.key = f.key AND o.item = f.item AND o.rn = f.rn + 1)
+ SELECT key, item, CAST(max_by(v, rn) AS INT) AS cnt FROM f GROUP BY key, item HAVING max_by(v, rn) > 0""")
+query("cms_query", lambda c: sketches.cms_query(c.items, _ip(c)), "items", _IP + "SELECT p.key, p.item, (SELECT count(*) FROM items i WHERE i.key = p.key AND i.item = p.item) AS cnt FROM p")
+query("cms_merge", lambda c: sketches.cms_merge(c.items, ["click", "view"]), "items", "SELECT item, count(*) AS cnt FROM items WHERE key IN ('click', 'view') GROUP BY item")
+query("cms_info", lambda c: sketches.cms_info(c.items), "items", "SELECT key, greatest(count(DISTINCT item), 1) AS width, 1 AS depth, count(DISTINCT item) AS count FROM items GROUP BY key")
+_TOP = ", t AS (SELECT key, item, count(*) AS cnt, min(seq) AS f FROM items GROUP BY key, item), r AS (SELECT key, item, cnt, row_number() OVER (PARTITION BY key ORDER BY cnt DESC, f, item) AS rank FROM t) "
+query("topk_list", lambda c: sketches.topk_list(c.items, 5).withColumn("rank", C("rank").cast("bigint")), "items", _TOP + "SELECT key, item, cnt, rank FROM r WHERE rank <= 5")
+query("topk_query", lambda c: sketches.topk_query(c.items, 50, _ip(c)), "items", _TOP + _IP.strip() + " SELECT p.key, p.item, CASE WHEN r.rank <= 50 THEN 1 ELSE 0 END AS found FROM p LEFT JOIN r ON r.key = p.key AND r.item = p.item")
+query("tdigest_quantile", lambda c: sketches.quantiles(c.samples, [0.0, 0.5, 0.95, 1.0]), "sr", "SELECT key, CAST(q AS DOUBLE) AS q, value FROM sr JOIN (VALUES (0.0), (0.5), (0.95), (1.0)) AS t(q) ON rn = CAST(round((n - 1) * CAST(q AS DOUBLE)) AS BIGINT)")
+query("tdigest_ranks", lambda c: sketches.ranks(c.samples, 50.0), "samples", "SELECT key, avg(CAST(value <= 50.0 AS DOUBLE)) AS cdf, count(*) FILTER (value < 50.0) AS rank, count(*) FILTER (value > 50.0) AS revrank FROM samples GROUP BY key")
+query("tdigest_byrank", lambda c: sketches.by_rank(c.samples, 3), "sr", "SELECT key, value FROM sr WHERE rn = 3")
+query("tdigest_byrevrank", lambda c: sketches.by_rank(c.samples, 3, True), "sr", "SELECT key, value FROM sr WHERE rn = n - 4")
+query("tdigest_trimmed_mean", lambda c: sketches.trimmed_mean(c.samples, 0.1, 0.9).select("key", F.round("mean", 6).alias("mean")), "sr", "SELECT key, round(avg(value), 6) AS mean FROM sr WHERE rn BETWEEN floor((n - 1) * CAST(0.1 AS DOUBLE)) AND ceil((n - 1) * CAST(0.9 AS DOUBLE)) GROUP BY key")
+query("tdigest_min_max", lambda c: sketches.extremes(c.samples), "samples", "SELECT key, min(value) AS least, max(value) AS most, count(value) AS nodes FROM samples GROUP BY key")
+
+# JSON
+query("json_get", lambda c: jsondocs.get(c.j, "$.k"), "j", "SELECT key, CAST(json_extract(doc, '$.k') AS VARCHAR) AS value FROM j")
+query("json_type", lambda c: jsondocs.types(c.j, ".k"), "j", "SELECT key, CASE WHEN json_type(doc, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' END AS type FROM j")
+query("json_deep_path", lambda c: jsondocs.get(c.j, "$.k.x"), "j", "SELECT key, CAST(NULL AS VARCHAR) AS value FROM j")
+query("json_objkeys", lambda c: jsondocs.objkeys(c.j), "j", "SELECT key, unnest(json_keys(doc)) AS field FROM j")
+query("json_objlen", lambda c: jsondocs.objlen(c.j), "j", "SELECT key, CAST(len(json_keys(doc)) AS INT) AS n FROM j")
+query("json_arrlen", lambda c: jsondocs.arrlen(c.j, ".k"), "j", "SELECT key, 0 AS n FROM j")
+query("json_numincrby", lambda c: jsondocs.number(c.j, ".k", 2.5), "j", "SELECT key, CAST(json_extract_string(doc, '$.k') AS DOUBLE) + 2.5 AS value FROM j")
+query("json_nummultby", lambda c: jsondocs.number(c.j, ".k", 3.0, True), "j", "SELECT key, CAST(json_extract_string(doc, '$.k') AS DOUBLE) * 3.0 AS value FROM j")
+query("json_memory", lambda c: jsondocs.memory(c.j), "j", "SELECT key, CAST(strlen(replace(doc, ' ', '')) AS INT) AS bytes FROM j")
+query("json_set", lambda c: jsondocs.rewrite(c.j, jsondocs.set_field, "z", 1), "j", "SELECT key, replace(rtrim(doc, '}'), ' ', '') || ',\"z\":1}' AS doc FROM j")
+query("json_del", lambda c: jsondocs.rewrite(c.j, jsondocs.del_field, "k"), "j", "SELECT key, '{}' AS doc FROM j")
+query("json_merge", lambda c: jsondocs.rewrite(c.j, jsondocs.merge, {"k": None, "m": {"a": 1}}), "j", "SELECT key, '{\"m\":{\"a\":1}}' AS doc FROM j")
+query("json_clear", lambda c: jsondocs.rewrite(c.j, jsondocs.clear), "j", "SELECT key, '{}' AS doc FROM j")
+
+# Time series
+query("ts_range", lambda c: timeseries.between(c.ts, 1704067200000, 1704240000000), "ts", "SELECT key, ts, value FROM ts WHERE ts BETWEEN 1704067200000 AND 1704240000000")
+query("ts_get", lambda c: timeseries.last(c.ts), "ts", "SELECT key, max(ts) AS ts, arg_max(value, ts) AS value FROM ts GROUP BY key")
+query("ts_mget", lambda c: timeseries.mget(c.ts, c.series, length="odd"), "ts", "SELECT key, max(ts) AS ts, arg_max(value, ts) AS value FROM ts WHERE length(key) % 2 = 1 GROUP BY key")
+query("ts_mrange", lambda c: timeseries.mrange(c.ts, c.series, 1704067200000, 1704240000000, type="view"), "ts", "SELECT key, ts, value FROM ts WHERE ts BETWEEN 1704067200000 AND 1704240000000 AND key = 'view'")
+query("ts_queryindex", lambda c: timeseries.matching(c.series, length="even"), "ts", "SELECT DISTINCT key FROM ts WHERE length(key) % 2 = 0")
+query("ts_del", lambda c: timeseries.delete(c.ts, 1704067200000, 1704240000000), "ts", "SELECT key, ts, value FROM ts WHERE ts NOT BETWEEN 1704067200000 AND 1704240000000")
+query("ts_incrby", lambda c: timeseries.incrby(c.events.select(C("event_type").alias("key"), C("ms").alias("ts"), C("event_id").alias("seq"), F.lit(1).alias("delta"))), "ev", ", r AS (SELECT event_type AS key, ms AS ts, event_id, sum(1) OVER (PARTITION BY event_type ORDER BY ms, event_id) AS v FROM ev) SELECT key, ts, CAST(max_by(v, event_id) AS BIGINT) AS value FROM r GROUP BY key, ts")
+query("ts_info", lambda c: timeseries.info(c.ts), "ts", "SELECT key, count(*) AS samples, count(*) * 16 AS bytes, min(ts) AS first_ts, max(ts) AS last_ts FROM ts GROUP BY key")
+query("ts_rollup", lambda c: timeseries.rollup(c.ts, 86_400_000).withColumn("total", F.round("total", 6)), "ts", "SELECT key, ts - ts % 86400000 AS bucket, count(*) AS n, round(sum(value), 6) AS total, min(value) AS least, max(value) AS most FROM ts GROUP BY 1, 2")
+
+# State
+query("recovery_fold", lambda c: state.recovery_fold(c.wal), "wal", """, w AS (SELECT key, max((timestamp_ms, sequence)) AS at, max_by(op, (timestamp_ms, sequence)) AS op, max_by(value, (timestamp_ms, sequence)) AS value FROM wal WHERE op IN ('Set', 'Del') GROUP BY key)
+ SELECT w.key, w.value, max_by(e.expire_at_ms, (e.timestamp_ms, e.sequence)) AS expire_at_ms FROM w LEFT JOIN wal e ON e.key = w.key AND e.op = 'Expire' AND (e.timestamp_ms, e.sequence) > w.at WHERE w.op = 'Set' GROUP BY w.key, w.value""")
+query("eviction_lru", lambda c: state.evict(c.events.groupBy(C("user_id").alias("key")).agg(F.max("ms").alias("touch"), F.sum(F.octet_length("props")).alias("bytes")), 20_000, [C("touch").asc(), C("key").asc()]).select("key", "touch", "bytes"), "ev", """, e AS (SELECT user_id AS key, max(ms) AS touch, CAST(sum(strlen(props)) AS BIGINT) AS bytes FROM ev GROUP BY user_id),
+ r AS (SELECT *, sum(bytes) OVER (ORDER BY touch, key) AS run, sum(bytes) OVER () AS total FROM e) SELECT key, touch, bytes FROM r WHERE run > total - 20000""")
+query("prefix_eviction", lambda c: state.evict_prefixes(c.events.groupBy(C("user_id").alias("key")).agg(F.max("ms").alias("touch"), F.sum(F.octet_length("props")).alias("bytes")).withColumn("prefix", C("key") % 10).withColumn("suffix_len", F.length(C("key").cast("string"))), 20_000).select("key"), "ev", """, e AS (SELECT user_id AS key, max(ms) AS touch, CAST(sum(strlen(props)) AS BIGINT) AS bytes FROM ev GROUP BY user_id), g AS (SELECT *, key % 10 AS prefix, length(CAST(key AS VARCHAR)) AS sl, max(touch) OVER (PARTITION BY key % 10) AS grp FROM e),
+ r AS (SELECT *, sum(bytes) OVER (ORDER BY grp, prefix, sl DESC, touch, key) AS run, sum(bytes) OVER () AS total FROM g) SELECT key FROM r WHERE run > total - 20000""")
+query("throttle", lambda c: state.throttle(c.counters.select("key", "seq", C("delta").alias("qty")), 500), "counters", """, o AS (SELECT key, seq, delta AS qty, row_number() OVER (PARTITION BY key ORDER BY seq) AS rn FROM counters),
+ f AS (SELECT key, seq, qty, rn, CASE WHEN qty > 500 THEN 1 ELSE 0 END AS limited, CASE WHEN qty > 500 THEN 500 ELSE 500 - qty END AS remaining FROM o WHERE rn = 1
+ UNION ALL SELECT o.key, o.seq, o.qty, o.rn, CASE WHEN o.qty > f.remaining THEN 1 ELSE 0 END, CASE WHEN o.qty > f.remaining THEN f.remaining ELSE f.remaining - o.qty END FROM f JOIN o ON o.key = f.key AND o.rn = f.rn + 1)
+ SELECT key, seq, qty, limited, remaining FROM f""")
+query("locks", lambda c: state.locks(c.events.select((C("user_id") % 20).cast("string").alias("key"), C("event_id").alias("seq"), C("ms").alias("at_ms"), F.when(C("event_type") == "error", "release").when(C("event_type") == "view", "renew").otherwise("acquire").alias("op"), C("user_id").cast("string").alias("token"), F.lit(86_400_000).alias("ttl_ms"))))
+
+# Modules and control
+query("snowflake_next", lambda c: modules.snowflake_next(c.items), "items", "SELECT key, seq, row_number() OVER (PARTITION BY key ORDER BY seq) AS id FROM items")
+query("snowflake_info", lambda c: modules.snowflake_info(c.items), "items", "SELECT count(*) AS total FROM items")
+query("nr_observe", lambda c: modules.hits(c.items), "items", "SELECT key, count(*) AS hits FROM items GROUP BY key")
+query("ft_dictadd", lambda c: modules.dict_add(c.s.toDF("key", "term"), values(c, "key string, term string", ("click", "zebra"), ("click", "1"))), "s", "SELECT key, member AS term FROM s UNION SELECT 'click', 'zebra' UNION SELECT 'click', '1'")
+query("ft_dictdump", lambda c: modules.dict_dump(c.s.toDF("key", "term"), "view"), "s", "SELECT member AS term FROM s WHERE key = 'view'")
+query("slot_owners", lambda c: modules.owners(c.kv(NOW), ["a", "b", "c"]))
+query("session_groups", lambda c: modules.sessions(c.table("conversations").select(F.concat(F.lit("s:"), "conv_id", F.lit(":c:"), "turn").alias("key"), C("role").alias("value"))).groupBy("session").agg(F.count("*").alias("chunks")), "", "SELECT CAST(conv_id AS VARCHAR) AS session, count(*) AS chunks FROM conversations GROUP BY conv_id")
+query("evictable", lambda c: modules.evictable(c.items.groupBy("item").agg(F.max("seq").alias("version")).withColumnRenamed("item", "key"), c.items.filter("seq % 2 = 0").select(C("item").alias("key"), C("seq").alias("version"))), "items", "SELECT item AS key, max(seq) AS version FROM items GROUP BY item HAVING max(seq) FILTER (seq % 2 = 0) >= max(seq)")
+query("memory_usage", lambda c: control.memory_usage(c.kv(NOW)), "kv", "SELECT key, CAST(strlen(key) + strlen(value) AS INT) AS bytes FROM kv")
+query("shard_stats", lambda c: control.stats(c.kv(NOW)))
+query("keyspace_info", lambda c: control.info(_KEYS(c)), "kv h s z", _KEYS_SQL + "SELECT type, count(*) AS keys FROM ks GROUP BY type")
+query("control_replies", lambda c: control.replies(c.spark))
+query("eval_script", lambda c: scripting.evaluate(c.kv(NOW).select(F.array("key").alias("keys"), F.array("value").alias("args"), F.create_map("key", "value").alias("found")), "return redis.call('GET', KEYS[1])").select(C("keys")[0].alias("key"), "reply"), "kv", "SELECT key, value AS reply FROM kv")
+
+# Event time (extensions)
+query("window_tumbling", lambda c: c.table("events").groupBy(F.window(C("ts").cast("timestamp_ntz"), "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("date").alias("day"), "event_type", "n"), "", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+query("window_sessions", lambda c: c.table("events").groupBy("user_id", F.session_window(C("ts").cast("timestamp_ntz"), "6 hours").alias("w")).agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest")), "", """WITH o AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS b, event_id FROM events),
+ g AS (SELECT user_id, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM o), n AS (SELECT user_id, s, count(*) AS n FROM g GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM n GROUP BY user_id""")
