@@ -59,7 +59,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, text_hash, node (null for empty sets), n, bands, parity of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):  # hashing takes some fifty bytes for each of text
             sets = _sets(batch, k)
             full = [s for s in sets if len(s)]
             keys = iter(sh.band_keys(np.array([_circulant().signature(s) for s in full]), BANDS).tolist() if full else [])
@@ -156,7 +156,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, count: int, k: int) -> DataFr
     """node, set of the wanted (doc_id, text_hash): the texts are read again, those wanted alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):  # hashing takes some fifty bytes for each of text
             sets = _sets(batch, k)
             yield pa.record_batch([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
 
@@ -202,8 +202,12 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     rest = rest.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     pairs = rest.mapInArrow(_across(percent), "a binary, b binary").distinct()
     more = stage_table(_confirmed(pairs, sets, percent), "more")
-    if more.limit(1).count():
-        labels = components(links.union(more))
+    if more.limit(1).count():  # components of components: links inside one, or repeated between two, are gone
+        part = labels.toDF("b", "c")
+        ends = more.join(labels.toDF("a", "p"), "a", "left").join(part, "b", "left").select(F.coalesce("p", "a").alias("a"), F.coalesce("c", "b").alias("b"))
+        wider = components(ends.filter("a <> b").distinct())
+        known = labels.join(wider.toDF("component", "wider"), "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
+        labels = known.union(wider.join(labels.select("node"), "node", "left_anti"))
 
     named = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
