@@ -67,6 +67,11 @@ def _between(lo: tuple[int, int], hi: tuple[int, int], n: int) -> list[tuple[int
     return sorted({(lo[0], lo[1] + max(1, span * i // n)) for i in range(1, n + 1)}) if span else []
 
 
+def _after(key: tuple[int, int], group: bool) -> tuple[int, int]:
+    """The next key, or the first key of the next group."""
+    return (min(key[0] + 1, _HALF - 1), _LOW) if group else (key[0], min(key[1] + 1, _HALF - 1))
+
+
 def splitters(rows: DataFrame, targets: list[int], tolerance: float, probes: int = 32) -> list[tuple[int, int]]:
     """Keys whose bytes below are within tolerance of targets, or as near as single keys allow."""
     whole = _histogram(rows, []).get(0)
@@ -74,10 +79,11 @@ def splitters(rows: DataFrame, targets: list[int], tolerance: float, probes: int
         return [(_LOW, _LOW)] * len(targets)
     total, _, least, most = whole
     # For each target: bounds of the splitter and the exact bytes below them.
-    state = [((least, 0), ((most[0], most[1] + 1) if most[1] < _HALF - 1 else most, total)) for _ in targets]
+    state = [(((least[0], _LOW), 0), (_after(most, True), total)) for _ in targets]
     done: list[tuple[int, int] | None] = [None] * len(targets)
     while None in done:
-        keys = sorted({k for i, s in enumerate(state) if done[i] is None for k in _between(s[0][0], s[1][0], probes)})
+        open_ = [s for s, d in zip(state, done, strict=True) if d is None]
+        keys = sorted({k for (lo, _), (hi, _) in open_ for k in (lo, hi, *_between(lo, hi, probes))})
         counts = _histogram(rows, keys)
         below, at = [], 0  # bytes below keys[j]
         for j in range(len(keys)):
@@ -86,21 +92,18 @@ def splitters(rows: DataFrame, targets: list[int], tolerance: float, probes: int
         for i, target in enumerate(targets):
             if done[i] is not None:
                 continue
-            (lo, lo_below), (hi, hi_below) = state[i]
-            j = bisect_right(below, target)
-            if j and keys[j - 1] > lo:
-                lo, lo_below = keys[j - 1], below[j - 1]
-            if j < len(keys) and keys[j] < hi:
-                hi, hi_below = keys[j], below[j]
-            near = (lo, target - lo_below) if target - lo_below <= hi_below - target else (hi, hi_below - target)
-            # The bin between the bounds holds real keys: move the lower bound up to the least of them.
-            real = counts.get(bisect_right(keys, lo))
-            if real and lo < real[2] < hi:
-                lo = real[2] if real[2][0] == lo[0] or real[2][0] == hi[0] else (real[2][0], _LOW)
-            alone = real is None or real[2] == real[3]
-            if near[1] <= tolerance or alone or not _between(lo, hi, 2) or (lo, hi) == (state[i][0][0], state[i][1][0]):
+            j = min(max(bisect_right(below, target), 1), len(keys) - 1)
+            lo, hi = keys[j - 1], keys[j]
+            over, under = below[j] - target, target - below[j - 1]
+            near = (lo, under) if under <= over else (hi, over)
+            inside = counts.get(j)
+            if near[1] <= tolerance or inside is None or inside[2] == inside[3]:
                 done[i] = near[0]
-            state[i] = (lo, lo_below), (hi, hi_below)
+                continue
+            # The bounds move to the least and greatest real key between them: inside one group, or around groups.
+            first, last = inside[2], inside[3]
+            one = first[0] == last[0]
+            state[i] = ((first if one else (first[0], _LOW), below[j - 1]), (_after(last, not one), below[j]))
     return [k for k in done if k is not None]
 
 
