@@ -38,8 +38,10 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             high = np.maximum(high, widths[at + k]) if len(at) < n else np.maximum(high, widths[k : k + n])
         held = COUNTS[s]
         fits = high <= BITS[s]
-        if not fits.all():
-            at, high = at[fits], high[fits]
+        if held < 12 and len(at) == n:  # narrow passes over all are cheaper than picking positions
+            np.putmask(selector, fits, s)
+            continue
+        at, high = at[fits], high[fits]
         if not len(at):
             break
         selector[at] = s

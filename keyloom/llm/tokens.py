@@ -1,8 +1,8 @@
 """Whole texts to token ids with the tokenizers library, each distinct piece of text encoded once per worker.
 
 Texts are cut where neither the normalizer nor the pre-tokenizer looks across: before a run of spaces and
-newlines. The ids of a text are then the ids of its pieces, one after another. Texts with other white space
-go to the library whole. A piece is looked up in a table that the worker keeps between tasks and empties
+newlines, and between a Latin letter and a sign after it. The ids of a text are then the ids of its pieces, one
+after another. Texts with other white space go to the library whole. A piece is looked up in a table that the worker keeps between tasks and empties
 when it holds `most` pieces, so memory is bounded.
 """
 
@@ -16,7 +16,14 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-_PIECES = {True: re.compile(r"[ \n]*[^ \n]+|[ \n]+"), False: re.compile(r"[^ \n]+")}
+# A run of Latin letters before white space or a sign is a piece of its own: no token joins a letter and a sign.
+_WORD = r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^ \n.,;:!?])"
+_PIECES = {True: re.compile(rf"[ \n]*+(?:{_WORD}|[^ \n]+)|[ \n]+"), False: re.compile(rf"{_WORD}|[^ \n]+")}
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_SPACED_LATIN = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+# Byte-level models write each byte as one character: itself where it can be printed, else the next from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _STEP = 256
 
@@ -42,6 +49,8 @@ class PieceEncoder:
             spec = json.load(f)
         #: Byte-level ids keep the white space before a word; the others drop all white space.
         self.keeps_space = spec["normalizer"] is None
+        self.lowers = "Lowercase" in json.dumps(spec["normalizer"])
+        self.model = self.tokenizer.model
         vocab = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
@@ -67,11 +76,17 @@ class PieceEncoder:
         if not new:
             return
         n = len(new)
+        # Of Latin words, normalizer and pre-tokenizer only lower the case and show bytes: they go to the model at once.
+        plain, tokenize, lowers = (_SPACED_LATIN if self.keeps_space else _LATIN).fullmatch, self.model.tokenize, self.lowers
+        simple = [i for i, p in enumerate(new) if plain(p)]
+        shown = [(p.lower() if lowers else p).encode().decode("latin-1").translate(_BYTE) for p in map(new.__getitem__, simple)]
+        words = [[t.id for t in tokenize(w)] for w in shown]
+        others = np.setdiff1d(np.arange(n), simple)
         if self.keeps_space:  # a piece that starts a text has no space: it would join the one before
-            joins = np.fromiter((p[0] in " \n" and not p.isspace() for p in new), bool, n)
-            plain, alone = np.flatnonzero(joins), [np.flatnonzero(~joins)]
+            joins = np.fromiter((new[i][0] in " \n" and not new[i].isspace() for i in others.tolist()), bool, len(others))
+            plain, alone = others[joins], [others[~joins]]
         else:
-            plain, alone = np.arange(n), []
+            plain, alone = others, []
         groups, texts = [], []
         for at in range(0, len(plain), _STEP):
             g = plain[at : at + _STEP]
@@ -83,6 +98,10 @@ class PieceEncoder:
                 groups.append(g)
                 texts.append(text)
         lengths, parts, order = np.zeros(n, np.int64), [], []
+        if simple:
+            order.append(np.array(simple))
+            lengths[order[0]] = [len(w) for w in words]
+            parts.append(np.array([i for w in words for i in w], np.uint32))
         for g, ids in zip(groups, self._batch(texts), strict=True):
             ids = np.asarray(ids, np.uint32)
             if self.keeps_space:
@@ -119,7 +138,7 @@ class PieceEncoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            found = pieces(text)
+            found = pieces(text.lower() if self.lowers and text.isascii() else text)
             codes.extend(map(get, found))
             counts[i] = len(found)
         self._learn()
