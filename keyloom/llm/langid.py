@@ -79,11 +79,13 @@ class Crf:
         return (np.concatenate(all_codes) if all_codes else np.zeros(0, np.int64)), counts
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        names, scores = ["und"] * len(texts), np.zeros(len(texts))
+        if not self.languages:
+            return names, scores
         codes, counts = self.codes(texts)
         marginals, _ = forward_backward(self._scores[codes], counts, self.transitions)
-        names, scores = ["und"] * len(texts), np.zeros(len(texts))
         full = np.flatnonzero(counts)
-        if len(full) and len(self.languages):
+        if len(full):
             sums = np.add.reduceat(marginals.astype(np.float64), (np.cumsum(counts) - counts)[full], axis=0) / counts[full, None]
             for i, k in zip(full.tolist(), sums.argmax(axis=1).tolist(), strict=True):
                 names[i] = self.languages[k]
