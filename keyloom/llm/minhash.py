@@ -1,14 +1,15 @@
 """Near-duplicate classes: circulant MinHash, banding, exact Jaccard verification, connected components.
 
 1. Every text gives its set of word shingles, a digest of the set, a signature whose 192 coordinates come from two
-   permutations, 32 band keys of six coordinates, and parities of the set's hashes. Sets are nodes; equal sets
-   are one node.
-2. Nodes that share a band key are candidates. In each bucket two hubs (the least and the greatest node) are
-   paired with the others, so pairs grow with the bucket, not with its square. A pair is dropped if the parities
-   prove that it can't reach the similarity; the nearest hub of each node is confirmed on the full sets.
-3. In buckets that still hold several components, blocks of nodes compare parities across components and pass
-   only pairs that could reach the similarity, which are confirmed likewise. No link between candidates is lost;
-   a pair at 0.85 is no candidate with probability 3e-7.
+   permutations, and 32 band keys of six coordinates. Sets are nodes; equal sets are one node. Nodes that share a
+   band key are candidates; for those alone the texts are read again for the full set and the parities of its hashes.
+2. In each bucket two hubs (the least and the greatest node) are paired with the others, so pairs grow with the
+   bucket, not with its square. A pair is dropped if the parities prove that it can't reach the similarity; the
+   nearest hub of each node is confirmed on the full sets.
+3. In buckets that still hold several components, blocks of nodes compare parities across components. What could
+   link makes a forest, the nearest pairs first, whose edges are confirmed: again as many as nodes at most. After that
+   only pairs that the parities leave open can link two components, and all of these are confirmed. No link between
+   candidates is lost; a pair at 0.85 is no candidate with probability 3e-7.
 
 Edge cases: a text without words, or null, has an empty set and stays alone. A text with fewer words than a
 shingle is one shingle. Null doc_ids: their rows form classes with others but never name them, and a class of
@@ -56,7 +57,7 @@ def _digest(hashes: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, text_hash, node (null for empty sets), n, bands, parity of every row."""
+    """doc_id, text_hash, node (null for empty sets), n, bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):  # hashing takes some fifty bytes for each of text
@@ -65,15 +66,12 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             keys = iter(sh.band_keys(np.array([_circulant().signature(s) for s in full]), BANDS).tolist() if full else [])
             node = [_digest(s) if len(s) else None for s in sets]
             bands = [next(keys) if len(s) else None for s in sets]
-            parity = [sh.parity(s) if len(s) else None for s in sets]
-            yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(node, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(parity, pa.binary())],
-                names=["doc_id", "text_hash", "node", "n", "bands", "parity"],
-            )
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(node, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, names=["doc_id", "text_hash", "node", "n", "bands"])
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, node binary, n bigint, bands array<bigint>, parity binary")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, node binary, n bigint, bands array<bigint>")
 
 
 def _could(n: Column, m: Column, percent: int) -> Column:
@@ -103,35 +101,54 @@ def _near_hubs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "node binary, hub binary, differ bigint")
 
 
-def _across(percent: int):
-    """Pairs of different components within blocks of a bucket that could link."""
+def _across(percent: int, forest: bool):
+    """Pairs of different components within blocks of a bucket that could link: a forest of the nearest over the
+    components, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["key", "lo", "hi"]):
             if len(group) < 2:
                 continue
             rows = sorted(zip(*(group.column(c).to_pylist() for c in ("n", "node", "component", "block", "parity")), strict=True))
-            lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-            sizes = np.array([r[0] for r in rows])
+            one = group.column("lo")[0].as_py() == group.column("hi")[0].as_py()
+            sizes, block = np.array([r[0] for r in rows]), np.array([r[3] for r in rows])
             names = {c: i for i, c in enumerate(sorted({r[2] for r in rows}))}
-            part, block = np.array([names[r[2]] for r in rows]), np.array([r[3] for r in rows])
+            part = np.array([names[r[2]] for r in rows])
             maps = [np.frombuffer(r[4], np.uint64) for r in rows]
-            a, b = [], []
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for words in sorted({len(m) for m in maps}):
-                mine = np.flatnonzero([len(m) == words for m in maps])
                 fold = np.array([sh.folded(m, words) if len(m) >= words else np.zeros(words, np.uint64) for m in maps])
-                for i in mine.tolist():  # with all that are as large or larger, as far as sizes allow
-                    last = int(np.searchsorted(sizes * percent, sizes[i] * 100, side="right"))
-                    other = np.arange(i + 1, last)
-                    other = other[(part[other] != part[i]) & ((lo == hi) | (block[other] != block[i]))]
-                    if not len(other):
-                        continue
-                    differ = np.bitwise_count(fold[other] ^ fold[i]).sum(axis=1).astype(np.int64)
-                    total = sizes[other] + sizes[i]
-                    near = other[100 * (total - differ) >= percent * (total + differ)]
-                    a += [min(rows[i][1], rows[j][1]) for j in near.tolist()]
-                    b += [max(rows[i][1], rows[j][1]) for j in near.tolist()]
-            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                for i in np.flatnonzero([len(m) == words for m in maps]).tolist():  # with those as large or larger, as far as sizes allow
+                    other = np.arange(i + 1, int(np.searchsorted(sizes * percent, sizes[i] * 100, side="right")))
+                    other = other[(part[other] != part[i]) & (one | (block[other] != block[i]))]
+                    if len(other):
+                        differ = np.bitwise_count(fold[other] ^ fold[i]).sum(axis=1).astype(np.int64)
+                        total = sizes[other] + sizes[i]
+                        near = 100 * (total - differ) >= percent * (total + differ)
+                        if near.any():
+                            found.append((differ[near] / total[near], np.full(int(near.sum()), i), other[near]))
+            if not found:
+                continue
+            far, x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+            pairs = list(zip(x.tolist(), y.tolist(), strict=True))
+            if forest:
+                root = list(range(len(names)))
+
+                def find(c: int) -> int:
+                    while root[c] != c:
+                        root[c] = root[root[c]]
+                        c = root[c]
+                    return c
+
+                chosen = []
+                for k in np.argsort(far, kind="stable").tolist():
+                    p, q = find(int(part[x[k]])), find(int(part[y[k]]))
+                    if p != q:
+                        root[p] = q
+                        chosen.append(pairs[k])
+                pairs = chosen
+            ends = [sorted((rows[i][1], rows[j][1])) for i, j in pairs]
+            yield pa.record_batch([pa.array([e[0] for e in ends], pa.binary()), pa.array([e[1] for e in ends], pa.binary())], names=["a", "b"])
 
     return run
 
@@ -153,12 +170,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, count: int, k: int) -> DataFrame:
-    """node, set of the wanted (doc_id, text_hash): the texts are read again, those wanted alone."""
+    """node, n, parity, hashes of the wanted (doc_id, text_hash): the texts are read again, those wanted alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):  # hashing takes some fifty bytes for each of text
             sets = _sets(batch, k)
-            yield pa.record_batch([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
+            columns = [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
+            columns += [pa.array([f(s) for s in sets], pa.binary()) for f in (sh.parity, np.ndarray.tobytes)]
+            yield pa.record_batch(columns, names=["node", "n", "parity", "hashes"])
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -166,7 +185,29 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, count: int, k: int) -> DataFr
     if count <= BROADCAST_IDS:
         few = F.broadcast(few)
     rows = rows.join(few, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi")
-    return rows.select("text").mapInArrow(run, "node binary, hashes binary").dropDuplicates(["node"])
+    return rows.select("text").mapInArrow(run, "node binary, n bigint, parity binary, hashes binary").dropDuplicates(["node"])
+
+
+def _open_pairs(members: DataFrame, known: DataFrame, labels: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs (a, b) across components in buckets with more than one: their nodes meet in blocks, a block with itself
+    and with each other block of the bucket."""
+    placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    rest = placed.join(mixed, "key").select("key", "node", "component", blocks.alias("blocks"), block.alias("block"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component").join(known, "node")
+    rest = rest.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return rest.mapInArrow(_across(percent, forest), "a binary, b binary").distinct()
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links, as components of components: links inside one, or repeated between two, are gone."""
+    ends = links.join(labels.toDF("a", "p"), "a", "left").join(labels.toDF("b", "q"), "b", "left").select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b"))
+    wider = components(ends.filter("a <> b").distinct())
+    known = labels.join(wider.toDF("component", "wider"), "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
+    return known.union(wider.join(labels.select("node"), "node", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
@@ -178,36 +219,22 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     keys = marks.filter("node IS NOT NULL").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = stage_table(keys.join(shared, "key"), "members")
-    alike = members.select("node").distinct()
-    parities = marks.filter("node IS NOT NULL").dropDuplicates(["node"]).select("node", "n", "parity")
-    alike = stage_table(parities.join(alike, "node").join(nodes.select("node", "first"), "node"), "alike")
-    sets = stage_table(_full_sets(docs, alike.select("first.*"), alike.count(), k), "sets")
+    alike = stage_table(members.select("node").distinct().join(nodes.select("node", "first"), "node").select("first.*"), "alike")
+    sets = stage_table(_full_sets(docs, alike, alike.count(), k), "sets")
+    known, full = sets.select("node", "n", "parity"), sets.select("node", "hashes")
 
     ends = members.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
     hubs = members.join(ends, "key").select("node", F.explode(F.array("least", "most")).alias("hub")).filter("node <> hub").distinct()
-    known = alike.select("node", "n", "parity")
     near = hubs.join(known, "node").join(known.toDF("hub", "hub_n", "hub_parity"), "hub").filter(_could(F.col("n"), F.col("hub_n"), percent))
     near = _near_hubs(near, percent).groupBy("node").agg(F.min(F.struct("differ", "hub")).alias("best"))
-    links = stage_table(_confirmed(near.select(F.col("node").alias("a"), F.col("best.hub").alias("b")), sets, percent), "links")
+    links = stage_table(_confirmed(near.select(F.col("node").alias("a"), F.col("best.hub").alias("b")), full, percent), "links")
     labels = components(links)
 
-    # Buckets with more than one component: their nodes in blocks, a block with itself and with each other one.
-    placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rest = placed.join(mixed, "key").select("key", "node", "component", blocks.alias("blocks"), block.alias("block"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component").join(known, "node")
-    rest = rest.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    pairs = rest.mapInArrow(_across(percent), "a binary, b binary").distinct()
-    more = stage_table(_confirmed(pairs, sets, percent), "more")
-    if more.limit(1).count():  # components of components: links inside one, or repeated between two, are gone
-        part = labels.toDF("b", "c")
-        ends = more.join(labels.toDF("a", "p"), "a", "left").join(part, "b", "left").select(F.coalesce("p", "a").alias("a"), F.coalesce("c", "b").alias("b"))
-        wider = components(ends.filter("a <> b").distinct())
-        known = labels.join(wider.toDF("component", "wider"), "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
-        labels = known.union(wider.join(labels.select("node"), "node", "left_anti"))
+    for forest in (True, False):
+        pairs = _open_pairs(members, known, labels, percent, forest)
+        links = stage_table(_confirmed(pairs, full, percent), "links")
+        if links.limit(1).count():
+            labels = stage_table(_joined(labels, links), "labels")
 
     named = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -109,12 +109,12 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
 
 
 def parity(hashes: np.ndarray) -> bytes:
-    """Parities of the hashes' low bits, in at least twice as many bits as hashes (a power of two, 1024 at least).
+    """Parities of the hashes' low bits, in at least eight times as many bits as hashes (a power of two, from 1024).
 
     The bits in which two sets' parities differ are at most the hashes in one set alone: an exact bound. Halves
     folded with XOR are the parities in half as many bits.
     """
-    bits = max(1024, 1 << int(2 * len(hashes) - 1).bit_length())
+    bits = max(1024, 1 << int(8 * len(hashes) - 1).bit_length())
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
