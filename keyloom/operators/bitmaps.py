@@ -93,3 +93,25 @@ def set_range(spark, key: str, start: int, stop: int, most: int = 100_000) -> Da
     if stop - start + 1 > most:
         raise ValueError("range too large")
     return spark.range(start, stop + 1).select(F.lit(key).alias("key"), F.col("id").alias("bit"))
+
+
+def bitfield_incr(value: Column, offset: int, width: int, delta: int, overflow: str = "WRAP", signed: bool = False) -> Column:
+    """A packed number of up to 62 bits after an addition: WRAP goes round, SAT stops at the ends, FAIL gives null."""
+    low, high = (-(1 << width - 1), (1 << width - 1) - 1) if signed else (0, (1 << width) - 1)
+    new = bitfield_get(value, offset, width, signed) + F.lit(delta).cast("bigint")
+    if overflow == "SAT":
+        return F.least(F.greatest(new, F.lit(low)), F.lit(high))
+    if overflow == "FAIL":
+        return F.when(new.between(low, high), new)
+    return F.pmod(new - low, F.lit(1 << width)) + low
+
+
+def bitfield_set(value: Column, offset: int, width: int, number: Column) -> Column:
+    """The bytes with a packed number written at a bit offset, longer by zeros where needed."""
+    need = -(-(offset + width) // 8) * 8
+    bits = F.array_join(F.transform(bytes_of(value.cast("binary")), lambda b: F.lpad(F.bin(b), 8, "0")), "")
+    padded = F.rpad(bits, F.greatest(F.length(bits), F.lit(need)), F.lit("0"))
+    low = F.right(F.concat(F.lit("0" * width), F.bin(number.cast("bigint"))), F.lit(width))
+    written = F.concat(F.substring(padded, 1, offset), low, F.substring(padded, offset + width + 1, 1 << 30))
+    parts = F.transform(F.sequence(F.lit(0), (F.length(written) / 8).cast("int") - 1), lambda i: F.lpad(F.conv(F.substring(written, i * 8 + 1, F.lit(8)), 2, 16), 2, "0"))
+    return F.unhex(F.array_join(parts, ""))

@@ -74,6 +74,36 @@ def topk_list(items: DataFrame, k: int) -> DataFrame:
     return sums.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("key", "item", "cnt", "rank")
 
 
+def topk_expelled(items: DataFrame, k: int) -> DataFrame:
+    """key, item, seq, expelled: what each add pushes out of its key's list, if anything. A fold over sorted rows: a
+    task holds the counts of one key at a time, never its rows."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, counts, top = None, {}, []
+        for batch in batches:
+            out = []
+            for row_key, item, seq in zip(*(batch.column(c).to_pylist() for c in ("key", "item", "seq")), strict=True):
+                if row_key != key or not counts:
+                    key, counts, top = row_key, {}, []
+                n, first = counts.get(item, (0, seq))
+                counts[item] = (n + 1, first)
+                order = lambda x: (-counts[x][0], counts[x][1], x)
+                gone = None
+                if item not in top:
+                    top.append(item)
+                    if len(top) > k:
+                        worst = max(top, key=order)
+                        top.remove(worst)
+                        gone = None if worst == item else worst
+                out.append(gone)
+            yield pa.record_batch([batch.column("key"), batch.column("item"), batch.column("seq"), pa.array(out, pa.string())], names=["key", "item", "seq", "expelled"])
+
+    rows = items.select(F.col("key").cast("string").alias("key"), F.col("item").cast("string").alias("item"), F.col("seq").cast("bigint").alias("seq"))
+    return rows.repartition("key").sortWithinPartitions("key", "seq").mapInArrow(run, "key string, item string, seq bigint, expelled string")
+
+
 def topk_query(items: DataFrame, k: int, probes: DataFrame) -> DataFrame:
     top = topk_list(items, k).select("key", "item", F.lit(1).alias("f"))
     return probes.join(top, ["key", "item"], "left").select("key", "item", F.coalesce("f", F.lit(0)).alias("found"))

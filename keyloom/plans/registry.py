@@ -105,6 +105,11 @@ query("bitcount", lambda c: c.kv(NOW).select("key", bitmaps.bitcount(C("value"))
 query("bitpos", lambda c: c.kv(NOW).select("key", bitmaps.bitpos(C("value"), 1).alias("at")), "kv", "SELECT key, CAST(bit_position('1'::BIT, CAST(encode(value) AS BIT)) - 1 AS BIGINT) AS at FROM kv")
 query("bitop_xor", lambda c: c.kv(NOW).select("key", bitmaps.bitop("XOR", C("value"), C("key")).alias("hex")))
 query("bitfield_get", lambda c: c.kv(NOW).select("key", bitmaps.bitfield_get(C("value"), 0, 8).alias("u8")), "kv", "SELECT key, CAST(ascii(value) AS BIGINT) AS u8 FROM kv")
+query(
+    "bitfield_incr", lambda c: c.kv(NOW).select("key", *[bitmaps.bitfield_incr(C("value"), 0, 8, 200, o).alias(o.lower()) for o in ("WRAP", "SAT", "FAIL")]),
+    "kv", "SELECT key, CAST((ascii(value) + 200) % 256 AS BIGINT) AS wrap, CAST(least(ascii(value) + 200, 255) AS BIGINT) AS sat, CAST(CASE WHEN ascii(value) + 200 <= 255 THEN ascii(value) + 200 END AS BIGINT) AS fail FROM kv",
+)
+query("bitfield_set", lambda c: c.kv(NOW).select("key", bitmaps.bitfield_set(C("value"), 8, 8, F.lit(65)).cast("string").alias("value")), "kv", "SELECT key, substr(value, 1, 1) || 'A' || substr(value, 3) AS value FROM kv")
 for _op, _sql in (("AND", "SELECT bit FROM bits WHERE key = 'click' INTERSECT SELECT bit FROM bits WHERE key = 'view'"), ("OR", "SELECT bit FROM bits WHERE key IN ('click', 'view')  GROUP BY bit"), ("XOR", "SELECT bit FROM bits WHERE key IN ('click', 'view') GROUP BY bit HAVING count(*) = 1"), ("DIFF", "SELECT bit FROM bits WHERE key = 'click' EXCEPT SELECT bit FROM bits WHERE key = 'view'")):
     query(f"r_bitop_{_op.lower()}", lambda c, op=_op: bitmaps.combine(c.bits, op, ["click", "view"]), "bits", _sql)
 query("r_bitcount", lambda c: bitmaps.cardinality(c.bits), "bits", "SELECT key, count(*) AS n FROM bits GROUP BY key")
@@ -267,6 +272,7 @@ query("cms_merge", lambda c: sketches.cms_merge(c.items, ["click", "view"]), "it
 query("cms_info", lambda c: sketches.cms_info(c.items), "items", "SELECT key, greatest(count(DISTINCT item), 1) AS width, 1 AS depth, count(DISTINCT item) AS count FROM items GROUP BY key")
 _TOP = ", t AS (SELECT key, item, count(*) AS cnt, min(seq) AS f FROM items GROUP BY key, item), r AS (SELECT key, item, cnt, row_number() OVER (PARTITION BY key ORDER BY cnt DESC, f, item) AS rank FROM t) "
 query("topk_list", lambda c: sketches.topk_list(c.items, 5).withColumn("rank", C("rank").cast("bigint")), "items", _TOP + "SELECT key, item, cnt, rank FROM r WHERE rank <= 5")
+query("topk_add", lambda c: sketches.topk_expelled(c.items, 5))
 query("topk_query", lambda c: sketches.topk_query(c.items, 50, _ip(c)), "items", _TOP + _IP.strip() + " SELECT p.key, p.item, CASE WHEN r.rank <= 50 THEN 1 ELSE 0 END AS found FROM p LEFT JOIN r ON r.key = p.key AND r.item = p.item")
 query("tdigest_quantile", lambda c: sketches.quantiles(c.samples, [0.0, 0.5, 0.95, 1.0]), "sr", "SELECT key, CAST(q AS DOUBLE) AS q, value FROM sr JOIN (VALUES (0.0), (0.5), (0.95), (1.0)) AS t(q) ON rn = CAST(round((n - 1) * CAST(q AS DOUBLE)) AS BIGINT)")
 query("tdigest_ranks", lambda c: sketches.ranks(c.samples, 50.0), "samples", "SELECT key, avg(CAST(value <= 50.0 AS DOUBLE)) AS cdf, count(*) FILTER (value < 50.0) AS rank, count(*) FILTER (value > 50.0) AS revrank FROM samples GROUP BY key")

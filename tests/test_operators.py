@@ -47,6 +47,28 @@ def test_topk_ties_go_to_the_first_seen(spark):
     assert [r.item for r in sketches.topk_list(items, 1).collect()] == ["b"]
 
 
+def test_topk_expels_the_worst(spark):
+    rng = random.Random(3)
+    log = [(k, rng.choice("abcdef"), i) for i in range(60) for k in ("x", "y")]
+    out = {(r.key, r.seq): r.expelled for r in sketches.topk_expelled(rows(spark, "key string, item string, seq bigint", *log), 3).collect()}
+    for k in ("x", "y"):
+        counts, first, before = {}, {}, []
+        for _, item, i in (r for r in log if r[0] == k):
+            counts[item] = counts.get(item, 0) + 1
+            first.setdefault(item, i)
+            after = sorted(counts, key=lambda x: (-counts[x], first[x], x))[:3]
+            assert out[(k, i)] == next((x for x in before if x not in after), None)
+            before = after
+
+
+def test_bit_fields(spark):
+    df = rows(spark, "b binary", bytearray(b"\xff\x01"), bytearray(b""))
+    out = [bytes(r[0]) for r in df.select(bitmaps.bitfield_set(F.col("b"), 4, 8, F.lit(5))).collect()]
+    assert out == [b"\xf0\x51", b"\x00\x50"]
+    signed = df.select(*[bitmaps.bitfield_incr(F.col("b"), 0, 8, -128, o, True) for o in ("WRAP", "SAT", "FAIL")]).first()
+    assert tuple(signed) == (127, -128, None)
+
+
 def test_sorted_sets(spark):
     z = rows(spark, "key string, member string, score double", ("z", "a", 1.0), ("z", "b", 1.0), ("z", "c", 0.0))
     assert [r.member for r in zsets.zrank(z).orderBy("rank").collect()] == ["c", "a", "b"]
