@@ -17,15 +17,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, released, slices
+from .common import carried, quoted, slices
 
 _SLOTS = 1 << 17
 _WINDOW = 128
-_MOST_WORDS = 400_000
+_MOST_WORDS = 250_000
+_SLICE = 2 << 20  # forward-backward takes some ten bytes for each of text
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -215,18 +217,22 @@ def train(docs: DataFrame, per_language: int = 100) -> Crf:
 
 
 def identify(docs: DataFrame, model: Crf) -> DataFrame:
-    """docs with lang_pred and score."""
+    """docs with lang_pred and score. Only the texts go to Python: the rows wait in the JVM, which can spill them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by slots, languages and sample
-    rows = carried(docs, text=F.col("text").cast("string"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            names, scores = shared.value.predict(batch.column("text").to_pylist())
-            yield pa.record_batch([batch.column("row"), pa.array(names), pa.array(scores)], names=["row", "lang_pred", "score"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            names, scores = [], []
+            for part in slices([pa.record_batch([pa.array(batch, pa.string())], names=["text"])], "text", _SLICE):
+                n, s = shared.value.predict(part.column("text").to_pylist())
+                names += n
+                scores += s.tolist()
+            yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    kind = rows.schema["row"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"row {kind}, lang_pred string, score double")
-    return released(out, docs.columns, lang_pred=F.col("lang_pred"), score=F.col("score"))
+    predict = F.pandas_udf(run, "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)
+    rows = docs.select(*[F.col(quoted(c)) for c in docs.columns], predict(F.col("text").cast("string")).alias("__langid"))
+    taken = ("lang_pred", "score")
+    return rows.select(*[F.col(quoted(c)) for c in docs.columns if c.lower() not in taken], *[F.col(f"__langid.{c}") for c in taken])
 
 
 def identify_keys(docs: DataFrame, model: Crf) -> DataFrame:
@@ -234,7 +240,7 @@ def identify_keys(docs: DataFrame, model: Crf) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", _SLICE):
             names, scores = shared.value.predict(batch.column("text").to_pylist())
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(names), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -246,5 +252,6 @@ def identify_keys(docs: DataFrame, model: Crf) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Crf, least: float = 0.3) -> DataFrame:
     """The documents whose language is known: not `und`, and with a mean marginal of at least `least`
     (code-switched text of two or three languages stays). Columns as in docs."""
-    out = identify(docs, model)
-    return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*[F.col(c) for c in docs.columns])
+    rows = carried(docs, text=F.col("text").cast("string"))
+    out = identify(rows, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])

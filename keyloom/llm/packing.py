@@ -30,7 +30,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, size: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            flat, n = with_end(*encoder(path).encode(batch.column("text").to_pylist()), end_id)
+            flat, n = with_end(*encoder(path, 450_000).encode(batch.column("text").to_pylist()), end_id)
             pieces = -(-n // size)
             owner = np.repeat(np.arange(len(n)), pieces)
             piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)

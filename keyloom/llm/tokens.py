@@ -163,10 +163,10 @@ class PieceEncoder:
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, most: int = 700_000) -> PieceEncoder:
     """The worker's encoder for the file, kept between tasks."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
+        _ENCODERS[path] = PieceEncoder(path, most)
     return _ENCODERS[path]
 
 
