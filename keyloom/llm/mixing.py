@@ -73,16 +73,23 @@ def phases(blocks: list[int], weights: list[float], frame: int) -> list[dict]:
     return out
 
 
-def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, block_bytes: int = 65_536, classes: int = 256, least_frame: int = 1024) -> tuple[DataFrame, int]:
+def text_size() -> Column:
+    return F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("bigint") + 1
+
+
+def text_spin() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))
+
+
+def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, block_bytes: int = 65_536, classes: int = 256, least_frame: int = 1024, size: Column | None = None, spin: Column | None = None) -> tuple[DataFrame, int]:
     """carried() docs with mix_class, size, block, release, deadline, slot and start, and the number of slots.
 
-    weights: of sources by name (others none: they come after); None: bytes to the power of temperature.
+    weights: of sources by name (others none: they come after); None: bytes to the power of temperature. size and
+    spin: bytes and place of a row, by default those of its text (text_size, text_spin).
     """
     spark = docs.sparkSession
     source = F.coalesce(F.col("source").cast("string"), F.lit(_NULL))
-    size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("bigint") + 1
-    spin = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
-    rows = carried(docs, source=source, size=size, spin=spin)
+    rows = carried(docs, source=source, size=text_size() if size is None else size, spin=text_spin() if spin is None else spin)
     totals = rows.groupBy("source").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     top = totals.orderBy(F.desc("bytes"), "source").limit(classes - 1).collect()
     n = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -15,8 +15,8 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 
 
 def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    return mixing.mix(docs.select("doc_id", "text", "source")).drop("text")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", mixing.text_size().alias("size"), mixing.text_spin().alias("spin"))
+    return mixing.mix(docs, size=F.col("size"), spin=F.col("spin")).drop("spin")
 
 
 def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
