@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +43,10 @@ class Crf:
     def __getstate__(self):
         return {**self.__dict__, "_codes": {}, "_scores": None}
 
+    def forget(self) -> None:
+        """Drops the table of words: a worker between tasks holds none."""
+        self._codes, self._scores = {}, None
+
     def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all words with letters, and each text's count of them. _scores has a row for each code."""
         if self._scores is None or len(self._codes) > _MOST_WORDS:
@@ -220,16 +223,17 @@ def identify(docs: DataFrame, model: Crf) -> DataFrame:
     """docs with lang_pred and score. Only the texts go to Python: the rows wait in the JVM, which can spill them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by slots, languages and sample
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             names, scores = [], []
-            for part in slices([pa.record_batch([pa.array(batch, pa.string())], names=["text"])], "text", _SLICE):
+            for part in slices([pa.record_batch([batch], names=["text"])], "text", _SLICE):
                 n, s = shared.value.predict(part.column("text").to_pylist())
                 names += n
                 scores += s.tolist()
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        shared.value.forget()
 
-    predict = F.pandas_udf(run, "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)
+    predict = F.arrow_udf(run, "lang_pred string, score double")
     rows = docs.select(*[F.col(quoted(c)) for c in docs.columns], predict(F.col("text").cast("string")).alias("__langid"))
     taken = ("lang_pred", "score")
     return rows.select(*[F.col(quoted(c)) for c in docs.columns if c.lower() not in taken], *[F.col(f"__langid.{c}") for c in taken])
@@ -243,6 +247,7 @@ def identify_keys(docs: DataFrame, model: Crf) -> DataFrame:
         for batch in slices(batches, "text", _SLICE):
             names, scores = shared.value.predict(batch.column("text").to_pylist())
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(names), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
+        shared.value.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     few = docs.select(F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))

@@ -58,9 +58,10 @@ class PieceEncoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         bar = self.tokenizer.encode("|", add_special_tokens=False).ids
         self.bar = bar[0] if len(bar) == 1 else None
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
+        """Empties the table of pieces."""
         self.codes = _Codes()
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)
@@ -132,7 +133,7 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) one text after another, and each text's count."""
         if len(self.codes) > self.most:
-            self._clear()
+            self.forget()
         get, pieces = self.codes.__getitem__, _PIECES[self.keeps_space].findall
         codes, counts, whole = [], np.zeros(len(texts), np.int64), []
         for i, text in enumerate(texts):
