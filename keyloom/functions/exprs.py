@@ -119,8 +119,8 @@ def geo_decode(score: Column) -> tuple[Column, Column]:
 
 
 def geohash(score: Column) -> Column:
-    """Eleven characters of five bits each from the top of the 52-bit score; the last has the two bits left, shifted up."""
-    parts = [F.shiftright(score, 52 - 5 * (i + 1)) if i < 10 else F.shiftleft(score, 3) for i in range(11)]
+    """Eleven characters of five bits each, from bit 50 of the score down to its last bits."""
+    parts = [F.shiftright(score, shift) for shift in range(50, -1, -5)]
     return F.concat(*[F.substring(F.lit(GEOHASH), p.bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1)) for p in parts])
 
 

@@ -71,8 +71,8 @@ def evict_prefixes(entries: DataFrame, target_bytes: int) -> DataFrame:
 
 def throttle(requests: DataFrame, budget: int) -> DataFrame:
     """key, seq, qty, limited, remaining: a budget that is spent and never refilled; a request beyond it is rejected
-    and costs nothing. A fold over each key's ordered requests."""
-    rows = F.array_sort(F.collect_list(F.struct("seq", "qty")))
+    and costs nothing; a quantity is one at least. A fold over each key's ordered requests."""
+    rows = F.array_sort(F.collect_list(F.struct("seq", F.greatest("qty", F.lit(1)).alias("qty"))))
     start = F.struct(F.lit(budget).cast("bigint").alias("left"), F.array().cast("array<struct<seq:bigint,qty:bigint,limited:int,remaining:bigint>>").alias("out"))
 
     def step(acc: Column, r: Column) -> Column:

@@ -128,5 +128,9 @@ def combine(sources: list[DataFrame], how: str = "union", weights: list[float] |
 
 
 def zrandmember(z: DataFrame, n: int) -> DataFrame:
-    """The n lowest of each key."""
-    return zrange(z, 0, abs(n) - 1).drop("rank")
+    """The n lowest of each key; a negative n goes round with repetition."""
+    if n >= 0:
+        return zrange(z, 0, n - 1).drop("rank") if n else z.filter(F.lit(False))
+    rows = zrank(z).withColumn("size", F.count("*").over(_key())).filter(F.col("rank") < -n)
+    times = F.floor((F.lit(-n - 1) - F.col("rank")) / F.col("size")).cast("int") + 1
+    return rows.select("key", "member", "score", F.explode(F.sequence(F.lit(1), times)).alias("t")).drop("t")

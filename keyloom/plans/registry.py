@@ -204,7 +204,7 @@ for _agg in ("sum", "min", "max"):
 query("zinter_twice", lambda c: zsets.combine([c.za, c.za, c.zb], "inter"), "za zb", "SELECT za.member, za.score * 2 + zb.score AS score FROM za JOIN zb ON za.member = zb.member")
 query("zdiff", lambda c: zsets.combine([c.za, c.zb.filter("score > 4")], "diff"), "za zb", "SELECT member, score FROM za WHERE member NOT IN (SELECT member FROM zb WHERE score > 4)")
 query("zintercard", lambda c: zsets.combine([c.za, c.zb], "inter").agg(F.least(F.count("*"), F.lit(10)).alias("n")), "za zb", "SELECT least(count(*), 10) AS n FROM za JOIN zb ON za.member = zb.member")
-query("zrandmember", lambda c: zsets.zrandmember(c.z, 2))
+query("zrandmember", lambda c: zsets.zrandmember(c.z, 2), "zr", "SELECT key, member, score FROM zr WHERE rank < 2")
 
 # Geo
 query("geoadd", lambda c: geo.geoadd(c.places), "geo", "SELECT key, member, score FROM geo")
@@ -217,7 +217,7 @@ query("georadius", lambda c: geo.search_radius(geo.geoadd(c.places), 10.0, 20.0,
 query("georadius_count", lambda c: geo.search_radius(geo.geoadd(c.places), 10.0, 20.0, 15000, "km", 10).select("member", F.round("distance", 3).alias("distance")), "pos", _CENTRE + f"SELECT p.member, round(({_HAV.format(a='c.', b='p.')}) / 1000, 3) AS distance FROM pos p CROSS JOIN c ORDER BY ({_HAV.format(a='c.', b='p.')}), p.member LIMIT 10")
 query("georadiusbymember", lambda c: geo.search_member(geo.geoadd(c.places), 100, 6000, "km").select("key", "member", F.round("distance", 3).alias("distance")), "pos", f", c AS (SELECT lon, lat FROM pos WHERE member = 100) SELECT p.key, p.member, round(({_HAV.format(a='c.', b='p.')}) / 1000, 3) AS distance FROM pos p CROSS JOIN c WHERE ({_HAV.format(a='c.', b='p.')}) / 1000 <= 6000")
 query("geosearch_box", lambda c: geo.search_box(geo.geoadd(c.places), 10.0, 20.0, 8000, 6000, "km").select("key", "member", F.round("distance", 3).alias("distance")), "pos", _CENTRE + f", q AS (SELECT p.*, c.lon AS clon, c.lat AS clat FROM pos p CROSS JOIN c) SELECT key, member, round((2 * 6372797.560856 * asin(sqrt(power(sin((radians(lat) - radians(clat)) / 2), 2) + cos(radians(clat)) * cos(radians(lat)) * power(sin((radians(lon) - radians(clon)) / 2), 2)))) / 1000, 3) AS distance FROM q WHERE 2 * 6372797.560856 * asin(sqrt(power(cos(radians(clat)) * sin((radians(lon) - radians(clon)) / 2), 2))) <= 4000000 AND 2 * 6372797.560856 * asin(sqrt(power(sin((radians(lat) - radians(clat)) / 2), 2))) <= 3000000")
-query("geohash", lambda c: geo.geohashes(geo.geoadd(c.places)), "geo", "SELECT key, member, " + " || ".join(f"substr('{X.GEOHASH}', CAST(((score >> {47 - 5 * i}) & 31) + 1 AS INT), 1)" for i in range(10) if 47 - 5 * i >= 0) + f" || substr('{X.GEOHASH}', CAST(((score << 3) & 31) + 1 AS INT), 1) AS geohash FROM geo")
+query("geohash", lambda c: geo.geohashes(geo.geoadd(c.places)), "geo", "SELECT key, member, " + " || ".join(f"substr('{X.GEOHASH}', CAST(((score >> {shift}) & 31) + 1 AS INT), 1)" for shift in range(50, -1, -5)) + " AS geohash FROM geo")
 query("geo_join", lambda c: geo.join_radius(geo.geoadd(c.places.filter("member % 2 = 0")), geo.geoadd(c.places.filter("member % 2 = 1")), 300_000).select("a_member", "b_member", F.round("distance", 2).alias("distance")), "pos", f"SELECT p.member AS a_member, q.member AS b_member, round({_HAV.format(a='p.', b='q.')}, 2) AS distance FROM pos p JOIN pos q ON p.member % 2 = 0 AND q.member % 2 = 1 WHERE ({_HAV.format(a='p.', b='q.')}) <= 300000")
 
 # Streams
@@ -314,7 +314,7 @@ query("eviction_lru", lambda c: state.evict(c.events.groupBy(C("user_id").alias(
  r AS (SELECT *, sum(bytes) OVER (ORDER BY touch, key) AS run, sum(bytes) OVER () AS total FROM e) SELECT key, touch, bytes FROM r WHERE run > total - 20000""")
 query("prefix_eviction", lambda c: state.evict_prefixes(c.events.groupBy(C("user_id").alias("key")).agg(F.max("ms").alias("touch"), F.sum(F.octet_length("props")).alias("bytes")).withColumn("prefix", C("key") % 10).withColumn("suffix_len", F.length(C("key").cast("string"))), 20_000).select("key"), "ev", """, e AS (SELECT user_id AS key, max(ms) AS touch, CAST(sum(strlen(props)) AS BIGINT) AS bytes FROM ev GROUP BY user_id), g AS (SELECT *, key % 10 AS prefix, length(CAST(key AS VARCHAR)) AS sl, max(touch) OVER (PARTITION BY key % 10) AS grp FROM e),
  r AS (SELECT *, sum(bytes) OVER (ORDER BY grp, prefix, sl DESC, touch, key) AS run, sum(bytes) OVER () AS total FROM g) SELECT key FROM r WHERE run > total - 20000""")
-query("throttle", lambda c: state.throttle(c.counters.select("key", "seq", C("delta").alias("qty")), 500), "counters", """, o AS (SELECT key, seq, delta AS qty, row_number() OVER (PARTITION BY key ORDER BY seq) AS rn FROM counters),
+query("throttle", lambda c: state.throttle(c.counters.select("key", "seq", C("delta").alias("qty")), 500), "counters", """, o AS (SELECT key, seq, greatest(delta, 1) AS qty, row_number() OVER (PARTITION BY key ORDER BY seq) AS rn FROM counters),
  f AS (SELECT key, seq, qty, rn, CASE WHEN qty > 500 THEN 1 ELSE 0 END AS limited, CASE WHEN qty > 500 THEN 500 ELSE 500 - qty END AS remaining FROM o WHERE rn = 1
  UNION ALL SELECT o.key, o.seq, o.qty, o.rn, CASE WHEN o.qty > f.remaining THEN 1 ELSE 0 END, CASE WHEN o.qty > f.remaining THEN f.remaining ELSE f.remaining - o.qty END FROM f JOIN o ON o.key = f.key AND o.rn = f.rn + 1)
  SELECT key, seq, qty, limited, remaining FROM f""")

@@ -78,6 +78,7 @@ def test_sorted_sets(spark):
     old = rows(spark, "key string, member string, score double", ("z", "m", 5.0))
     assert got(zsets.zadd(old, rows(spark, "key string, member string, score double", ("z", "m", 3.0)), gt=True, incr=True)) == [("z", "m", 5.0)]
     assert got(zsets.zadd(old, rows(spark, "key string, member string, score double", ("z", "n", 3.0)), xx=True)) == [("z", "m", 5.0)]
+    assert zsets.zrandmember(z, -7).count() == 7 and zsets.zrandmember(z, 2).count() == 2
     assert zsets.zrangebylex(z, "-", "(b").count() == 1 and zsets.zrangebylex(z, "-", "[b").count() == 2
     with pytest.raises(ValueError):
         X.lex_bound(F.col("member"), "b", True)
@@ -166,9 +167,10 @@ def test_folds_against_a_model(spark):
         v, left, want = 0, 400, []
         for _, s, d in (x for x in log if x[0] == k):
             v = max(0, min(100, v + d))
-            limited = abs(d) > left
-            left -= 0 if limited else abs(d)
-            want.append((k, s, abs(d), int(limited), left))
+            qty = max(1, abs(d))
+            limited = qty > left
+            left -= 0 if limited else qty
+            want.append((k, s, qty, int(limited), left))
         assert out[k] == v and [x for x in spent if x[0] == k] == sorted(want, key=str)
 
 
