@@ -221,7 +221,6 @@ query("geohash", lambda c: geo.geohashes(geo.geoadd(c.places)), "geo", "SELECT k
 query("geo_join", lambda c: geo.join_radius(geo.geoadd(c.places.filter("member % 2 = 0")), geo.geoadd(c.places.filter("member % 2 = 1")), 300_000).select("a_member", "b_member", F.round("distance", 2).alias("distance")), "pos", f"SELECT p.member AS a_member, q.member AS b_member, round({_HAV.format(a='p.', b='q.')}, 2) AS distance FROM pos p JOIN pos q ON p.member % 2 = 0 AND q.member % 2 = 1 WHERE ({_HAV.format(a='p.', b='q.')}) <= 300000")
 
 # Streams
-_MID = lambda c: c.events.agg(F.min("ms").alias("lo"), F.max("ms").alias("hi")).first()
 query("xlen", lambda c: streams.xlen(c.x), "x", "SELECT key, count(*) AS n FROM x GROUP BY key")
 query("xrange", lambda c: streams.xrange(c.x, "1704067200000", "1704500000000-9999"), "x", "SELECT key, ms, seq, \"user\", value FROM x WHERE ms >= 1704067200000 AND (ms < 1704500000000 OR (ms = 1704500000000 AND seq <= 9999))")
 query("xrange_count", lambda c: streams.xrange(c.x, count=5).select("key", "ms", "seq"), "xn", "SELECT key, ms, seq FROM xn WHERE up <= 5")
