@@ -9,7 +9,7 @@
 3. In buckets that still hold several components, blocks of nodes compare parities across components. What could
    link makes a forest, the nearest pairs first, whose edges are confirmed: again as many as nodes at most. After that
    only pairs that the parities leave open can link two components, and all of these are confirmed. No link between
-   candidates is lost; a pair at 0.85 is no candidate with probability 3e-7.
+   candidates is lost; a pair at 0.85 is no candidate with probability 3e-7, one at 0.8 with 6e-5.
 
 Edge cases: a text without words, or null, has an empty set and stays alone. A text with fewer words than a
 shingle is one shingle. Null doc_ids: their rows form classes with others but never name them, and a class of
