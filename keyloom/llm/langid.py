@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, quoted, slices
+from .common import carried, give_back, quoted, slices
 
 _SLOTS = 1 << 17
 _WINDOW = 128
@@ -232,6 +232,7 @@ def identify(docs: DataFrame, model: Crf) -> DataFrame:
                 scores += s.tolist()
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
         shared.value.forget()
+        give_back()
 
     predict = F.arrow_udf(run, "lang_pred string, score double")
     rows = docs.select(*[F.col(quoted(c)) for c in docs.columns], predict(F.col("text").cast("string")).alias("__langid"))
@@ -248,6 +249,7 @@ def identify_keys(docs: DataFrame, model: Crf) -> DataFrame:
             names, scores = shared.value.predict(batch.column("text").to_pylist())
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(names), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
         shared.value.forget()
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     few = docs.select(F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage_table
+from .common import give_back, slices, stage_table
 from .tokens import encoder, with_end
 
 _PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -41,6 +41,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, size: int) -> DataFram
             crcs = [zlib.crc32(flat[a:b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
             yield pa.record_batch([batch.column("doc_id").take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
         encoder(path, 450_000).forget()  # workers serve other stages, too
+        give_back()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PIECE)
 
