@@ -1,4 +1,4 @@
-"""Format-preserving Feistel pseudonyms for personal numbers, addresses and dates, in DataFrame functions alone.
+"""Format-preserving Feistel pseudonyms for private numbers, addresses, keys and dates, in DataFrame functions alone.
 
 A value is found by its format, validated, and permuted with a key within its format, so a pseudonym is valid
 again and equal values stay linked across documents, whatever separators they are written with:
@@ -8,6 +8,8 @@ again and equal values stay linked across documents, whatever separators they ar
 - social security numbers: ddd-dd-dddd in assigned ranges; leading digits keep to non-zero ones
 - IPv4 addresses: four octets up to 255, permuted as one 32-bit number
 - e-mail addresses: the local part, letters as letters and digits as digits; the domain stays
+- access keys and values of password, secret, token and the like with a digit: digits as digits, letters as letters of
+  their case, hexadecimal values as such
 - dates: yyyy-mm-dd, dd/mm/yyyy, mm/dd/yyyy and dd.mm.yyyy that exist, permuted as day numbers within 400 years
 
 Digits and letters go through eight alternating Feistel rounds: the one half shifts each character of the other
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import quoted
 
 #: Formats, tried in this order where several fit. No group of the whole captures.
+_NAMED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[ ]?[=:][ ]?[\"']?"
 PATTERNS = {
+    "secret": rf"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{{16}}|{_NAMED}(?=[A-Za-z+/_-]*\d)[A-Za-z0-9+/_-]{{8,128}})(?![A-Za-z0-9+/_-])",
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,62}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "date": r"(?<![\d.,/-])(?:\d{4}-\d\d-\d\d|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4})(?![\d/-])",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
@@ -36,7 +40,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 ROUNDS = 8
-_ALPHABETS = {"9": "0123456789", "N": "23456789", "Z": "123456789", "S": "1234578", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+_ALPHABETS = {"9": "0123456789", "N": "23456789", "Z": "123456789", "S": "1234578", "x": "0123456789abcdef", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 
 def _let(value: Column, use) -> Column:
@@ -190,10 +194,23 @@ def _ip(m: Column, key: str) -> Column:
     return F.when(F.forall(octets, lambda x: x < 256), _let(feistel_pair(number, 1 << 16, 1 << 16, key, "ip"), text)).otherwise(m)
 
 
+def _classes(text: Column) -> Column:
+    """The mask of a text by the class of each character."""
+    for pattern, name in (("[^A-Za-z0-9]", "."), ("[a-z]", "a"), ("[A-Z]", "A"), ("[0-9]", "9")):
+        text = F.regexp_replace(text, pattern, name)
+    return text
+
+
+def _secret(m: Column, key: str) -> Column:
+    head = F.regexp_extract(m, f"^(?:AKIA|{_NAMED})", 0)
+    value = F.substring(m, F.length(head) + 1, F.length(m))
+    mask = F.when(value.rlike("^[0-9a-f]+$"), F.repeat(F.lit("x"), F.length(value))).otherwise(_classes(value))
+    return F.concat(head, feistel_text(value, mask, key, "secret"))
+
+
 def _email(m: Column, key: str) -> Column:
     local = F.substring_index(m, "@", 1)
-    mask = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(local, "[^A-Za-z0-9]", "."), "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "9")
-    return F.concat(feistel_text(local, mask, key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
+    return F.concat(feistel_text(local, _classes(local), key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _date(m: Column, key: str) -> Column:
@@ -227,8 +244,8 @@ def _date(m: Column, key: str) -> Column:
 
 def kind_of(m: Column) -> Column:
     """Which format a match has."""
-    out = F.when(m.contains("@"), F.lit("email"))
-    for name, pattern in list(PATTERNS.items())[1:]:
+    out = F.when(m.rlike(f"^(?:AKIA[0-9A-Z]{{16}}$|{_NAMED})"), F.lit("secret")).when(m.contains("@"), F.lit("email"))
+    for name, pattern in list(PATTERNS.items())[2:]:
         bare = pattern
         while bare.startswith("(?<!"):
             bare = bare[bare.index(")") + 1 :]
@@ -238,7 +255,7 @@ def kind_of(m: Column) -> Column:
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    made = {"email": _email, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
+    made = {"secret": _secret, "email": _email, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
 
     def by_kind(kind: Column) -> Column:
         out = m
