@@ -34,7 +34,7 @@ def binary_column(data: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 def token_ids(docs: DataFrame, path: str, end_id: int, bounds: list[int]) -> DataFrame:
-    """pid (bounds at or below the doc_id), doc_id, n, ids (32-bit, little-endian) of every document."""
+    """pid (bounds at or below the doc_id), doc_id, n, ids (little-endian, of 16 bits if they all fit, or else of 32)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array(bounds, np.int64)
@@ -43,7 +43,8 @@ def token_ids(docs: DataFrame, path: str, end_id: int, bounds: list[int]) -> Dat
             ids = batch.column("doc_id")
             pid = np.searchsorted(edges, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
             pid[ids.is_null().to_numpy(zero_copy_only=False)] = 0
-            yield pa.record_batch([pa.array(pid, pa.int32()), ids, pa.array(n), binary_column(flat, np.cumsum(n) * 4)], names=["pid", "doc_id", "n", "ids"])
+            flat = flat.astype("<u2") if flat.max() < 1 << 16 else flat.astype("<u4")
+            yield pa.record_batch([pa.array(pid, pa.int32()), ids, pa.array(n), binary_column(flat, np.cumsum(n) * flat.itemsize)], names=["pid", "doc_id", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _IDS)
 
@@ -60,13 +61,13 @@ def _segments(most_ids: int):
 
         count = 0
         for batch in batches:
-            for pid, doc, ids in zip(*(batch.column(c).to_pylist() for c in ("pid", "doc_id", "ids")), strict=True):
+            for pid, doc, n, ids in zip(*(batch.column(c).to_pylist() for c in ("pid", "doc_id", "n", "ids")), strict=True):
                 if held and (pid != shard or count >= most_ids):
                     yield segment()
                     first = first + count if pid == shard else 0
                     held, docs, lengths, count = [], [], [], 0
                 shard = pid
-                held.append(np.frombuffer(ids, "<u4"))
+                held.append(np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4"))
                 docs.append(doc)
                 lengths.append(len(held[-1]))
                 count += lengths[-1]
