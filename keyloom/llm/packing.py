@@ -29,7 +29,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, size: int) -> DataFram
     """Every document's pieces: its first holds what is over after whole pieces of `size` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):  # looking pieces up takes some twenty bytes for each of text
             flat, n = with_end(*encoder(path, 450_000).encode(batch.column("text").to_pylist()), end_id)
             pieces = -(-n // size)
             owner = np.repeat(np.arange(len(n)), pieces)

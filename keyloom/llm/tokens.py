@@ -8,7 +8,6 @@ when it holds `most` pieces, so memory is bounded.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 
@@ -45,17 +44,16 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        normalizer = self.tokenizer.normalizer
         #: Byte-level ids keep the white space before a word; the others drop all white space.
-        self.keeps_space = spec["normalizer"] is None
-        self.lowers = "Lowercase" in json.dumps(spec["normalizer"])
+        self.keeps_space = normalizer is None
+        self.lowers = normalizer is not None and normalizer.normalize_str("A") == "a"
         self.model = self.tokenizer.model
         vocab = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.bytes_of[i] = len(token)
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         bar = self.tokenizer.encode("|", add_special_tokens=False).ids
         self.bar = bar[0] if len(bar) == 1 else None
         self.forget()
