@@ -4,7 +4,8 @@ A value is found by its format, validated, and permuted with a key within its fo
 again and equal values stay linked across documents, whatever separators they are written with:
 
 - cards: 13 to 19 digits, grouped or not, with a right Luhn digit; the first digit stays, the last is set anew
-- phones: North American numbers with or without +1; area and exchange keep 2 to 9 in front
+- phones: North American numbers; with +1 or brackets any digit is in front of area and exchange, else 2 to 9; each
+  keeps 2 to 9, or 0 to 1, in front
 - social security numbers: ddd-dd-dddd in assigned ranges; leading digits keep to non-zero ones
 - IPv4 addresses: four octets up to 255, permuted as one 32-bit number
 - e-mail addresses: the local part, letters as letters and digits as digits; the domain stays
@@ -35,12 +36,12 @@ PATTERNS = {
     "date": r"(?<![\d.,/-])(?:\d{4}-\d\d-\d\d|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4})(?![\d/-])",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\dA-Za-z])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?!\d)",
+    "phone": r"(?<![\dA-Za-z])(?:\+1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}|(?:1[ .-]?)?(?:\(\d{3}\) ?\d{3}|[2-9]\d\d[ .-][2-9]\d\d))[ .-]\d{4}(?!\d)",
     "card": r"(?<![\dA-Za-z.-])\d(?:[ -]?\d){12,18}(?![\dA-Za-z])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 ROUNDS = 8
-_ALPHABETS = {"9": "0123456789", "N": "23456789", "Z": "123456789", "S": "1234578", "x": "0123456789abcdef", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+_ALPHABETS = {"9": "0123456789", "N": "23456789", "O": "01", "Z": "123456789", "S": "1234578", "x": "0123456789abcdef", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 
 def _let(value: Column, use) -> Column:
@@ -153,7 +154,8 @@ def _card(m: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     def new(digits: Column) -> Column:
-        ten = feistel_text(F.right(digits, F.lit(10)), F.lit("N99N999999"), key, "phone")
+        area, exchange = (F.when(F.substring(F.right(digits, F.lit(10)), i, 1) < "2", F.lit("O99")).otherwise(F.lit("N99")) for i in (1, 4))
+        ten = feistel_text(F.right(digits, F.lit(10)), F.concat(area, exchange, F.lit("9999")), key, "phone")
         return _let(F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), ten), lambda x: _laid(m, x))
 
     return _let(_digits(m), new)

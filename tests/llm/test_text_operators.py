@@ -45,6 +45,17 @@ def test_keys_and_passwords(spark):
     assert re.search(r"^Secret: [a-z][A-Z]\d-[a-z]{3}_\d\+[A-Z]$", out[1]) and out[1] != "Secret: aB3-xyz_9+Q"
 
 
+def test_marked_phones_with_any_head(spark):
+    phones = ["+1 (017) 555-7713", "(988) 155-2485", "+1 017-155-7713", "1 (117) 055-7713", "+1 (988) 555-2485", "988-555-2485"]
+    out = [x[2:-2] for x in pseudo(spark, *[f"x {p} y" for p in phones])]
+    form = lambda p: (re.sub(r"\d", "9", p), [d < "2" for d in re.sub(r"\D", "", p)[-10::3][:2]])
+    assert all(a != b and form(a) == form(b) for a, b in zip(phones, out, strict=True))
+    assert re.sub(r"\D", "", out[4])[-10:] == re.sub(r"\D", "", out[5])
+    assert pseudo(spark, "017-555-7713 and 017.155.7713") == ["017-555-7713 and 017.155.7713"]
+    some = spark.range(1200).select(F.format_string("+1 (%03d) %03d-0000", (F.col("id") % 30 * 10).cast("int"), F.floor(F.col("id") / 30).cast("int") * 10).alias("p"))
+    assert some.select(pii.pseudonym(F.col("p"), "k").alias("p")).distinct().count() == 1200
+
+
 def test_clean_text_stays(spark):
     assert pseudo(spark, *CLEAN, None) == [*CLEAN, None]
 
