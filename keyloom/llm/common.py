@@ -59,6 +59,18 @@ def released(df: DataFrame, columns: Sequence[str], **new: Column) -> DataFrame:
     return df.select(*[F.col("row")[c].alias(c) for c in columns if c.lower() not in taken], *[c.alias(n) for n, c in new.items()])
 
 
+def placed(df: DataFrame) -> list[Column]:
+    """Columns that sort df's rows as they are written, or else as its partitions hold them. Spark reads the longest
+    files first, so the partitions of a table just read are not in its order."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() == "LogicalRelation" and "_metadata" not in df.columns:
+        file = F.col("_metadata.file_path")
+        return [F.length(file), file, F.col("_metadata.row_index")]
+    return [F.lit(0), F.lit(""), F.monotonically_increasing_id()]
+
+
 def give_back() -> None:
     """Returns a Python worker's free memory to the system: workers idle between tasks beside the executor's heap."""
     pa.default_memory_pool().release_unused()

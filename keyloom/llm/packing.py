@@ -3,6 +3,8 @@
 An open sequence with room for g more tokens counts in N(g). A piece goes where the sum of N(g)^2 over all g
 becomes smallest: into an open sequence, or, where none has room, into a new one. Pieces come by falling length,
 so that late short pieces find the gaps that earlier ones left. Only pieces shorter than a sequence compete.
+Pieces compete in runs of the rows' order (as written, or as in the partitions of a table that is not read from
+files), and sequences are numbered by the first row they hold a piece of: the order of a mixed corpus stays.
 
 Edge cases: a null or empty text is one piece with the end id alone. Each repeated row is packed for itself.
 Null doc_ids stay null. Other columns are ignored. An empty table gives no rows.
@@ -18,15 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, slices, stage_table
+from .common import give_back, placed, slices, stage_table
 from .tokens import encoder, with_end
 
 _PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+_ORDER = ["name", "file", "at"]
 _PLACED = f"{_PIECE}, sequence_id bigint, offset bigint"
 
 
 def token_pieces(docs: DataFrame, path: str, end_id: int, size: int) -> DataFrame:
-    """Every document's pieces: its first holds what is over after whole pieces of `size` ids."""
+    """Every document's pieces, and its place: its first holds what is over after whole pieces of `size` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):  # looking pieces up takes some twenty bytes for each of text
@@ -39,11 +42,13 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, size: int) -> DataFram
             length = np.where(piece == 0, head, size)
             at = (np.cumsum(n) - n)[owner] + start
             crcs = [zlib.crc32(flat[a:b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
-            yield pa.record_batch([batch.column("doc_id").take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            doc_id, *order = (batch.column(c).take(pa.array(owner)) for c in ("doc_id", *_ORDER))
+            yield pa.record_batch([doc_id, pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), *order], names=["doc_id", "piece", "start", "length", "ids_crc32", *_ORDER])
         encoder(path, 450_000).forget()  # workers serve other stages, too
         give_back()
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PIECE)
+    order = [c.alias(n) for c, n in zip(placed(docs), _ORDER, strict=True)]
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *order).mapInArrow(run, f"{_PIECE}, name int, file string, at bigint")
 
 
 def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,8 +85,8 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
 def pack(docs: DataFrame, path: str, end_id: int, size: int = 1024, group: int = 65_536) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
 
-    Pieces are dealt evenly to groups of about `group`, each packed by one task that holds their lengths alone;
-    a group leaves a handful of sequences part-filled, a share that doesn't grow with the data.
+    Runs of about `group` pieces in the rows' order are packed by one task each, which holds their lengths alone;
+    a run leaves a handful of sequences part-filled, a share that doesn't grow with the data.
     """
     pieces = stage_table(token_pieces(docs, path, end_id, size), "pieces")
     groups = max(1, -(-pieces.count() // group))
@@ -94,8 +99,11 @@ def pack(docs: DataFrame, path: str, end_id: int, size: int = 1024, group: int =
             return
         table = pa.Table.from_batches(got)
         sequence, offset = sum_of_squares(table.column("length").to_numpy(), size)
+        first = np.unique(sequence, return_index=True)[1]
+        sequence = np.argsort(np.argsort(first))[sequence]
         base = TaskContext.get().partitionId() << 32
         table = table.append_column("sequence_id", pa.array(sequence + base)).append_column("offset", pa.array(offset))
         yield from table.to_batches(max_chunksize=10_000)
 
-    return pieces.repartition(groups).mapInArrow(run, _PLACED)
+    runs = pieces.repartitionByRange(groups, *_ORDER, "piece").sortWithinPartitions(*_ORDER, "piece")
+    return runs.select(*pieces.columns[: -len(_ORDER)]).mapInArrow(run, _PLACED)

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from keyloom.llm import packing, simple8b, tokenfile
@@ -96,6 +97,25 @@ def test_packing(docs, texts):
         assert at <= 64
 
 
+def test_sequences_follow_the_order_of_rows(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(i, "word " * int(rng.integers(1, 60))) for i in rng.permutation(600).tolist()]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string").repartitionByRange(5, F.length("text")).sortWithinPartitions("doc_id")
+    made.write.parquet(f"{tmp_path}/t")
+    whole = [r.doc_id for r in made.collect()]
+    for table in (spark.read.parquet(f"{tmp_path}/t"), made):
+        out = packing.pack(table, P.path(NAMES[1]), 2, size=64, group=100).collect()
+        place = {d: i for i, d in enumerate(whole)}
+        by_run, first = {}, {}
+        for r in out:
+            by_run.setdefault(r.sequence_id >> 32, []).append(place[r.doc_id])
+            first[r.sequence_id] = min(first.get(r.sequence_id, 1 << 60), place[r.doc_id])
+        runs = [by_run[k] for k in sorted(by_run)]
+        assert len(runs) > 4 and all(max(a) <= min(b) for a, b in zip(runs, runs[1:]))  # noqa: B905
+        firsts = [first[k] for k in sorted(first)]
+        assert firsts == sorted(firsts)
+
+
 def test_sum_of_squares_is_near_the_least_number():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 1025, 20_000)
