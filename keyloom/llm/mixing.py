@@ -1,11 +1,11 @@
 """Pfair mixing of sources to target weights.
 
-Each source's documents, in the order of a hash, form a stream of bytes cut into blocks. Block i (from 0) of a
-source with weight w is released at slot floor(i / w) and due by slot ceil((i + 1) / w); each slot goes to the
-released block that is due first. Every source is then always less than one block from its weight.
-Weights are multiples of 1 / frame, so the schedule repeats every `frame` slots: one frame is computed on the
-driver, and each document finds its slot from its block number alone. When a source ends, a phase ends; the
-others share its weight in proportion in the next phase, so that every document gets a slot.
+Each source's documents, in the order of a hash, form a stream of bytes cut into blocks. In the fluid mix every source
+flows at its exact weight, and when one ends the others share its weight in proportion. A block is released at the
+slot in which the fluid mix begins it and due by the slot after the one in which that ends it; each slot goes to the
+released block that is due first. The fluid mix fills every slot and serves each block inside its window, so windows
+can all be met, and earliest deadline first meets them: a source is always less than one block from its exact share,
+however long the input. The driver runs through the blocks once (16,000 a GB); rows find theirs by a join.
 
 Edge cases: null sources form one source. Null or empty texts count one byte, as the end of any text. Repeated
 rows each get a place. Beyond `classes` sources the smallest share one class, which is mixed as one source.
@@ -14,9 +14,13 @@ Other columns pass through. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from bisect import bisect
+from collections.abc import Callable, Mapping
+from fractions import Fraction
+from heapq import heapify, heappop, heappush
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,41 +40,61 @@ def quantise(weights: list[float], frame: int) -> list[int]:
     return slots
 
 
-def edf_frame(slots: list[int]) -> np.ndarray:
-    """Which source has each slot of a frame, by earliest deadline among released blocks."""
-    share, frame = np.array(slots), sum(slots)
-    done = np.zeros(len(slots), np.int64)
-    out = np.zeros(frame, np.int64)
-    for t in range(frame):
-        due = -(-(done + 1) * frame // share)
-        due[(done * frame // share > t) | (done >= share)] = np.iinfo(np.int64).max
-        out[t] = i = int(due.argmin())
-        done[i] += 1
+def fluid_windows(blocks: list[int], weights: list[float]) -> Callable[[int, int], tuple[int, int]]:
+    """Where in the fluid mix block i of source s begins, in slots, as floor and ceiling; all in whole numbers.
+
+    At virtual time v source s has had min(v * weight, blocks), so i blocks at i / weight, when the sources that end
+    before have had all of theirs and the others v times their weights."""
+    exact = [Fraction(w) for w in weights]
+    scale = max((w.denominator for w in exact), default=1)  # of floats: powers of two
+    share = [w.numerator * (scale // w.denominator) for w in exact]
+    order = sorted(range(len(blocks)), key=lambda s: Fraction(blocks[s], share[s]))
+    ends = [blocks[s] / share[s] for s in order]
+    had, live = [0], [sum(share)]
+    for s in order:
+        had.append(had[-1] + blocks[s])
+        live.append(live[-1] - share[s])
+
+    def at(s: int, i: int) -> tuple[int, int]:
+        p = bisect(ends, i / share[s])
+        while p < len(order) and blocks[order[p]] * share[s] <= i * share[order[p]]:
+            p += 1
+        while p and blocks[order[p - 1]] * share[s] > i * share[order[p - 1]]:
+            p -= 1
+        whole, rest = divmod(i * live[p], share[s])
+        return had[p] + whole, had[p] + whole + (rest > 0)
+
+    return at
+
+
+def edf(blocks: list[int], weights: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each slot: its source, that source's block number, the block's release and its deadline."""
+    at, n = fluid_windows(blocks, weights), sum(blocks)
+    out = tuple(np.zeros(n, np.int64) for _ in range(4))
+    waiting = [(0, s, 0, at(s, 1)) for s, b in enumerate(blocks) if b]  # release, source, block, and where the next begins
+    ready: list[tuple] = []
+    heapify(waiting)
+    for t in range(n):
+        while waiting and waiting[0][0] <= t:
+            release, s, i, (following, deadline) = heappop(waiting)
+            heappush(ready, (deadline, s, i, release, following))
+        deadline, s, i, release, following = heappop(ready)
+        for column, x in zip(out, (s, i, release, deadline), strict=True):
+            column[t] = x
+        if i + 1 < blocks[s]:
+            heappush(waiting, (following, s, i + 1, at(s, i + 2)))
     return out
 
 
+def edf_frame(slots: list[int]) -> np.ndarray:
+    """Which source has each slot, where each is to have so many and all end together."""
+    return edf(slots, slots)[0]
+
+
 def phases(blocks: list[int], weights: list[float], frame: int) -> list[dict]:
-    """For each phase and each source in it: its first block, blocks it gets, the phase's first slot, and slots."""
-    left, first, base, out = list(blocks), [0] * len(blocks), 0, []
-    while any(left):
-        live = [i for i, n in enumerate(left) if n]
-        share = quantise([weights[i] for i in live], frame)
-        plan = edf_frame(share)
-        at = {i: np.flatnonzero(plan == j) for j, i in enumerate(live)}
-        whole = min(left[i] // len(at[i]) for i in live)
-        rest = {i: left[i] - whole * len(at[i]) for i in live}
-        # The phase ends with the slot in which a source has its last block.
-        if any(n == 0 for n in rest.values()):
-            end = 0
-        else:
-            end = min(int(at[i][rest[i] - 1]) + 1 for i in live if rest[i] <= len(at[i]))
-        for i in live:
-            got = whole * len(at[i]) + int((at[i] < end).sum())
-            out.append({"source": i, "first": first[i], "blocks": got, "base": base, "slots": at[i].tolist()})
-            first[i] += got
-            left[i] -= got
-        base += whole * frame + end
-    return out
+    """The slots of each source's blocks. The schedule has no frame that repeats, whatever `frame` says."""
+    source = edf(blocks, weights)[0]
+    return [{"source": s, "first": 0, "blocks": b, "base": 0, "slots": np.flatnonzero(source == s).tolist()} for s, b in enumerate(blocks)]
 
 
 def text_size() -> Column:
@@ -85,7 +109,7 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, temper
     """carried() docs with mix_class, size, block, release, deadline, slot and start, and the number of slots.
 
     weights: of sources by name (others none: they come after); None: bytes to the power of temperature. size and
-    spin: bytes and place of a row, by default those of its text (text_size, text_spin).
+    spin: bytes and place of a row, by default those of its text (text_size, text_spin). least_frame: without effect.
     """
     spark = docs.sparkSession
     source = F.coalesce(F.col("source").cast("string"), F.lit(_NULL))
@@ -101,37 +125,29 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, temper
     rows = rows.select("row", "size", "spin", mixed.alias("mix_class"), cell.alias("cell"))
     cells = stage_table(rows.groupBy("mix_class", "cell").agg(F.sum("size").alias("bytes")), "cells")
     before = Window.partitionBy("mix_class").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    ends = cells.select("mix_class", "cell", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("offset"))
+    ends = cells.select("mix_class", "cell", "bytes", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("offset"))
     totals = {r.mix_class: r.bytes for r in cells.groupBy("mix_class").agg(F.sum("bytes").alias("bytes")).collect()}
     order = sorted(totals)
     share = [(weights or {}).get("" if c == _NULL else c, 0.0) if weights else float(totals[c]) ** temperature for c in order]
     if weights:  # sources without a weight come after those with one: a weight too small for a slot of their own
         share = [w or min([x for x in share if x] or [1.0]) * 1e-9 for w in share]
     blocks = [-(-totals[c] // block_bytes) for c in order]
-    frame = max(least_frame, 16 * len(order))
-    plan = phases(blocks, share, frame)
-    slots = sum(blocks)
-    table = spark.createDataFrame(
-        [(order[p["source"]], p["first"], p["first"] + p["blocks"], p["base"], frame, p["slots"]) for p in plan if p["blocks"]],
-        "mix_class string, first bigint, last bigint, base bigint, frame bigint, slots array<bigint>",
-    )
+    owner, block, release, deadline = edf(blocks, share)
+    slots = len(owner)
+    columns = [pa.array(order, pa.string()).take(pa.array(owner)), pa.array(block), pa.array(np.arange(slots)), pa.array(release), pa.array(deadline)]
+    table = stage_table(spark.createDataFrame(pa.table(columns, names=["mix_class", "block", "slot", "release", "deadline"])), "slots")
+    # Each cell gets the slots of the blocks it has bytes in, so rows need no further exchange.
+    first, last = (F.floor(x / F.lit(block_bytes)).cast("bigint") for x in (F.col("offset"), F.col("offset") + F.col("bytes") - 1))
+    plan = F.sort_array(F.collect_list(F.struct("block", "slot", "release", "deadline")))
+    ends = ends.withColumn("block", F.explode(F.sequence(first, last))).join(table, ["mix_class", "block"]).groupBy("mix_class", "cell", "offset").agg(plan.alias("plan"))
     inside = Window.partitionBy("mix_class", "cell").orderBy("spin", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("size").over(inside), F.lit(0))
     placed = rows.withColumn("inside", start).join(ends, ["mix_class", "cell"])
-    placed = placed.withColumn("start", F.col("offset") + F.col("inside")).withColumn("block", F.floor(F.col("start") / F.lit(block_bytes)).cast("bigint"))
-    # The table has classes x phases rows and frame x phases slots in all: under 256 x 4096 numbers.
-    b = F.col("block")
-    placed = placed.join(F.broadcast(table.withColumnRenamed("mix_class", "c")), (F.col("c") == F.col("mix_class")) & (b >= F.col("first")) & (b < F.col("last")))
-    turn, per = b - F.col("first"), F.size("slots")
-
-    def div(x: Column, y: Column) -> Column:
-        return F.floor(x / y).cast("bigint")
-
-    slot = F.col("base") + div(turn, per) * F.col("frame") + F.element_at("slots", (turn % per + 1).cast("int"))
-    release = F.col("base") + div(turn * F.col("frame"), per)
-    deadline = F.col("base") + F.ceil((turn + 1) * F.col("frame") / per).cast("bigint")
+    placed = placed.withColumn("start", F.col("offset") + F.col("inside"))
+    b = F.floor(F.col("start") / F.lit(block_bytes)).cast("bigint")
+    placed = placed.withColumn("at", F.element_at("plan", (b - F.col("plan")[0]["block"] + 1).cast("int")))
     name = F.when(F.col("mix_class") == _NULL, F.lit(None)).when(F.col("mix_class") == _REST, F.lit("*")).otherwise(F.col("mix_class"))
-    return placed.select("row", name.alias("mix_class"), "size", "block", release.alias("release"), deadline.alias("deadline"), slot.alias("slot"), "start"), slots
+    return placed.select("row", name.alias("mix_class"), "size", "at.block", "at.release", "at.deadline", "at.slot", "start"), slots
 
 
 _NEW = ("mix_class", "size", "block", "release", "deadline", "slot", "start")

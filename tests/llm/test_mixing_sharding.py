@@ -25,6 +25,28 @@ def test_phases_place_every_block_once():
     assert sorted(places) == list(range(sum(blocks)))
 
 
+def test_deviation_from_the_exact_weights_over_many_frames():
+    weights = [0.1395, *np.linspace(0.02, 0.08, 19).tolist()]
+    exact = np.array(weights) / sum(weights)
+    blocks = [int(20_000 * w) for w in exact]  # nearly all end together, so the first end comes after many frames
+    places = {p["source"]: [p["base"] + j // len(p["slots"]) * 1024 + p["slots"][j % len(p["slots"])] for j in range(p["blocks"])] for p in mixing.phases(blocks, weights, 1024) if p["base"] == 0}
+    end = min(max(x) for x in places.values()) + 1
+    assert end > 15 * 1024
+    for s, at in places.items():
+        got = np.cumsum(np.bincount([x for x in at if x < end], minlength=end))
+        assert (np.abs(got - np.arange(1, end + 1) * exact[s]) < 1).all()
+
+
+def test_every_block_lies_in_its_window_when_sources_end():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        k = int(rng.integers(1, 30))
+        blocks, weights = rng.integers(1, 60, k).tolist(), (rng.random(k) + 1e-9).tolist()
+        source, block, release, deadline = mixing.edf(blocks, weights)
+        assert sorted(zip(source.tolist(), block.tolist(), strict=True)) == [(s, i) for s in range(k) for i in range(blocks[s])]
+        assert (release <= np.arange(len(source))).all() and (np.arange(len(source)) < deadline).all()
+
+
 def test_mix(docs, texts):
     out = mixing.mix(docs, block_bytes=200, least_frame=64).collect()
     assert len(out) == len(texts) and sorted(r.doc_id for r in out) == list(range(len(texts)))
