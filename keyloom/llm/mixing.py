@@ -8,7 +8,8 @@ can all be met, and earliest deadline first meets them: a source is always less
 however long the input. The driver runs through the blocks once (16,000 a GB); rows find theirs by a join.
 
 Edge cases: null sources form one source. Null or empty texts count one byte, as the end of any text. Repeated
-rows each get a place. Beyond `classes` sources the smallest share one class, which is mixed as one source.
+rows each get a place. Every source is a class of its own; only where `classes` is given do the smallest beyond so many
+share one, those named in weights never. The driver holds a row for each source and for each block.
 Other columns pass through. An empty table gives no rows.
 """
 
@@ -105,7 +106,7 @@ def text_spin() -> Column:
     return F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))
 
 
-def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, block_bytes: int = 65_536, classes: int = 256, least_frame: int = 1024, size: Column | None = None, spin: Column | None = None) -> tuple[DataFrame, int]:
+def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, block_bytes: int = 65_536, classes: int | None = None, least_frame: int = 1024, size: Column | None = None, spin: Column | None = None) -> tuple[DataFrame, int]:
     """carried() docs with mix_class, size, block, release, deadline, slot and start, and the number of slots.
 
     weights: of sources by name (others none: they come after); None: bytes to the power of temperature. size and
@@ -115,10 +116,12 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, temper
     source = F.coalesce(F.col("source").cast("string"), F.lit(_NULL))
     rows = carried(docs, source=source, size=text_size() if size is None else size, spin=text_spin() if spin is None else spin)
     totals = rows.groupBy("source").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    top = totals.orderBy(F.desc("bytes"), "source").limit(classes - 1).collect()
     n = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    names = [r.source for r in top]
-    mixed = F.when(F.col("source").isin(names), F.col("source")).otherwise(F.lit(_REST)) if names else F.lit(_REST)
+    mixed = F.col("source")
+    if classes is not None:
+        names = [x for c in weights or {} for x in ([c, _NULL] if c == "" else [c])]
+        names += [r.source for r in totals.filter(~F.col("source").isin(names)).orderBy(F.desc("bytes"), "source").limit(max(0, classes - 1 - len(weights or {}))).collect()]
+        mixed = F.when(F.col("source").isin(names), F.col("source")).otherwise(F.lit(_REST))
     # Cells of a source in hash order, of some thousand rows each: prefix sums without one task a source.
     bits = max(1, min(40, int(n // 4096).bit_length()))
     cell = F.shiftrightunsigned(F.col("spin"), 64 - bits)

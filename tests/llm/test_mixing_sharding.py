@@ -72,6 +72,21 @@ def test_mix_weights_and_rest(docs, texts, nothing):
     assert ordered.columns == docs.columns and ordered.count() == len(texts)
 
 
+def test_every_source_is_mixed_at_its_own_weight(spark):
+    rows = [(i, f"text {i} " * (1 + i % 3), f"site{i % 600}") for i in range(3000)]
+    many = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = mixing.mix(many, block_bytes=32).collect()
+    assert len(out) == 3000 and all(r.mix_class == r.source for r in out)
+    assert all(r.release <= r.slot < r.deadline for r in out)
+    small = {"site1": 3.0, "site2": 1.0}  # named ones come first, also where the others are pooled
+    for classes in (None, 3, 2):
+        named = mixing.mix(many, weights=small, block_bytes=32, classes=classes).collect()
+        last = max(r.slot for r in named if r.source in small)
+        assert {r.mix_class for r in named if r.source in small} == set(small)
+        assert last <= 1.2 * sum(len(r.text) + 1 for r in named if r.source in small) / 32 + 5
+        assert len(named) == 3000
+
+
 def test_mixed_order_holds_over_partitions(docs):
     place = {r.doc_id: (r.slot, r.start) for r in mixing.mix(docs.drop("slot"), block_bytes=100).collect()}
     seen = [place[r.doc_id] for r in mixing.mixed_documents(docs.drop("slot"), block_bytes=100).collect()]
