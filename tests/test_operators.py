@@ -291,3 +291,13 @@ def test_modules(spark):
     assert len(shares) == 2 and all(800 < r["count"] < 1200 for r in shares)
     kv = rows(spark, "key string, value string", ("s:1:c:2", "v"), ("x", "y"))
     assert got(modules.sessions(kv)) == [("1", "2", "v")]
+
+
+def test_more_queries_than_one_search_takes(spark, monkeypatch):
+    from keyloom.operators import vectors
+
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)]
+    v = spark.createDataFrame(rows, "element bigint, vector array<double>")
+    want = sorted(vectors.vsim(v, rows, 3).collect())
+    monkeypatch.setattr(vectors, "MOST_QUERIES", 11)
+    assert sorted(vectors.vsim(v, rows, 3).collect()) == want and len(want) == 120
