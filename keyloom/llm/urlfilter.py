@@ -3,7 +3,7 @@
 A rule (verdict, host, path) fits its host and all subdomains where the url's path starts with its path; of those
 that fit, the longest wins and decides. Other pages ask their aliases: urls that differ in what redirects away
 (scheme, www. or m., fragment, tracking parameters, a last slash or .html) are one address, and addresses linked by
-a page's canonical link or refresh redirect are one component. A component with a page that a rule allows is
+any canonical link or refresh redirect of a page (seen from its url) are one component. A component with a page that a rule allows is
 allowed; else one with a page that a rule blocks is blocked; else it is allowed. So a page's own rule comes before
 its aliases', and an explicit allow before a block.
 
@@ -25,7 +25,9 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TRACKING = r"(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
 _CANONICAL = r"""(?i)<link\b[^>]*\brel=["']?canonical["']?[^>]*>"""
 _HREF = r"""(?i)\bhref=["']?([^"'\s>]+)"""
-_REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv=["']?refresh["']?[^>]*\burl=["']?([^"'\s>]+)"""
+_REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv=["']?refresh\b[^>]*>"""
+_TO = r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def host_of(url: Column) -> Column:
@@ -45,7 +47,26 @@ def address(url: Column) -> Column:
 
 
 def _linked(html: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(F.regexp_extract(html, _CANONICAL, 0), _HREF, 1), F.lit("")), F.nullif(F.regexp_extract(html, _REFRESH, 1), F.lit("")))
+    """What all canonical links and refreshes of a page name."""
+
+    def named(tag: str, value: str) -> Column:
+        return F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, value, 1))
+
+    return F.filter(F.array_distinct(F.concat(named(_CANONICAL, _HREF), named(_REFRESH, _TO))), lambda x: x != "")
+
+
+def resolved(target: Column, host: Column, path: Column) -> Column:
+    """A link's url, as seen from a page; null where it leads to no address."""
+    to = F.regexp_extract(target, "^[^?#]*", 0)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, "^.*/", 0), F.lit("")), F.lit("/"))
+    whole = F.when(to.startswith("/"), to).when(to == "", path).otherwise(F.concat(folder, to))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+
+    parts = F.aggregate(F.split(F.regexp_replace(whole, "^/", ""), "/"), F.array().cast("array<string>"), step)
+    own = F.concat(F.lit("https://"), host, F.lit("/"), F.array_join(parts, "/"), F.regexp_extract(target, r"\?[^#]*", 0))
+    return F.when(target.rlike(f"{_SCHEME}//"), target).when(target.startswith("//"), F.concat(F.lit("https:"), target)).when(~target.rlike(_SCHEME) & ~target.startswith("#"), own)
 
 
 def _by_rules(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -70,11 +91,10 @@ def _by_rules(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], links: DataFrame | None = None) -> DataFrame:
     """pages with host, path, rule and verdict. links: further redirects as urls (a, b)."""
     url, html = F.col("url").cast("string"), F.col("html").cast("string")
-    rows = carried(pages, host=host_of(url), path=path_of(url), address=address(url), target=_linked(html), url=url)
+    rows = carried(pages, host=host_of(url), path=path_of(url), address=address(url), targets=_linked(html), url=url)
     rows = _by_rules(rows, rules)
-    target = F.when(F.col("target").contains("://"), F.col("target")).when(F.col("target").startswith("//"), F.concat(F.lit("https:"), "target"))
-    target = target.when(F.col("target").startswith("/"), F.concat(F.lit("https://"), F.col("host"), F.col("target")))
-    edges = rows.select(F.col("address").alias("a"), address(target).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    linked = rows.filter("address IS NOT NULL").select("address", "host", "path", F.explode("targets").alias("target"))
+    edges = linked.select(F.col("address").alias("a"), address(resolved(F.col("target"), F.col("host"), F.col("path"))).alias("b")).filter("b IS NOT NULL AND a <> b")
     if links is not None:
         edges = edges.union(links.select(address(F.col("a")).alias("a"), address(F.col("b")).alias("b")))
     edges = stage_table(edges.distinct(), "links")

@@ -197,6 +197,19 @@ def test_redirects_given_apart(spark, pages):
     assert urlfilter.judge(pages.filter("page_id < 0"), RULES).count() == 0
 
 
+def test_all_links_of_a_page_count(spark):
+    self = '<link rel="canonical" href="http://p.net/d/1">'
+    rows = [
+        ("http://p.net/d/1", self + '<meta http-equiv="refresh" content="0; url=http://q.com/de/1">'), ("http://r.net/d/1?a=1", '<meta content="0; URL=http://q.com/de/2" http-equiv="refresh">'),
+        ("http://s.net/d/1", '<link rel=canonical href="../e/./x">'), ("http://s.net/e/x", '<meta http-equiv=refresh content="0;url=//q.com/de/3">'), ("http://t.net/d/1", '<link rel=canonical href="?p=2">'),
+        ("http://t.net/d/1?p=2", '<meta http-equiv=refresh content="0;url=b.html">'), ("http://t.net/d/b", '<link rel=canonical href="http://q.com/de/4">'), ("http://u.net/", '<link rel=canonical href="mailto:x@q.com">'),
+        *[(f"http://q.com/de/{i}", None) for i in range(1, 5)],
+    ]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id int, url string, html string")
+    out = [r.verdict for r in urlfilter.judge(df, RULES).orderBy("page_id").collect()]
+    assert out == ["block"] * 7 + ["allow"] + ["block"] * 4
+
+
 # Language
 EN = "the cat and the dog were in the house with this thing that they have"
 FR = "le chat et le chien dans la maison avec cette chose que nous avons été"
