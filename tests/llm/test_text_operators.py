@@ -163,6 +163,15 @@ def test_media_round_trip(docs, texts, nothing):
     assert telephony.digests(telephony.store(nothing)).count() == 0
 
 
+def test_resampled_pcm_is_stored(docs, texts, monkeypatch):
+    tables, write = {}, telephony.stage_table
+    monkeypatch.setattr(telephony, "stage_table", lambda df, name: tables.setdefault(name, write(df, name)))
+    out = {r.doc_id: r.feature for r in telephony.digests(telephony.store(docs)).collect()}
+    pcm = {r.doc_id: bytes(r.pcm) for r in tables["pcm"].collect()}
+    assert pcm.keys() == out.keys() == set(range(len(texts)))
+    assert all(out[i].endswith(f"pcm16k={zlib.crc32(x):08x}") and f" n={len(x) // 4} " in out[i] for i, x in pcm.items())
+
+
 # URLs
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
