@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -17,11 +18,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Of each thread: the folders of the tables it staged and has not dropped.
+_STAGED = threading.local()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local session, whose
+    executors are the driver, gets one of its own; a cluster gets an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     base = base or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: staged tables need a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="keyloom-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -30,14 +38,52 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stage_table(df: DataFrame, name: str, codec: str = "zstd", limit: int = 0) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, which cuts its lineage: a lost
-    executor costs no recomputation of what stands above. limit: most rows in a file (0: any)."""
+    executor costs no recomputation of what stands above. limit: most rows in a file (0: any).
+
+    The table stays until drop() or sweep(): a result that is not consumed yet may read it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/keyloom-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/keyloom-{uuid.uuid4().hex}"
     writer = df.write.option("compression", codec)
     if limit:
         writer = writer.option("maxRecordsPerFile", limit)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer.parquet(f"{folder}/{name}")
+    out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out.staged_in = folder
+    _folders().append(folder)
+    return out
+
+
+def _folders() -> list[str]:
+    if not hasattr(_STAGED, "folders"):
+        _STAGED.folders = []
+    return _STAGED.folders
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that stage_table() returned and nothing reads any more."""
+    for df in tables:
+        if folder := getattr(df, "staged_in", None):
+            _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if folder in _folders():
+        _folders().remove(folder)
+
+
+def staged() -> int:
+    """A mark for sweep()."""
+    return len(_folders())
+
+
+def sweep(spark: SparkSession, mark: int = 0, *keep: DataFrame) -> None:
+    """Deletes what this thread staged since the mark, but for the tables to keep. To be called once the results that
+    read those tables are written or collected."""
+    kept = {df.staged_in for df in keep}
+    for folder in [f for f in _folders()[mark:] if f not in kept]:
+        _delete(spark, folder)
 
 
 def partitions(spark: SparkSession) -> int:

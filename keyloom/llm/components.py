@@ -1,7 +1,8 @@
 """Distributed connected components: least labels spread over links, with jumps to a label's own label.
 
 Nothing but one count a round comes to the driver. Each round is written to the shared folder, which cuts its
-lineage.
+lineage, and the round before is deleted then. Least labels combine on the map side; a hub's links meet in one join
+key, which adaptive execution splits, since the other side has one row for it.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import drop, stage_table
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,7 +21,8 @@ def components(links: DataFrame) -> DataFrame:
     links = links.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL")
     both = links.union(links.select("b", "a")).distinct().toDF("node", "other")
     both = stage_table(both, "links")
-    labels = stage_table(both.groupBy("node").agg(F.least(F.first("node"), F.min("other")).alias("component")), "labels")
+    table = stage_table(both.groupBy("node").agg(F.least(F.first("node"), F.min("other")).alias("component")), "labels")
+    labels = table
     while True:
         # The least label among the neighbours of a node and itself, then the label of that label.
         near = both.join(labels.toDF("other", "label"), "other").groupBy("node").agg(F.min("label").alias("label"))
@@ -29,6 +31,8 @@ def components(links: DataFrame) -> DataFrame:
         step = jumped.select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component"))
         step = stage_table(step, "labels")
         changed = step.filter("old <> component").limit(1).count()
-        labels = step.select("node", "component")
+        drop(table)
+        table, labels = step, step.select("node", "component")
         if not changed:
+            drop(both)
             return labels

@@ -6,7 +6,8 @@ again and equal values stay linked across documents, whatever separators they ar
 - cards: 13 to 19 digits, grouped or not, with a right Luhn digit; the first digit stays, the last is set anew
 - phones: North American numbers; with +1 or brackets any digit is in front of area and exchange, else 2 to 9; each
   keeps 2 to 9, or 0 to 1, in front
-- social security numbers: ddd-dd-dddd in assigned ranges; leading digits keep to non-zero ones
+- social security numbers: ddd-dd-dddd, permuted as numbers of the assigned ranges (areas 001 to 899 but 666, groups
+  from 01, serials from 0001)
 - IPv4 addresses: four octets up to 255, permuted as one 32-bit number
 - e-mail addresses: the local part, letters as letters and digits as digits; the domain stays
 - access keys and values of password, secret, token and the like with a digit: digits as digits, letters as letters of
@@ -14,8 +15,11 @@ again and equal values stay linked across documents, whatever separators they ar
 - dates: yyyy-mm-dd, dd/mm/yyyy, mm/dd/yyyy and dd.mm.yyyy that exist, permuted as day numbers within 400 years
 
 Digits and letters go through eight alternating Feistel rounds: the one half shifts each character of the other
-within its alphabet, by a SHA-512 of key, kind, round and half. Day numbers (189 x 773 of them in 400 years) and
-addresses (2^16 x 2^16) go through the same rounds as pairs of numbers.
+within its alphabet, by a SHA-512 of key, kind, round and half. Day numbers (189 x 773 of them in 400 years),
+addresses (2^16 x 2^16) and social security numbers (898 x 99 by 9999) go through the same rounds as pairs of numbers.
+
+Whoever has the key can undo a pseudonym: it is a parameter, and queries take it from spark.keyloom.pii.key.
+No pattern repeats a group more than 126 times (a host has at most 127 labels), so no text exhausts the stack.
 
 Edge cases: null stays null, empty stays empty. A value that fails validation is left alone. A local part of one
 character may map to itself. Texts of any length are rewritten whole; equal texts give equal results.
@@ -23,7 +27,9 @@ character may map to itself. Texts of any length are rewritten whole; equal text
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import quoted
@@ -31,8 +37,8 @@ from .common import quoted
 #: Formats, tried in this order where several fit. No group of the whole captures.
 _NAMED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[ ]?[=:][ ]?[\"']?"
 PATTERNS = {
-    "secret": rf"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{{16}}|{_NAMED}(?=[A-Za-z+/_-]*\d)[A-Za-z0-9+/_-]{{8,128}})(?![A-Za-z0-9+/_-])",
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,62}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "secret": rf"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{{16}}|{_NAMED}(?=[A-Za-z+/_-]*\d)[A-Za-z0-9+/_-]{{8,1024}})(?![A-Za-z0-9+/_-])",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,62}@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "date": r"(?<![\d.,/-])(?:\d{4}-\d\d-\d\d|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4})(?![\d/-])",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -41,7 +47,16 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 ROUNDS = 8
-_ALPHABETS = {"9": "0123456789", "N": "23456789", "O": "01", "Z": "123456789", "S": "1234578", "x": "0123456789abcdef", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+PUBLIC_KEY = "keyloom"
+_ALPHABETS = {"9": "0123456789", "N": "23456789", "O": "01", "x": "0123456789abcdef", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
+def key_of(spark: SparkSession) -> str:
+    """The key of spark.keyloom.pii.key; where that is unset a public one, for tests and measurements alone."""
+    key = spark.conf.get("spark.keyloom.pii.key", None) or spark.sparkContext.getConf().get("spark.keyloom.pii.key")
+    if key is None:
+        warnings.warn("spark.keyloom.pii.key is not set: pseudonyms made with the public key can be undone by anyone", stacklevel=2)
+    return key or PUBLIC_KEY
 
 
 def _let(value: Column, use) -> Column:
@@ -161,29 +176,24 @@ def _phone(m: Column, key: str) -> Column:
     return _let(_digits(m), new)
 
 
-def _ssn_mask(digits: Column) -> Column:
-    """Leading zeros of a part stay, its first other digit stays non-zero; areas from 900 aren't assigned."""
-
-    def led(part: Column, head: str) -> Column:
-        zeros = F.length(F.regexp_extract(part, "^0*", 0))
-        return F.concat(F.repeat(F.lit("."), zeros), F.when(zeros > 0, F.lit("Z")).otherwise(F.lit(head)), F.repeat(F.lit("9"), F.length(part) - zeros - 1))
-
-    area = F.when(F.substring(digits, 1, 1) == "6", F.lit(".99")).otherwise(led(F.substring(digits, 1, 3), "S"))
-    return F.concat(area, led(F.substring(digits, 4, 2), "Z"), led(F.substring(digits, 6, 4), "Z"))
-
-
 def _ssn(m: Column, key: str) -> Column:
-    def new(digits: Column) -> Column:
-        return feistel_text(digits, _ssn_mask(digits), key, "ssn")
+    def parts(digits: Column) -> Column:
+        return F.struct(*[F.substring(digits, at, n).cast("bigint").alias(name) for name, at, n in (("area", 1, 3), ("group", 4, 2), ("serial", 6, 4))])
 
-    def valid(digits: Column) -> Column:
-        area = F.substring(digits, 1, 3)
-        return ~area.isin("000", "666") & (F.substring(area, 1, 1) != "9") & (F.substring(digits, 4, 2) != "00") & (F.substring(digits, 6, 4) != "0000")
+    def number(p: Column) -> Column:
+        valid = p["area"].between(1, 899) & (p["area"] != 666) & (p["group"] > 0) & (p["serial"] > 0)
+        place = p["area"] - 1 - (p["area"] > 666).cast("bigint")
+        return F.when(valid, (place * 99 + p["group"] - 1) * 9999 + p["serial"] - 1)
+
+    def text(new: Column) -> Column:
+        place = F.floor(new / (99 * 9999)).cast("bigint")
+        area, group, serial = place + 1 + (place >= 665).cast("bigint"), F.pmod(F.floor(new / 9999), F.lit(99)) + 1, F.pmod(new, F.lit(9999)) + 1
+        return F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in ((area, 3), (group, 2), (serial, 4))])
 
-    def walked(x: Column) -> Column:  # 666 is not assigned: the values that would become it are permuted once more
-        return _let(F.when(F.substring(x, 1, 3) == "666", new(x)).otherwise(x), lambda y: _laid(m, y))
+    def permuted(n: Column) -> Column:
+        return F.when(n.isNull(), m).otherwise(_let(feistel_pair(n, 898 * 99, 9999, key, "ssn"), text))
 
-    return _let(_digits(m), lambda d: F.when(valid(d), _let(new(d), walked)).otherwise(m))
+    return _let(_let(parts(_digits(m)), number), permuted)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -281,14 +291,14 @@ def rewritten(text: Column, changes: Column) -> Column:
     return F.when(F.size(changes) > 0, F.array_join(put, "")).otherwise(text)
 
 
-def pseudonymise(docs: DataFrame, key: str = "keyloom") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with their text rewritten; columns as in docs."""
     text = F.col("text").cast("string")
     new = _let(changes_of(text, key), lambda c: rewritten(text, c))
     return docs.select(*[new.alias(c) if c.lower() == "text" else F.col(quoted(c)) for c in docs.columns])
 
 
-def pseudonyms(docs: DataFrame, key: str = "keyloom") -> DataFrame:
+def pseudonyms(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text (rewritten), n_found, n_changed, kinds (of the changed, sorted, distinct)."""
     text = F.col("text").cast("string")
 

@@ -28,7 +28,7 @@ def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonyms(read_table(spark, sf_dir, "documents"))
+    return pii.pseudonyms(read_table(spark, sf_dir, "documents"), pii.key_of(spark))
 
 
 def op4_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,9 @@ from keyloom.llm import imatch, langid, pii, telephony, urlfilter
 
 
 # PII
+KEY = "k"
+
+
 def luhn(text):
     digits = [int(c) for c in reversed(re.sub(r"\D", "", text))]
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
@@ -19,7 +22,7 @@ def luhn(text):
 
 def pseudo(spark, *texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
-    return [r.text for r in pii.pseudonyms(df).orderBy("doc_id").collect()]
+    return [r.text for r in pii.pseudonyms(df, KEY).orderBy("doc_id").collect()]
 
 
 CASES = ["+1 (988) 555-2485", "988-555-2485", "4041894974608795", "4041-8949-7460-8795", "70.123.182.155", "bosbt.42@mail8.example.com", "123-45-6789", "2024-02-29", "29/02/2024", "3.4.1999"]
@@ -70,11 +73,106 @@ def test_feistel_is_a_permutation(spark):
 
 def test_pseudonymise_keeps_columns_and_links(spark, docs, texts):
     df = spark.createDataFrame([(1, "mail ann.b@x.org and ann.b@x.org", "c"), (2, "ann.b@x.org" * 1 + " " * 2000, "d")], "doc_id int, text string, changes string")
-    out = pii.pseudonymise(df)
+    out = pii.pseudonymise(df, KEY)
     assert out.columns == df.columns
     found = re.findall(r"\S+@x\.org", " ".join(r.text for r in out.collect()))
     assert len(found) == 3 and len(set(found)) == 1 and found[0] != "ann.b@x.org"
-    assert sorted(str(r.text) for r in pii.pseudonymise(docs).collect()) == sorted(map(str, texts))
+    assert sorted(str(r.text) for r in pii.pseudonymise(docs, KEY).collect()) == sorted(map(str, texts))
+
+
+# The same rounds in plain Python.
+def numbers(kind, step, half):
+    hexa = hashlib.sha512(f"{KEY}|{kind}|{step}|{half}".encode()).hexdigest()
+    return [int(hexa[4 * i : 4 * i + 4], 16) for i in range(32)], int(hexa[:12], 16)
+
+
+def plain_text(value, alphabets, kind):
+    half = len(value) // 2
+    parts, rules = [value[:half], value[half:]], [alphabets[:half], alphabets[half:]]
+    for step in range(8):
+        mine = step % 2
+        shifts, _ = numbers(kind, step, parts[1 - mine])
+        parts[mine] = "".join(a[(a.index(c) + shifts[i % 32]) % len(a)] if a else c for i, (c, a) in enumerate(zip(parts[mine], rules[mine], strict=True)))
+    return "".join(parts)
+
+
+def plain_pair(n, a, b, kind):
+    left, right = divmod(n, b)
+    for step in range(8):
+        if step % 2 == 0:
+            left = (left + numbers(kind, step, right)[1]) % a
+        else:
+            right = (right + numbers(kind, step, left)[1]) % b
+    return left * b + right
+
+
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def by_class(c):
+    return next((a for a in (DIGITS, LOWER, UPPER) if c in a), "")
+
+
+def plain_pseudonym(kind, value):
+    digits = re.sub(r"\D", "", value)
+    if kind == "email":
+        local, host = value.split("@")
+        return plain_text(local, [by_class(c) for c in local], kind) + "@" + host
+    if kind == "ip":
+        n = plain_pair(sum(int(x) << s for x, s in zip(value.split("."), (24, 16, 8, 0), strict=True)), 1 << 16, 1 << 16, kind)
+        return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+    if kind == "ssn":
+        areas = [a for a in range(1, 900) if a != 666]
+        n = plain_pair((areas.index(int(digits[:3])) * 99 + int(digits[3:5]) - 1) * 9999 + int(digits[5:]) - 1, 898 * 99, 9999, kind)
+        return f"{areas[n // 9999 // 99]:03}-{n // 9999 % 99 + 1:02}-{n % 9999 + 1:04}"
+    if kind == "date":
+        import datetime
+
+        first = datetime.date(1800, 1, 1)
+        return str(first + datetime.timedelta(plain_pair((datetime.date.fromisoformat(value) - first).days, 189, 773, kind)))
+    if kind == "phone":
+        head = {c: "01" if c < "2" else "23456789" for c in DIGITS}
+        ten = plain_text(digits[-10:], [head[digits[-10]], DIGITS, DIGITS, head[digits[-7]], *[DIGITS] * 6], kind)
+        new = iter(digits[:-10] + ten)
+    else:
+        body = plain_text(digits[:-1], ["", *[DIGITS] * (len(digits) - 2)], kind)
+        new = iter(body + next(c for c in DIGITS if luhn(body + c)))
+    return "".join(next(new) if c.isdigit() else c for c in value)
+
+
+def test_pseudonyms_equal_plain_python(spark):
+    rng = np.random.default_rng(6)
+    some = [("email", f"a{i}.B_x{i * 7}@host{i}.example.org") for i in range(20)] + [("ip", ".".join(map(str, rng.integers(0, 256, 4)))) for _ in range(20)]
+    some += [("ssn", f"{a:03}-{rng.integers(1, 100):02}-{rng.integers(1, 10000):04}") for a in [1, 665, 667, 899, *rng.integers(1, 666, 20).tolist(), *range(650, 666)]]
+    some += [("date", f"{y}-{m:02}-{d:02}") for y, m, d in zip(rng.integers(1800, 2200, 20).tolist(), rng.integers(1, 13, 20).tolist(), rng.integers(1, 29, 20).tolist(), strict=True)]
+    some += [("phone", f"+1 ({rng.integers(0, 1000):03}) {rng.integers(0, 1000):03}-{rng.integers(0, 10000):04}") for _ in range(20)]
+    for n in (13, 16, 19):
+        body = "4" + "".join(map(str, rng.integers(0, 10, n - 2)))
+        some.append(("card", body + next(c for c in DIGITS if luhn(body + c))))
+    assert [x[2:-2] for x in pseudo(spark, *[f"x {v} y" for _, v in some])] == [plain_pseudonym(k, v) for k, v in some]
+
+
+def test_numbers_that_no_one_has_do_not_come_out(spark):
+    out = spark.range(60_000).select(F.format_string("%03d-%02d-%04d", (F.col("id") % 16 + 650).cast("int"), (F.col("id") % 99 + 1).cast("int"), (F.col("id") % 9999 + 1).cast("int")).alias("s")).distinct()
+    new = [r.p for r in out.select(pii.pseudonym(F.col("s"), KEY).alias("p")).collect()]
+    assert len(set(new)) == len(new) and not any(re.match(r"000|666|9|\d{3}-00|.*-0000$", x) for x in new)
+
+
+def test_hostile_texts_of_any_length(spark):
+    n = 1_000_000
+    hostile = ["a@" + "b." * n, "a@" + "bb." * n, "a@" * n, "1" * n, "1 " * n, "1-" * n, " " * n + "1", "password=" * (n // 9) + "1", "token=" + "a" * n + "1", "1." * n, "@" * n, "(" * n + "1"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(hostile)], "doc_id int, text string").repartition(4)
+    out = {r.doc_id: r for r in pii.pseudonyms(df, KEY).select("doc_id", F.length("text").alias("n"), "n_found").collect()}
+    assert [out[i].n for i in range(len(hostile))] == [len(t) for t in hostile]
+    long = " ".join(f"w{i} mail me{i}@x.org" for i in range(30_000))
+    assert pseudo(spark, long + ".")[0].count("@x.org") == 30_000
+
+
+def test_pseudonyms_of_empty_and_repeated_rows(spark, nothing):
+    assert pii.pseudonyms(nothing, KEY).count() == 0 and pii.pseudonymise(nothing, KEY).columns == nothing.columns
+    df = spark.createDataFrame([(1, "123-45-6789")] * 3 + [(None, None), (2, "")], "doc_id int, text string")
+    out = pii.pseudonyms(df, KEY).collect()
+    assert len(out) == 5 and len({r.text for r in out if r.doc_id == 1}) == 1 and {r.text for r in out if r.doc_id != 1} == {None, ""}
 
 
 # I-Match
