@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm import langid, minhash, mixing, packing, pii
-from keyloom.llm.common import read_table, stage_table
+from keyloom.llm.common import read_table, stage_table, staged, sweep
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(docs)
+    return pii.pseudonymise(docs, pii.key_of(spark))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, mark = read_table(spark, sf_dir, "documents"), staged()
     for name, stage in STAGES[:-1]:
         docs = stage_table(stage(spark, docs, sf_dir), name, codec="snappy")
+        sweep(spark, mark, docs)  # what the stage read and wrote on its way is not needed any more
     return STAGES[-1][1](spark, docs, sf_dir)
