@@ -10,8 +10,9 @@ distinct terms of a document divided by `rare`, however many documents there are
 cells of about four hashes that every task can look up, so no document is shuffled for its fingerprint.
 
 Edge cases: null counts as the empty text. A document with no term in a lexicon gets the MD5 of its whole text
-there, so equal texts always agree and others don't. Null doc_ids come last in descending order, equal ones by
-the hash of their text. Other columns are ignored. One document alone is its own next document.
+there, so equal texts always agree and others don't. doc_ids may span all 64 bits. Null doc_ids come last in descending
+order, equal ones by the hash of their text. Other columns are ignored. One document alone is its own next document.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -90,51 +91,71 @@ def fingerprints(docs: DataFrame, **band) -> DataFrame:
     return released(with_fingerprint(rows, "fingerprint", "text", cells), docs.columns, fingerprint=F.col("fingerprint"))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of docs (doc_id, text, ...) with next_<column>: those of the next row by descending doc_id (ties by
-    hash and text), of the first after the last.
+def _literal(values: list[int]) -> Column:
+    """An array of numbers folded to one literal, unlike an array of literals."""
+    return F.split(F.lit(",".join(map(str, values)) or "0"), ",").cast("array<bigint>")
+
+
+def _first_from(values: list[int], x: Column) -> Column:
+    """How many of the sorted values are below x, by halving."""
+
+    def step(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["lo"] + acc["hi"], 1)
+        right = F.struct((middle + 1).alias("lo"), acc["hi"].alias("hi"))
+        left = F.struct(acc["lo"].alias("lo"), middle.alias("hi"))
+        return F.when(acc["lo"] >= acc["hi"], acc).when(F.element_at(_literal(values), middle + 1) < x, right).otherwise(left)
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(values)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(values).bit_length())), start, step, lambda acc: acc["lo"])
 
-    The rows go to ranges of doc_id, each with a copy of the row that follows it in the next range. The ranges are
-    cells of equal width gathered to near equal counts; a bounded number of cells is counted on the driver.
+
+def ranged(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs (doc_id, text, ...) with none, down and tie, which sort them by descending doc_id, and part, their range in
+    that order; and the number of ranges.
+
+    Bounds are quantiles of the doc_ids; rows of one doc_id that is several bounds (or null) are spread by the hash
+    of their text. The driver holds four bounds for each shuffle partition.
     """
     n = 4 * partitions(docs.sparkSession)
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        low = high = 0
-    width = max(1, -(-(high - low + 1) // (64 * n)))
-    cell = F.coalesce(F.floor((F.col("doc_id") - low) / F.lit(width)).cast("int"), F.lit(-1))
-    counts = {r.cell: (r.n, r.top) for r in docs.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).collect()}
-    total, at, part_of, tops = sum(c[0] for c in counts.values()), 0, [], {}
-    last = -1
-    for c in range(-1, 64 * n):
-        count, top = counts.get(c, (0, None))
-        part = last if not count else min(n - 1, at * n // max(1, total))
-        at += count
-        part_of.append(max(part, 0))
-        if count:
-            last = part
-            tops[part] = top
+    # In ascending order: ids reversed bit by bit (which can't overflow), nulls last, then hashes.
+    rows = docs.withColumn("none", F.col("doc_id").isNull().cast("int")).withColumn("down", F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("bigint"))).withColumn("tie", F.xxhash64("text"))
+    quantiles = F.percentile_approx(F.when(F.col("none") == 0, F.col("down")), [i / n for i in range(1, n)], max(10_000, 4 * n))
+    total, nulls, bounds = rows.agg(F.count("*"), F.coalesce(F.sum("none"), F.lit(0)), quantiles).first()
+    bounds = sorted(bounds or [])
+    distinct = sorted(set(bounds))
+    before, times = [bounds.index(b) for b in distinct], [bounds.count(b) for b in distinct]
+    last = max(1, -(-nulls * n // max(1, total)))  # ranges for nulls, after the n of the others
+
+    def spread(ways: Column) -> Column:
+        """0 to ways - 1, as the hash rises."""
+        return F.least(F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * ways).cast("int"), ways - 1)
+
+    at = _first_from(distinct, F.col("down")) + 1
+    hit = F.try_element_at(_literal(distinct), at) == F.col("down") if distinct else F.lit(False)
+    own_part = F.coalesce(F.try_element_at(_literal(before), at).cast("int"), F.lit(len(bounds))) + F.when(hit, spread(F.try_element_at(_literal(times), at).cast("int") + 1)).otherwise(0)
+    part = F.when(F.col("none") == 1, F.lit(n) + spread(F.lit(last))).otherwise(own_part) if distinct else F.lit(n) + spread(F.lit(last))
+    return rows.withColumn("part", part), n + last
+
+
+def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of docs (doc_id, text, ...) with next_<column>: those of the next row by descending doc_id (ties by
+    hash and text), of the first after the last. Each range gets a copy of the row that follows its last one."""
+    rows, n = ranged(docs)
+    tops = {r.part: r.top for r in rows.groupBy("part").agg(F.min(F.struct("down", "tie")).alias("top")).collect()}
+    # The first row of a range follows the range before it; the first of all follows the last range.
     parts = sorted(tops)
-    # The greatest row of a part follows the part above it; the greatest of all follows the lowest part.
-    follows = {p: (parts[i + 1] if i + 1 < len(parts) else parts[0]) for i, p in enumerate(parts)}
-    top_of = [tops.get(p) for p in range(n)]
-    above = [follows.get(p, 0) for p in range(n)]
-
-
-    def table(values: list, kind: str) -> Column:  # folded to one literal, unlike an array of literals
-        return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
-
-    part = F.element_at(table(part_of, "int"), cell + 2)
-    to_top = F.try_element_at(F.transform(F.split(F.lit(",".join("x" if t is None else str(t) for t in top_of)), ","), lambda x: x.try_cast("bigint")), F.col("part") + 1)
-    to_above = F.element_at(table(above, "int"), F.col("part") + 1)
-    own = F.struct(F.col("part").alias("part"), F.lit(0).alias("copy"))
-    copy = F.struct(to_above.alias("part"), F.lit(1).alias("copy"))
-    places = F.when(F.col("doc_id").eqNullSafe(to_top), F.array(own, copy)).otherwise(F.array(own))
-    rows = docs.withColumn("part", part).withColumn("to", F.explode(places)).withColumn("part", F.col("to.part")).withColumn("copy", F.col("to.copy")).drop("to")
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    order = Window.partitionBy("part").orderBy("copy", F.desc_nulls_last("doc_id"), "tie", "text")
+    above = {p: parts[i - 1] for i, p in enumerate(parts)}
+    down, tie = (_literal([tops[p][i] if p in tops else 0 for p in range(n)]) for i in (0, 1))
+    to_above = _literal([above.get(p, 0) for p in range(n)])
+    place = F.col("part") + 1
+    own = F.struct(F.col("part").cast("bigint").alias("part"), F.lit(0).alias("copy"))
+    copy = F.struct(F.element_at(to_above, place).alias("part"), F.lit(1).alias("copy"))
+    first = (F.col("down") == F.element_at(down, place)) & (F.col("tie") == F.element_at(tie, place))
+    rows = rows.withColumn("to", F.explode(F.when(first, F.array(own, copy)).otherwise(F.array(own))))
+    rows = rows.withColumn("part", F.col("to.part")).withColumn("copy", F.col("to.copy")).drop("to")
+    order = Window.partitionBy("part").orderBy("copy", "none", "down", "tie", "text")
     rows = rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return rows.filter("copy = 0").drop("part", "copy", "tie")
+    return rows.filter("copy = 0").drop("part", "copy", "none", "down", "tie")
 
 
 def edited_fingerprints(docs: DataFrame, **band) -> DataFrame:

@@ -210,6 +210,33 @@ def test_fingerprints_null_and_repeated_ids(spark, docs):
     assert imatch.fingerprints(docs).columns == [*docs.columns, "fingerprint"]
 
 
+def follower_of(rows):
+    """Each row's next by descending id (nulls last), ties by hash and text."""
+    order = sorted(rows, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h, r.text))
+    return {r.text: order[(i + 1) % len(order)].text for i, r in enumerate(order)}
+
+
+@pytest.mark.parametrize("kind", ["ends", "outlier", "hot", "null", "one"])
+def test_next_row_for_any_ids(spark, kind):
+    rng = np.random.default_rng(8)
+    top = (1 << 63) - 1
+    ids = {
+        "ends": [-top - 1, top, 0, -1, 1, *rng.integers(-top - 1, top, 500).tolist()], "outlier": [*range(800), 10**12], "hot": [7] * 600 + [top] * 3 + list(range(300)),
+        "null": [None] * 500 + list(range(20)), "one": [5],
+    }[kind]
+    df = spark.createDataFrame([(x, f"text {i}") for i, x in enumerate(ids)], "doc_id bigint, text string").repartition(3)
+    want = follower_of(df.withColumn("h", F.xxhash64("text")).collect())
+    got = imatch.with_next(df, ["text"])
+    assert {r.text: r.next_text for r in got.collect()} == want and got.columns == ["doc_id", "text", "next_text"]
+
+
+def test_ranges_of_rows_are_even(spark):
+    """One far id, or one id with most rows, leaves no range with much more than its share."""
+    for ids in ([*range(4000), 10**12], [7] * 3000 + list(range(1000)), [None] * 3000 + list(range(1000))):
+        df = spark.createDataFrame([(x, f"text {i}") for i, x in enumerate(ids)], "doc_id bigint, text string")
+        assert imatch.ranged(df)[0].groupBy("part").count().agg(F.max("count")).first()[0] <= 2 * len(ids) / 16
+
+
 # Telephony
 def test_tables_against_the_rule_of_each_code():
     for code in range(256):
