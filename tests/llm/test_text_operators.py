@@ -344,6 +344,66 @@ def test_all_links_of_a_page_count(spark):
     assert out == ["block"] * 7 + ["allow"] + ["block"] * 4
 
 
+@pytest.mark.parametrize("inline", [64, 0])
+def test_rules_with_ties_decide_alike(spark, monkeypatch, inline):
+    import random
+
+    monkeypatch.setattr(urlfilter, "INLINE", inline)
+    rng = random.Random(11)
+    hosts = ["com", "a.com", "b.a.com", "org", "x.org", "A.com", ""]
+    rules = [(rng.choice(["allow", "block"]), rng.choice(hosts), rng.choice(["/", "/p", "/p/q", "/pq", ""])) for _ in range(40)]
+    rules += [("block", "com", "/bcd"), ("allow", "a.com", "/b"), ("allow", "com", "/x"), ("block", "com", "/x")]
+    urls = [f"http://{rng.choice(['', 'c.', 'd.c.'])}{rng.choice(['com', 'a.com', 'B.a.com', 'x.org', 'net'])}{rng.choice(['', '/', '/p', '/p/q/r', '/pqr', '/bcd', '/b', '/x'])}" for _ in range(300)]
+
+    def plain(url):
+        host, slash, rest = url[7:].partition("/")
+        host, path = host.lower(), slash + rest
+        fit = [(-len(h.lower() + p), v, p, h.lower() + p) for v, h, p in rules if h and (host == h.lower() or host.endswith("." + h.lower())) and path.startswith(p)]
+        return min(fit)[3] if fit else None
+
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id int, url string, html string")
+    assert [r.rule for r in urlfilter.judge(df, rules).orderBy("page_id").collect()] == [plain(u) for u in urls]
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_random_links_against_plain_components(spark, monkeypatch, broadcast):
+    """Pages link at random, by variants of their urls; verdicts equal those of plain components."""
+    import random
+
+    monkeypatch.setattr(urlfilter, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(5)
+    n = 600
+    kind = ["blocked.net", "allowed.net", *["free.net"] * 8]
+    homes = [f"{rng.choice(kind)}/p{i}" for i in range(n)]
+    variants = lambda i: rng.choice([f"http://{homes[i]}", f"https://www.{homes[i]}/", f"http://m.{homes[i]}.html#x", f"https://{homes[i]}?utm_source=a"])
+    parent = list(range(n))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    rows = []
+    for i in range(n):
+        html = ""
+        for j in rng.sample(range(n), rng.choice([0, 0, 1, 1, 2])) + ([0] if i % 9 == 0 else []):
+            html += rng.choice([f'<link rel="canonical" href="{variants(j)}">', f"<meta http-equiv='refresh' content='0; url={variants(j)}'>"])
+            parent[find(i)] = find(j)
+        rows.append((i, variants(i), html))
+    repeated = rows + rows[::7]
+    rules = [("block", "blocked.net", "/"), ("allow", "allowed.net", "/")]
+    groups = {}
+    for i in range(n):
+        groups.setdefault(find(i), set()).add(homes[i].split(".")[0])
+    want = {}
+    for i in range(n):
+        own, all_ = homes[i].split(".")[0], groups[find(i)]
+        want[i] = {"blocked": "block", "allowed": "allow"}.get(own, "allow" if "allowed" in all_ or "blocked" not in all_ else "block")
+    out = urlfilter.judge(spark.createDataFrame(repeated, "page_id int, url string, html string"), rules).collect()
+    assert len(out) == len(repeated) and all(r.verdict == want[r.page_id] for r in out)
+    assert {"allow", "block"} == {want[i] for i in range(n) if homes[i].startswith("free")}
+
+
 # Language
 EN = "the cat and the dog were in the house with this thing that they have"
 FR = "le chat et le chien dans la maison avec cette chose que nous avons été"
