@@ -6,10 +6,12 @@
 2. In each bucket two hubs (the least and the greatest node) are paired with the others, so pairs grow with the
    bucket, not with its square. A pair is dropped if the parities prove that it can't reach the similarity; the
    nearest hub of each node is confirmed on the full sets.
-3. In buckets that still hold several components, blocks of nodes compare parities across components. What could
-   link makes a forest, the nearest pairs first, whose edges are confirmed: again as many as nodes at most. After that
-   only pairs that the parities leave open can link two components, and all of these are confirmed. No link between
-   candidates is lost; a pair at 0.85 is no candidate with probability 3e-7, one at 0.8 with 6e-5.
+3. In buckets that still hold several components, blocks of nodes compare parities across components. A component
+   that fills blocks has blocks of its own, which never meet each other: beside one large component the work grows with
+   the bucket, not with its square. What could link makes a forest, the nearest pairs first, whose edges are confirmed:
+   again as many as nodes at most. After that only pairs that the parities leave open can link two components, and all
+   of these are confirmed. No link between candidates is lost; a pair at 0.85 is no candidate with probability 3e-7, one
+   at 0.8 with 6e-5.
 
 Edge cases: a text without words, or null, has an empty set and stays alone. A text with fewer words than a
 shingle is one shingle. Null doc_ids: their rows form classes with others but never name them, and a class of
@@ -28,11 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .common import carried, give_back, runs, slices, stage_table
+from .common import carried, drop, give_back, runs, slices, stage_table
 from .components import components
 
 BANDS, ROWS = 32, 6
-BLOCK = 1024
+#: Nodes, and bytes of parities, that a block of a bucket holds (a single larger node stands alone).
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 #: A list of doc_ids up to this long is broadcast (8 bytes each); a longer one is joined with a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -118,12 +121,13 @@ def _across(percent: int, forest: bool):
             maps = [np.frombuffer(r[4], np.uint64) for r in rows]
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for words in sorted({len(m) for m in maps}):
-                fold = np.array([sh.folded(m, words) if len(m) >= words else np.zeros(words, np.uint64) for m in maps])
+                low = next(i for i, m in enumerate(maps) if len(m) >= words)  # maps grow with sizes: all from here on do
+                fold = np.array([sh.folded(m, words) for m in maps[low:]])
                 for i in np.flatnonzero([len(m) == words for m in maps]).tolist():  # with those as large or larger, as far as sizes allow
                     other = np.arange(i + 1, int(np.searchsorted(sizes * percent, sizes[i] * 100, side="right")))
                     other = other[(part[other] != part[i]) & (one | (block[other] != block[i]))]
                     if len(other):
-                        differ = np.bitwise_count(fold[other] ^ fold[i]).sum(axis=1).astype(np.int64)
+                        differ = np.bitwise_count(fold[other - low] ^ fold[i - low]).sum(axis=1).astype(np.int64)
                         total = sizes[other] + sizes[i]
                         near = 100 * (total - differ) >= percent * (total + differ)
                         if near.any():
@@ -190,15 +194,30 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, count: int, k: int) -> DataFr
     return rows.select("text").mapInArrow(run, "node binary, n bigint, parity binary, hashes binary").dropDuplicates(["node"])
 
 
+def _blocks(placed: DataFrame) -> DataFrame:
+    """placed (key, node, component, bytes) with block, a number within the bucket, and owner: the component whose
+    nodes alone are in the block, or null where small components share it."""
+
+    def needed(n: str, size: str) -> Column:
+        return F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES), F.lit(1))
+
+    own = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("size")).withColumn("ways", needed("n", "size"))
+    pool = own.filter("ways = 1").groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).select("key", needed("n", "size").alias("shared"))
+    both = placed.join(own.select("key", "component", "ways"), ["key", "component"]).join(pool, "key", "left")
+    large = F.col("ways") > 1
+    number = F.when(large, F.xxhash64("component", F.pmod(F.xxhash64("node"), F.col("ways")))).otherwise(F.xxhash64(F.pmod(F.xxhash64("component"), F.col("shared"))))
+    return both.select("key", "node", "component", number.alias("block"), F.when(large, F.col("component")).alias("owner"))
+
+
 def _open_pairs(members: DataFrame, known: DataFrame, labels: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs (a, b) across components in buckets with more than one: their nodes meet in blocks, a block with itself
-    and with each other block of the bucket."""
+    and with each other block of the bucket that another component has nodes in."""
     placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rest = placed.join(mixed, "key").select("key", "node", "component", blocks.alias("blocks"), block.alias("block"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.join(mixed, "key").join(known.select("node", F.octet_length("parity").alias("bytes")), "node").select("key", "node", "component", "bytes")
+    rest = stage_table(_blocks(placed), "blocks")
+    others = rest.select("key", F.col("block").alias("other"), F.col("owner").alias("of")).distinct()
+    rest = rest.join(others, "key").filter("owner IS NULL OR of IS NULL OR owner <> of")
     rest = rest.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component").join(known, "node")
     rest = rest.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return rest.mapInArrow(_across(percent, forest), "a binary, b binary").distinct()
@@ -234,9 +253,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
 
     for forest in (True, False):
         pairs = _open_pairs(members, known, labels, percent, forest)
+        drop(links)
         links = stage_table(_confirmed(pairs, full, percent), "links")
         if links.limit(1).count():
             labels = stage_table(_joined(labels, links), "labels")
+    drop(members, alike, sets, links)
 
     named = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))

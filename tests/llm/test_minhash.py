@@ -61,8 +61,9 @@ def test_classes_equal_brute_force(spark, corpus, k, percent):
         assert r.kept == (r.component_id == r.doc_id)
 
 
-def test_blocks_of_a_large_bucket(spark, corpus, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 3)
+@pytest.mark.parametrize("name,value", [("BLOCK", 3), ("BLOCK_BYTES", 300)])
+def test_blocks_of_a_large_bucket(spark, corpus, monkeypatch, name, value):
+    monkeypatch.setattr(minhash, name, value)
     docs = spark.createDataFrame(corpus, "doc_id bigint, text string")
     want = brute(corpus, 3, 85)
     for r in minhash.near_duplicates(docs).collect():
@@ -105,3 +106,22 @@ def test_components(spark):
     out = dict(components(spark.createDataFrame(links, "a bigint, b bigint")).collect())
     assert {out[i] for i in range(1, 7)} == {1} and {out[i] for i in (7, 8, 9)} == {7} and out[20] == 20
     assert {out[i] for i in range(100, 161)} == {100}
+
+
+def test_blocks_of_one_component_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rows = [(1, bytes([i]), b"big", 1) for i in range(100)] + [(1, bytes([100 + i]), b"s%d" % i, 1) for i in range(6)]
+    placed = spark.createDataFrame(rows, "key bigint, node binary, component binary, bytes int")
+    out = minhash._blocks(placed).collect()
+    assert len(out) == 106 and {r.owner for r in out if r.component == b"big"} == {b"big"} and {r.owner for r in out if r.component != b"big"} == {None}
+    assert len({r.block for r in out if r.owner}) == 25 and len({r.block for r in out if not r.owner}) <= 2
+
+
+def test_long_texts_with_long_neighbours(spark):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    near = list(base)
+    near[::700] = ["x"] * len(near[::700])
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(base[:300])), (4, " ".join(base[:300]) + " x"), (5, " ".join(base[::-1]))]
+    out = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
