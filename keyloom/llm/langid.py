@@ -2,13 +2,16 @@
 
 Each word (the letters of a white-space token, lower-cased) gets a score for each language from hashed
 features: its character n-grams of 1 to 4 with word ends marked (so prefixes and suffixes are among them) and
-whether a lexicon of frequent training words has it. Learned transitions link neighbouring words. The marginals
-of forward-backward label every word, in code-switched text too; a document's language is the one with the
-largest mean marginal, which is its score.
+whether a lexicon of frequent training words has it. Learned transitions link neighbouring words; they are learned from
+the training documents and from code-switched sequences spliced out of them. The marginals of forward-backward label
+every word, in code-switched text too; a document's language is the one with the largest mean marginal, which is its
+score. Texts of more than 4096 words are labelled in runs of so many, each with 64 words of its neighbours on both
+sides, whose influence fades with every word.
 
 Edge cases: a null text, or one without letters, is `und` with score 0. Documents without a lang or a text
 teach nothing; with no labelled document at all everything is `und`. Null doc_ids are not held out. Equal
-texts get equal predictions. Texts of any length are labelled whole. Other columns pass through.
+texts get equal predictions. Texts of any length are labelled whole. The 256 most frequent langs are learned (the model
+has a weight for each). Repeated rows are kept. Other columns pass through. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, give_back, quoted, slices
+from .common import carried, give_back, released, slices
 
 _SLOTS = 1 << 17
 _WINDOW = 128
 _MOST_WORDS = 250_000
+_RUN, _REACH = 4096, 64
 _SLICE = 2 << 20  # forward-backward takes some ten bytes for each of text
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,7 +92,7 @@ class Crf:
         if not self.languages:
             return names, scores
         codes, counts = self.codes(texts)
-        marginals, _ = forward_backward(self._scores[codes], counts, self.transitions)
+        marginals = in_runs(self._scores[codes], counts, self.transitions)
         full = np.flatnonzero(counts)
         if len(full):
             sums = np.add.reduceat(marginals.astype(np.float64), (np.cumsum(counts) - counts)[full], axis=0) / counts[full, None]
@@ -155,20 +159,61 @@ def forward_backward(scores: np.ndarray, counts: np.ndarray, transitions: np.nda
     return out, expected if pairs else None
 
 
+def in_runs(scores: np.ndarray, counts: np.ndarray, transitions: np.ndarray, run: int = _RUN, reach: int = _REACH) -> np.ndarray:
+    """The marginals of all words, longer sequences in overlapping runs: a text's steps don't grow with its length."""
+    if not (counts > run).any():
+        return forward_backward(scores, counts, transitions)[0]
+    at, sizes, keep = [], [], []
+    for first, n in zip((np.cumsum(counts) - counts).tolist(), counts.tolist(), strict=True):
+        for begin in range(0, n, run):
+            lo, hi = max(0, begin - reach), min(n, begin + run + reach)
+            at.append(np.arange(first + lo, first + hi))
+            sizes.append(hi - lo)
+            own = np.arange(lo, hi)
+            keep.append((own >= begin) & (own < begin + run))
+    return forward_backward(scores[np.concatenate(at)], np.array(sizes), transitions)[0][np.concatenate(keep)]
+
+
+def spliced(sequences: list[tuple[list[int], int]], share: float = 0.25, seed: int = 3) -> list[tuple[list[int], list[int]]]:
+    """Code-switched sequences of (codes, labels): runs of 4 to 24 words out of (codes, language) sequences of two
+    languages by turns, a share of the sequences in number."""
+    rng = np.random.default_rng(seed)
+    by_language: dict[int, list[list[int]]] = {}
+    for codes, label in sequences:
+        by_language.setdefault(label, []).append(codes)
+    languages = sorted(by_language)
+    out = []
+    for _ in range(int(share * len(sequences)) if len(languages) > 1 else 0):
+        two = rng.choice(len(languages), 2, replace=False)
+        words, labels, turn = [], [], 0
+        while len(words) < _WINDOW:
+            label = languages[two[turn]]
+            source = by_language[label][int(rng.integers(len(by_language[label])))]
+            begin, n = int(rng.integers(len(source))), int(rng.integers(4, 25))
+            words += source[begin : begin + n]
+            labels += [label] * len(source[begin : begin + n])
+            turn = 1 - turn
+        out.append((words[:_WINDOW], labels[:_WINDOW]))
+    return out
+
+
 def fit(rows: list[tuple[str, str]], rounds: int = 25, rate: float = 0.12, ridge: float = 1e-6, seen: int = 4) -> Crf:
-    """Fits the field to (text, language) rows: every word bears its document's language. Deterministic."""
+    """Fits the field to (text, language) rows: every word bears its document's language, in spliced sequences too.
+    Deterministic."""
     languages = sorted({lang for _, lang in rows})
     k = len(languages)
     index: dict[str, int] = {}
-    words, labels, counts = [], [], []
+    sequences: list[tuple[list[int], int]] = []
     for text, lang in rows:
         tokens = ["".join(filter(str.isalpha, t)).lower() for t in text.split()]
         codes = [index.setdefault(w, len(index)) for w in tokens if w]
         for i in range(0, len(codes), _WINDOW):
-            part = codes[i : i + _WINDOW]
-            words += part
-            labels += [languages.index(lang)] * len(part)
-            counts.append(len(part))
+            sequences.append((codes[i : i + _WINDOW], languages.index(lang)))
+    words, labels, counts = [], [], []
+    for part, marks in [*((c, [lang] * len(c)) for c, lang in sequences), *spliced(sequences)]:
+        words += part
+        labels += marks
+        counts.append(len(part))
     word, label, count = np.array(words, np.int64), np.array(labels, np.int64), np.array(counts, np.int64)
     vocabulary = list(index)
     if not len(word):
@@ -205,18 +250,19 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = 100) -> Crf:
+def train(docs: DataFrame, per_language: int = 100, most_languages: int = 256) -> Crf:
     """Fits on about `per_language` whole documents of each lang, drawn by a hash of doc_id and text from those
-    that are not held out. That bound holds at every size of the corpus."""
+    that are not held out, for the most_languages most frequent langs. These bounds hold at every size of the corpus."""
     labelled = docs.select(F.col("doc_id").alias("d"), F.col("text").cast("string").alias("t"), F.col("lang").cast("string").alias("l"))
     labelled = labelled.filter(~held_out(F.col("d")) & F.col("l").isNotNull() & F.col("t").isNotNull())
-    counts = {r.l: r.n for r in labelled.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return fit([])
     draw = F.pmod(F.xxhash64("d", "t"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, per_language / n)]), F.col("l"))
-    rows = sorted((r.t, r.l) for r in labelled.filter(draw < share).select("t", "l").collect())
-    return fit(rows)
+    found = labelled.groupBy("l").agg(F.count("*").alias("n"), F.min_by("t", draw).alias("t")).orderBy(F.desc("n"), "l").limit(most_languages).collect()
+    if not found:
+        return fit([])
+    share = F.element_at(F.create_map(*[F.lit(x) for r in found for x in (r.l, per_language / r.n)]), F.col("l"))
+    # A row that is repeated counts once, so repeats can't swell the sample; each language has its first draw.
+    drawn = {(r.t, r.l) for r in labelled.filter(draw < share).select("t", "l").distinct().collect()}
+    return fit(sorted(drawn | {(r.t, r.l) for r in found}))
 
 
 def identify(docs: DataFrame, model: Crf) -> DataFrame:
@@ -235,9 +281,8 @@ def identify(docs: DataFrame, model: Crf) -> DataFrame:
         give_back()
 
     predict = F.arrow_udf(run, "lang_pred string, score double")
-    rows = docs.select(*[F.col(quoted(c)) for c in docs.columns], predict(F.col("text").cast("string")).alias("__langid"))
-    taken = ("lang_pred", "score")
-    return rows.select(*[F.col(quoted(c)) for c in docs.columns if c.lower() not in taken], *[F.col(f"__langid.{c}") for c in taken])
+    rows = carried(docs, found=predict(F.col("text").cast("string")))
+    return released(rows, docs.columns, lang_pred=F.col("found.lang_pred"), score=F.col("found.score"))
 
 
 def identify_keys(docs: DataFrame, model: Crf) -> DataFrame:

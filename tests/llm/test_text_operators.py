@@ -467,3 +467,57 @@ def test_held_out_accuracy(spark):
     out = langid.identify_keys(docs, langid.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out AND lang IS NOT NULL")
     right, n = out.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double")), F.count("*")).first()
     assert n > 100 and right > 0.97
+
+
+def test_runs_of_long_texts_equal_whole_chains(model):
+    import random
+
+    rng = random.Random(4)
+    text = " ".join(rng.choice(EN.split() if i // 50 % 2 else FR.split()) for i in range(5000))
+    codes, counts = model.codes([text, EN, None, text])
+    whole, _ = langid.forward_backward(model._scores[codes], counts, model.transitions)
+    runs = langid.in_runs(model._scores[codes], counts, model.transitions, 300, 64)
+    assert np.abs(whole - runs).max() < 1e-4
+    assert model.predict([EN + " "] * 2 + [(EN + " ") * 20_000])[0] == ["en"] * 3
+
+
+def test_words_of_code_switched_text(spark):
+    """Held-out documents of two languages, cut into runs of 5 to 20 words by turns: nearly all words get their own."""
+    import random
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    m = langid.train(docs)
+    rows = docs.filter(langid.held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("text", "lang").collect()
+    pure = {}
+    for r in rows:
+        words = [w for w in r.text.split() if any(map(str.isalpha, w))]
+        if len(words) >= 40 and m.predict([r.text])[0] == [r.lang]:
+            pure.setdefault(r.lang, []).append(words)
+    rng, right, total = random.Random(9), 0, 0
+    for _ in range(60):
+        a, b = rng.sample(sorted(pure), 2)
+        words, truth = [], []
+        for i in range(10):
+            source = rng.choice(pure[(a, b)[i % 2]])
+            n, at = rng.randint(5, 20), rng.randrange(len(source) - 20)
+            words += source[at : at + n]
+            truth += [(a, b)[i % 2]] * n
+        codes, counts = m.codes([" ".join(words)])
+        marginals, _ = langid.forward_backward(m._scores[codes], counts, m.transitions)
+        found = [m.languages[i] for i in marginals.argmax(axis=1)]
+        assert len(found) == len(truth)
+        right += sum(x == y for x, y in zip(found, truth, strict=True))
+        total += len(truth)
+    print("word accuracy", right / total)
+    assert right / total > 0.95
+
+
+def test_many_languages_clashing_columns_and_repeated_rows(spark, model):
+    rows = [(i, f"word{i % 400} again", f"l{i % 400}") for i in range(900)] + [(1000, EN, "en")] * 500
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    m = langid.train(df, per_language=3, most_languages=5)
+    assert len(m.languages) <= 5 and "en" in m.languages
+    odd = df.select("*", F.lit(1).alias("__langid"), F.lit("x").alias("found"), F.lit("y").alias("lang_pred"))
+    out = langid.identify(odd, model)
+    assert out.columns == ["doc_id", "text", "lang", "__langid", "found", "lang_pred", "score"] and out.count() == len(rows)
+    assert {r.lang_pred for r in out.filter("doc_id = 1000").collect()} == {"en"}
