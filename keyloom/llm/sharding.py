@@ -4,7 +4,8 @@ The sort key is (hash of the group, tie), so rows of one group stand together. S
 probe keys cut the key space, every partition counts exact bytes below them, and only the intervals around a
 splitter that is not yet within the tolerance get new probes. Probes lie between groups; only a group larger
 than the tolerance is cut inside, by its tie. Splitters also cut each shard into ranges small enough for one
-sorting task each, so the exchange is even whatever the groups' sizes.
+sorting task each, so the exchange is even whatever the groups' sizes. The driver holds at most 16384 ranges and 65536
+probes a round; beyond 1.6e10 rows the ranges grow, and their tasks spill.
 
 Edge cases: a null group is a group of its own; a null tie comes first in its group. Rows equal in group and
 tie stay together. Other columns pass through. An empty table gives no rows. Shards may be empty where rows
@@ -25,6 +26,7 @@ from .common import carried, released, stage_table
 
 _HALF = 1 << 63
 _LOW = -(1 << 63)
+MOST_RANGES, MOST_PROBES = 1 << 14, 1 << 16
 
 
 def _find(k1: np.ndarray, k2: np.ndarray, keys: list[tuple[int, int]]) -> np.ndarray:
@@ -38,7 +40,7 @@ def _find(k1: np.ndarray, k2: np.ndarray, keys: list[tuple[int, int]]) -> np.nda
 
 def _histogram(rows: DataFrame, keys: list[tuple[int, int]]) -> dict[int, tuple[int, int, tuple[int, int], tuple[int, int]]]:
     """For each non-empty bin between the keys: bytes, rows, least and greatest key. A row for each bin comes
-    to the driver; bins are a fixed number for each splitter."""
+    to the driver; there are at most 65536 probes, and three keys for each splitter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,6 +80,7 @@ def splitters(rows: DataFrame, targets: list[int], tolerance: float, probes: int
     if whole is None:
         return [(_LOW, _LOW)] * len(targets)
     total, _, least, most = whole
+    probes = max(3, min(probes, MOST_PROBES // max(1, len(targets))))
     # For each target: bounds of the splitter and the exact bytes below them.
     state = [(((least[0], _LOW), 0), (_after(most, True), total)) for _ in targets]
     done: list[tuple[int, int] | None] = [None] * len(targets)
@@ -112,7 +115,7 @@ def histogram_shards(df: DataFrame, shards: int, size: Column, group: Column, ti
     splitter may miss. task_rows: rows of a sorting task, about."""
     rows = stage_table(carried(df, k1=F.xxhash64(group), k2=F.coalesce(tie.cast("bigint"), F.lit(_LOW)), size=size.cast("bigint")), "keys")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    ranges = shards * max(4, -(-n // (shards * task_rows)))
+    ranges = shards * max(4, min(MOST_RANGES // shards, -(-n // (shards * task_rows))))
     targets = [total * i // ranges for i in range(1, ranges)]
     keys = splitters(rows, targets, tolerance * total / shards)
     for i in range(1, len(keys)):

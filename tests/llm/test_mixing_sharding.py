@@ -5,36 +5,26 @@ from pyspark.sql import functions as F
 from keyloom.llm import mixing, sharding
 
 
-@pytest.mark.parametrize("weights", [[1, 1], [5, 3, 1], [0.7, 0.2, 0.05, 0.05], [1] * 20, [100, 1, 1, 1]])
-def test_each_source_is_less_than_a_block_from_its_weight(weights):
-    share = mixing.quantise(weights, 256)
-    plan = mixing.edf_frame(share)
-    for i, s in enumerate(share):
-        got = np.cumsum(plan == i)
-        assert (np.abs(got - np.arange(1, 257) * s / 256) < 1).all()
-        place = np.flatnonzero(plan == i)
-        n = np.arange(s)
-        assert (place >= n * 256 // s).all() and (place < -(-(n + 1) * 256 // s)).all()
-
-
-def test_phases_place_every_block_once():
-    blocks = [700, 33, 5, 1, 260]
-    plan = mixing.phases(blocks, [1, 2, 3, 4, 5], 64)
-    assert [sum(p["blocks"] for p in plan if p["source"] == i) for i in range(5)] == blocks
-    places = [p["base"] + j // len(p["slots"]) * 64 + p["slots"][j % len(p["slots"])] for p in plan for j in range(p["blocks"])]
-    assert sorted(places) == list(range(sum(blocks)))
-
-
-def test_deviation_from_the_exact_weights_over_many_frames():
-    weights = [0.1395, *np.linspace(0.02, 0.08, 19).tolist()]
+def deviation(weights, slots):
+    """The most blocks by which any source is ever from its exact share, while all sources still flow."""
     exact = np.array(weights) / sum(weights)
-    blocks = [int(20_000 * w) for w in exact]  # nearly all end together, so the first end comes after many frames
-    places = {p["source"]: [p["base"] + j // len(p["slots"]) * 1024 + p["slots"][j % len(p["slots"])] for j in range(p["blocks"])] for p in mixing.phases(blocks, weights, 1024) if p["base"] == 0}
-    end = min(max(x) for x in places.values()) + 1
-    assert end > 15 * 1024
-    for s, at in places.items():
-        got = np.cumsum(np.bincount([x for x in at if x < end], minlength=end))
-        assert (np.abs(got - np.arange(1, end + 1) * exact[s]) < 1).all()
+    blocks = [int(slots * w) + 1 for w in exact]
+    source = mixing.edf(blocks, list(weights))[0]
+    ends = int(min(b / w for b, w in zip(blocks, exact, strict=True)))  # then the first source has had all of its blocks
+    return max(np.abs(np.cumsum(source[:ends] == s) - np.arange(1, ends + 1) * exact[s]).max() for s in range(len(weights))), ends
+
+
+@pytest.mark.parametrize(
+    "weights", [[1, 1], [5, 3, 1], [0.7, 0.2, 0.05, 0.05], [1] * 20, [100, 1, 1, 1], [0.97, 0.02, 0.01], [0.9, 0.1], [0.1395, *np.linspace(0.02, 0.08, 19)], [1 / 3, *[2 / 3 / 999] * 999]],
+)
+def test_each_source_is_less_than_a_block_from_its_target(weights):
+    most, _ = deviation([float(w) for w in weights], 20_000)
+    assert most < 1 + 1e-9  # below 1 in whole numbers; this sum is of floats
+
+
+def test_deviation_over_a_million_slots():
+    most, ends = deviation([0.97, 0.02, 0.0099, 0.0001], 1_000_000)
+    assert most < 1 + 1e-9 and ends > 900_000
 
 
 def test_every_block_lies_in_its_window_when_sources_end():
@@ -48,7 +38,7 @@ def test_every_block_lies_in_its_window_when_sources_end():
 
 
 def test_mix(docs, texts):
-    out = mixing.mix(docs, block_bytes=200, least_frame=64).collect()
+    out = mixing.mix(docs, block_bytes=200).collect()
     assert len(out) == len(texts) and sorted(r.doc_id for r in out) == list(range(len(texts)))
     by_class = {}
     for r in out:
@@ -64,12 +54,19 @@ def test_mix(docs, texts):
         assert slots.setdefault(r.slot, (r.mix_class, r.block)) == (r.mix_class, r.block)
 
 
-def test_mix_weights_and_rest(docs, texts, nothing):
-    out = mixing.mix(docs, weights={"s0": 1.0}, classes=2, block_bytes=100).collect()
-    assert len(out) == len(texts) and len({r.mix_class for r in out}) <= 2
-    assert mixing.mix(nothing).count() == 0
+def test_mix_weights_and_columns(spark, docs, texts, nothing):
+    out = mixing.mix(docs, weights={"s0": 1.0}, block_bytes=100).collect()
+    assert len(out) == len(texts) and {r.mix_class for r in out} == {r.source for r in out}
+    named, others = [r.slot for r in out if r.source == "s0"], [r.slot for r in out if r.source != "s0"]
+    assert max(named) < min(others)
+    empty = mixing.mix(nothing)
+    assert empty.count() == 0 and empty.columns == [*[c for c in docs.columns if c != "slot"], *mixing._NEW]
     ordered = mixing.mixed_documents(docs, block_bytes=100)
     assert ordered.columns == docs.columns and ordered.count() == len(texts)
+    two = spark.createDataFrame([(i, "x" * 50, "" if i % 2 else None) for i in range(40)], "doc_id bigint, text string, source string")
+    for first in (None, ""):
+        out = mixing.mix(two, weights={first: 1.0}, block_bytes=10).collect()
+        assert {r.source for r in sorted(out, key=lambda r: r.slot)[:20]} == {first}
 
 
 def test_every_source_is_mixed_at_its_own_weight(spark):
@@ -78,13 +75,20 @@ def test_every_source_is_mixed_at_its_own_weight(spark):
     out = mixing.mix(many, block_bytes=32).collect()
     assert len(out) == 3000 and all(r.mix_class == r.source for r in out)
     assert all(r.release <= r.slot < r.deadline for r in out)
-    small = {"site1": 3.0, "site2": 1.0}  # named ones come first, also where the others are pooled
-    for classes in (None, 3, 2):
-        named = mixing.mix(many, weights=small, block_bytes=32, classes=classes).collect()
-        last = max(r.slot for r in named if r.source in small)
-        assert {r.mix_class for r in named if r.source in small} == set(small)
-        assert last <= 1.2 * sum(len(r.text) + 1 for r in named if r.source in small) / 32 + 5
-        assert len(named) == 3000
+    small = {"site1": 3.0, "site2": 1.0}
+    named = mixing.mix(many, weights=small, block_bytes=32).collect()
+    last = max(r.slot for r in named if r.source in small)
+    assert last <= 1.2 * sum(len(r.text) + 1 for r in named if r.source in small) / 32 + 5
+    assert len(named) == 3000
+
+
+def test_blocks_and_cells_are_bounded(spark, monkeypatch):
+    rows = [(i, f"text {i} " * (1 + i % 3), f"s{i % 3}") for i in range(9000)]
+    many = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 50)
+    monkeypatch.setattr(mixing, "MOST_CELL_BITS", 1)
+    out = mixing.mix(many, block_bytes=32).collect()
+    assert len(out) == 9000 and max(r.slot for r in out) <= 53 and all(r.release <= r.slot < r.deadline for r in out)
 
 
 def test_mixed_order_holds_over_partitions(docs):
@@ -127,3 +131,33 @@ def test_shards_edge_cases(spark, docs, texts, nothing):
     assert shards(nothing, 4).count() == 0
     one = shards(spark.createDataFrame([(None, None), (None, None), (2, None)], "doc_id bigint, text string"), 4).collect()
     assert len(one) == 3
+
+
+def plain_shards(rows, n):
+    """The same by a plain sort: cut where the bytes below come nearest to each target."""
+    total, below, cuts = sum(r[2] for r in rows), 0, []
+    ends = [0]
+    for r in sorted(rows):
+        below += r[2]
+        ends.append(below)
+    cuts = [min(range(len(ends)), key=lambda i: abs(ends[i] - total * k / n)) for k in range(1, n)]
+    return cuts, total
+
+
+def test_shards_against_a_plain_sort(spark):
+    """Shards follow the order of the keys, and their bounds are as near to the targets as the tolerance says."""
+    rng = np.random.default_rng(7)
+    texts = [f"text {i % 400} " * int(rng.integers(1, 9)) for i in range(3000)] + [None, "", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    out = shards(df.withColumn("k1", F.xxhash64(F.xxhash64("text"))), 16).collect()
+    size = lambda r: len((r.text or "").encode()) + 1
+    cuts, total = plain_shards([(r.k1, r.doc_id, size(r)) for r in out], 16)
+    order = sorted(out, key=lambda r: (r.k1, r.doc_id))
+    assert [r.shard for r in order] == sorted(r.shard for r in out)
+    for k in range(16):
+        mine = [r for r in order if r.shard == k]
+        assert [r.slot for r in mine] == list(range(len(mine)))
+    for k, cut in enumerate(cuts, 1):
+        below = sum(size(r) for r in out if r.shard < k)
+        nearest = sum(size(r) for r in order[:cut])
+        assert abs(below - total * k / 16) <= max(0.01 * total / 16, abs(nearest - total * k / 16)) + 0.01 * total / 16
