@@ -24,6 +24,7 @@ from .tokens import encoder, with_end
 
 _IDS = "pid int, doc_id bigint, n bigint, ids binary"
 _SEGMENT = "shard int, first bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, words binary, blocks array<bigint>"
+_DECODED = 1 << 16  # ids
 _READ = "shard int, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
@@ -98,10 +99,17 @@ def read_tokens(segments: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = simple8b.decode(np.frombuffer(row["words"], "<u8"), row["n_ids"]).astype("<u4")
+                words, blocks = np.frombuffer(row["words"], "<u8"), np.array(row["blocks"], np.int64).reshape(-1, 2)
                 lengths = np.array(row["lengths"], np.int64)
                 ends = np.cumsum(lengths)
-                crcs = [zlib.crc32(ids[a:b]) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+                # Runs of documents of some blocks each: only these are decoded at a time.
+                crcs, at = [], 0
+                while at < len(lengths):
+                    first = int(ends[at] - lengths[at])
+                    stop = max(at + 1, int(np.searchsorted(ends, first + _DECODED, side="right")))
+                    ids = simple8b.decode_from(words, blocks, row["n_ids"], first, int(ends[stop - 1]) - first).astype("<u4")
+                    crcs += [zlib.crc32(ids[a - first : b - first]) for a, b in zip((ends - lengths)[at:stop].tolist(), ends[at:stop].tolist(), strict=True)]
+                    at = stop
                 yield pa.record_batch(
                     [pa.array([row["shard"]] * len(ends), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["first"] + ends - lengths + base[row["shard"]]), pa.array(lengths), pa.array(crcs, pa.int64())],
                     names=["shard", "doc_id", "start", "n_tokens", "ids_crc32"],

@@ -69,6 +69,14 @@ def test_token_file(docs, texts):
     assert len(out) == len(texts)
 
 
+def test_token_file_read_in_small_runs(spark, monkeypatch):
+    monkeypatch.setattr(tokenfile, "_DECODED", 100)
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(["word", "tokens", "é", "12"]) for _ in range(rng.choice([0, 3, 50, 4000])))) for i in range(60)]
+    out = tokenfile.read_tokens(tokenfile.write_tokens(spark.createDataFrame(rows, "doc_id bigint, text string"), P.path(NAMES[0]), 1)).collect()
+    assert {(r.doc_id, r.ids_crc32) for r in out} == {(i, zlib.crc32(np.array([*plain(NAMES[0], t), 1], "<u4").tobytes())) for i, t in rows}
+
+
 def test_token_file_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(None, "a b"), (5, "c"), (5, "c"), (5, None)], "doc_id bigint, text string")
     out = tokenfile.read_tokens(tokenfile.write_tokens(docs, P.path(NAMES[0]), 1)).orderBy("start").collect()
@@ -124,6 +132,44 @@ def test_sum_of_squares_is_near_the_least_number():
     assert sequence.max() + 1 <= 1.005 * np.ceil(lengths.sum() / 1024)
 
 
+def plain_sum_of_squares(lengths, size):
+    """Step by step: of all open sequences with room, that after which the sum of squared counts per gap is least."""
+    gaps, place = [], [None] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        n, best = lengths[i], None
+        if n < size:
+            counts = {}
+            for g in gaps:
+                if 0 < g < size:
+                    counts[g] = counts.get(g, 0) + 1
+            for g in sorted(x for x in counts if x >= n):
+                after = dict(counts)
+                after[g] -= 1
+                if g > n:
+                    after[g - n] = after.get(g - n, 0) + 1
+                total = sum(c * c for c in after.values())
+                if best is None or total < best[0]:
+                    best = (total, g)
+        if best is None:
+            place[i] = (size, len(gaps))
+            gaps.append(size - n)
+        else:
+            place[i] = (best[1], None)
+            gaps[gaps.index(best[1])] -= n
+    return place, len(gaps)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sum_of_squares_step_by_step(seed):
+    rng = np.random.default_rng(seed)
+    size = 40
+    lengths = rng.integers(1, size + 1, 150) if seed % 2 else np.concatenate([rng.integers(1, 6, 100), np.full(8, size)])
+    sequence, offset = packing.sum_of_squares(lengths, size)
+    place, opened = plain_sum_of_squares(lengths.tolist(), size)
+    assert sequence.max() + 1 == opened
+    assert [size - int(o) for o in offset] == [p[0] for p in place]
+
+
 def test_empty_tables(nothing):
     assert packing.pack(nothing, P.path(NAMES[1]), 2).count() == 0
     assert tokenfile.read_tokens(tokenfile.write_tokens(nothing, P.path(NAMES[0]), 1)).count() == 0
