@@ -114,9 +114,9 @@ def ranged(docs: DataFrame) -> tuple[DataFrame, int]:
     that order; and the number of ranges.
 
     Bounds are quantiles of the doc_ids; rows of one doc_id that is several bounds (or null) are spread by the hash
-    of their text. The driver holds four bounds for each shuffle partition.
+    of their text. The driver holds a bound for each shuffle partition.
     """
-    n = 4 * partitions(docs.sparkSession)
+    n = partitions(docs.sparkSession)
     # In ascending order: ids reversed bit by bit (which can't overflow), nulls last, then hashes.
     rows = docs.withColumn("none", F.col("doc_id").isNull().cast("int")).withColumn("down", F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("bigint"))).withColumn("tie", F.xxhash64("text"))
     quantiles = F.percentile_approx(F.when(F.col("none") == 0, F.col("down")), [i / n for i in range(1, n)], max(10_000, 4 * n))
@@ -152,7 +152,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     copy = F.struct(F.element_at(to_above, place).alias("part"), F.lit(1).alias("copy"))
     first = (F.col("down") == F.element_at(down, place)) & (F.col("tie") == F.element_at(tie, place))
     rows = rows.withColumn("to", F.explode(F.when(first, F.array(own, copy)).otherwise(F.array(own))))
-    rows = rows.withColumn("part", F.col("to.part")).withColumn("copy", F.col("to.copy")).drop("to")
+    rows = rows.withColumn("part", F.col("to.part").cast("int")).withColumn("copy", F.col("to.copy")).drop("to").repartitionById(n, F.col("part"))
     order = Window.partitionBy("part").orderBy("copy", "none", "down", "tie", "text")
     rows = rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
     return rows.filter("copy = 0").drop("part", "copy", "none", "down", "tie")
