@@ -26,7 +26,7 @@ from .components import components
 #: Up to so many rules are tested one by one in an expression; more are joined by host.
 INLINE = 64
 #: Up to so many rows of addresses and their verdicts (some 100 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TRACKING = r"(^|&)(utm_[a-z]+|ref|fbclid|gclid)=[^&]*"
 _CANONICAL = r"""(?i)<link\b[^>]*\brel=["']?canonical["']?[^>]*>"""
