@@ -39,7 +39,7 @@ def hset(h: DataFrame, delta: DataFrame) -> DataFrame:
 
 def hset_created(h: DataFrame, delta: DataFrame) -> DataFrame:
     """key, created: fields that a write adds."""
-    new = delta.join(h.select(*KEYS), KEYS, "left_anti")
+    new = delta.select(*KEYS).distinct().join(h.select(*KEYS), KEYS, "left_anti")
     return delta.select("key").distinct().join(new.groupBy("key").agg(F.count("*").alias("n")), "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("created"))
 
 

@@ -61,6 +61,12 @@ def lset(l: DataFrame, index: int, value: str) -> DataFrame:  # noqa: E741
     return ranked(l).select("key", "i", F.when(F.col("i") == i, F.lit(value)).otherwise(F.col("value")).alias("value"))
 
 
+def lset_replies(l: DataFrame, index: int) -> DataFrame:  # noqa: E741
+    """key, reply of LSET: OK, or an error where the index is out of range."""
+    inside = F.lit(-index) <= F.col("n") if index < 0 else F.lit(index) < F.col("n")
+    return llen(l).select("key", F.when(inside, "OK").otherwise("ERR index out of range").alias("reply"))
+
+
 def push(l: DataFrame, values: list[str], left: bool = False, only_existing: bool = True) -> DataFrame:  # noqa: E741
     """key, pos, value after a push of the values to every key (a left push turns their order)."""
     ends = l.groupBy("key").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))

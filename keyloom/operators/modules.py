@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .state import delete, upsert
+from .state import delete
 
 SLOTS = 16_384
 
@@ -21,18 +21,57 @@ def snowflake_info(requests: DataFrame) -> DataFrame:
     return requests.agg(F.count("*").alias("total"))
 
 
-def record_set(records: DataFrame, delta: DataFrame) -> DataFrame:
-    """Records (family, key, args) after writes: sessions, tensors, models, scripts, graphs, indexes, aliases."""
-    return upsert(records, delta, ["family", "key"])
-
-
-def record_delete(records: DataFrame, gone: DataFrame) -> DataFrame:
-    return delete(records, gone, ["family", "key"])
-
-
-def record_get(records: DataFrame, family: str, keys: Sequence[str] | None = None) -> DataFrame:
-    out = records.filter(F.col("family") == family)
-    return out if keys is None else out.filter(F.col("key").isin(list(keys)))
+#: What the commands of the record modules do with a record of their first argument.
+RECORDS = {
+    "search": {"FT.CREATE": "set", "FT.ALTER": "set", "FT.ALIASADD": "set", "FT.ALIASUPDATE": "set", "FT.ALIASDEL": "del", "FT.DROPINDEX": "del", "FT.INFO": "info"},
+    "graph": {"GRAPH.QUERY": "query", "GRAPH.RO_QUERY": "query", "GRAPH.DELETE": "del"},
+    "sessions": {"SG.CREATE": "set", "SG.VALIDATE": "has", "SG.DELETE": "del"},
+    "rede": {"REDE.CREATE": "set", "REDE.GET": "get", "REDE.DELETE": "del"},
+    "scripts": {"JS.GET": "get", "JS.SET": "set", "JS.DEL": "del"},
+    "models": {
+        "AI.TENSORSET": "set", "AI.TENSORGET": "get", "AI.TENSORDEL": "del", "AI.MODELSET": "set", "AI.MODELSTORE": "set", "AI.MODELGET": "get", "AI.MODELDEL": "del", "AI.SCRIPTSET": "set", "AI.SCRIPTSTORE": "set",
+        "AI.SCRIPTGET": "get", "AI.SCRIPTDEL": "del", "AI.INFO": "get",
+    },
+    "networks": {"NR.CREATE": "set", "NR.INFO": "get", "NR.DELETE": "del"},
+    "gears": {"RG.PYEXECUTE": "run", "RG.JEXECUTE": "run", "RG.TRIGGER": "run", "RG.UNREGISTER": "del", "RG.ABORTEXECUTION": "del"},
+    "series": {"TS.CREATE": "set", "TS.ALTER": "set", "TS.CREATERULE": "set", "TS.DELETERULE": "set"},
+    "streams": {"XSETID": "set", "XGROUP CREATE": "set", "XGROUP SETID": "set"},
+}
+_WRITES = ("set", "query", "run", "del")
+
+
+def _roles(requests: DataFrame, family: str) -> DataFrame:
+    """requests with role, what each command does, and key, its record's name: the first argument, or of a run its id."""
+    pairs = F.create_map(*[F.lit(x) for pair in RECORDS[family].items() for x in pair])
+    rows = requests.withColumn("role", F.element_at(pairs, F.upper("command"))).filter("role IS NOT NULL")
+    return rows.withColumn("key", F.when(F.col("role") == "run", F.concat(F.lit("exec-"), F.col("seq").cast("string"))).otherwise(F.get("args", 0)))
+
+
+def record_replies(requests: DataFrame, family: str) -> DataFrame:
+    """seq, command, key, reply (JSON text) of requests (seq, command, args): a record holds the arguments of the last
+    command that set it. Each reply follows from the last write before it, by a window over the key's requests."""
+    rows = _roles(requests, family)
+    write = F.when(F.col("role").isin(*_WRITES), F.struct((F.col("role") != "del").alias("here"), F.col("args").alias("args")))
+    before = F.last(write, ignorenulls=True).over(Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", before)
+    here = F.coalesce(F.col("before.here"), F.lit(False))
+    held, role = F.when(here, F.col("before.args")), F.col("role")
+    key = F.to_json(F.array("key"))
+    name = F.substring(key, F.lit(2), F.length(key) - 2)
+    reply = (
+        F.when(role == "set", '"OK"').when(role == "get", F.coalesce(F.to_json(held), F.lit("[]"))).when(role.isin("del", "has"), here.cast("int").cast("string")).when(role == "run", name)
+        .when(role == "query", '[[],[],["Query internal execution time: 0 ms"]]')
+        .when(role == "info", F.concat(F.lit('["index_name",'), name, F.lit(',"num_docs",0,"num_fields",'), F.coalesce(F.size(held), F.lit(0)).cast("string"), F.lit("]")))
+    )
+    return rows.select("seq", "command", "key", reply.alias("reply"))
+
+
+def records(requests: DataFrame, family: str) -> DataFrame:
+    """key, args of the records after all requests: an aggregate that combines on the map side (FT._LIST, GRAPH.LIST,
+    AI._MODELSCAN, AI._SCRIPTSCAN, RG.DUMP... list the keys)."""
+    writes = _roles(requests, family).filter(F.col("role").isin(*_WRITES))
+    last = writes.groupBy("key").agg(F.max_by(F.struct("role", "args"), "seq").alias("r"))
+    return last.filter("r.role <> 'del'").select("key", "r.args")
 
 
 def hits(log: DataFrame) -> DataFrame:

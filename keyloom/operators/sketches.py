@@ -42,9 +42,11 @@ def card(items: DataFrame) -> DataFrame:
 
 
 def cuckoo_counts(log: DataFrame) -> DataFrame:
-    """key, item, cnt after ordered adds (+1) and deletes (-1): a delete below zero does nothing."""
-    steps = F.array_sort(F.collect_list(F.struct("seq", "sign")))["sign"]
-    out = log.groupBy("key", "item").agg(F.aggregate(steps, F.lit(0), lambda s, x: F.greatest(s + x, F.lit(0))).alias("cnt"))
+    """key, item, cnt after ordered adds (+1) and deletes (-1): a delete below zero does nothing. A sum that is held at
+    zero is the plain sum less its lowest point below zero, so a running sum and two aggregates do."""
+    w = Window.partitionBy("key", "item").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    sums = log.select("key", "item", "sign", F.sum("sign").over(w).alias("s"))
+    out = sums.groupBy("key", "item").agg((F.sum("sign") - F.least(F.min("s"), F.lit(0))).cast("int").alias("cnt"))
     return out.filter(F.col("cnt") > 0)
 
 
@@ -76,7 +78,8 @@ def topk_list(items: DataFrame, k: int) -> DataFrame:
 
 def topk_expelled(items: DataFrame, k: int) -> DataFrame:
     """key, item, seq, expelled: what each add pushes out of its key's list, if anything. A fold over sorted rows: a
-    task holds the counts of one key at a time, never its rows."""
+    task holds the counts of one key at a time, never its rows. Each add looks at the k + 1 candidates, so k is to be
+    some hundreds at most."""
 
     def run(batches):
         import pyarrow as pa

@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """base with delta's rows in place of those with equal keys: one anti-join on the keys, no window."""
-    return base.join(delta.select(*keys), list(keys), "left_anti").unionByName(delta, allowMissingColumns=True)
+def reduced(delta: DataFrame, keys: Sequence[str], order: str = "seq", first: bool = False) -> DataFrame:
+    """One row for each key: the last (or first) by the order column, which goes; without such a column, as the rows
+    come. An aggregate that combines on the map side."""
+    if order not in delta.columns:
+        delta = delta.withColumn(order, F.monotonically_increasing_id())
+    rest = [c for c in delta.columns if c not in (*keys, order)]
+    if not rest:
+        return delta.select(*keys).distinct()
+    pick = F.min_by if first else F.max_by
+    return delta.groupBy(*keys).agg(pick(F.struct(*rest), F.col(order)).alias("_r")).select(*keys, "_r.*")
 
 
-def insert_absent(base: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return base.unionByName(delta.join(base.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
+def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str], order: str = "seq") -> DataFrame:
+    """base with delta's rows in place of those with equal keys; of a key that delta has twice the last row counts."""
+    new = reduced(delta, keys, order)
+    return base.join(new.select(*keys), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def insert_absent(base: DataFrame, delta: DataFrame, keys: Sequence[str], order: str = "seq") -> DataFrame:
+    """base with delta's rows whose keys it doesn't have; of a key that delta has twice the first row counts."""
+    new = reduced(delta, keys, order, first=True)
+    return base.unionByName(new.join(base.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
 
 
 def delete(base: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -69,33 +86,84 @@ def evict_prefixes(entries: DataFrame, target_bytes: int) -> DataFrame:
     return evict(ranked, target_bytes, [F.col("_group").asc(), F.col("prefix").asc(), F.col("suffix_len").desc(), F.col("touch").asc(), F.col("key").asc()]).select(*entries.columns)
 
 
+def folded(rows: DataFrame, keys: Sequence[str], order: Sequence[str], start: Any, step: Callable[..., tuple[Any, tuple]], schema: str, sends: Sequence[str]) -> DataFrame:
+    """A fold over each key's rows in order, for rules whose next step depends on the last. step(state, *values of the
+    columns `sends`) gives the new state and what is appended to the row's keys and order columns (schema). Rows are sorted within
+    partitions and streamed in Arrow batches: a task holds one state, never a key's rows."""
+    kept = [*keys, *order]
+    names = [f.split()[0] for f in schema.split(", ")]
+    head = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, types = None, start, None
+        for batch in batches:
+            out = []
+            for key, values in zip(zip(*(batch.column(c).to_pylist() for c in keys), strict=True), zip(*(batch.column(c).to_pylist() for c in sends), strict=True), strict=True):
+                if key != last:
+                    last, state = key, start
+                state, row = step(state, *values)
+                out.append(row)
+            types = types or [_ARROW[f.split()[1]] for f in schema.split(", ")]
+            new = [pa.array([r[i] for r in out], t) for i, t in enumerate(types)]
+            yield pa.record_batch([*(batch.column(c) for c in kept), *new], names=[*kept, *names])
+
+    few = rows.select(*dict.fromkeys([*kept, *sends]))
+    return few.repartition(*keys).sortWithinPartitions(*kept).mapInArrow(run, f"{head}, {schema}")
+
+
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
 def throttle(requests: DataFrame, budget: int) -> DataFrame:
     """key, seq, qty, limited, remaining: a budget that is spent and never refilled; a request beyond it is rejected
-    and costs nothing; a quantity is one at least. A fold over each key's ordered requests."""
-    rows = F.array_sort(F.collect_list(F.struct("seq", F.greatest("qty", F.lit(1)).alias("qty"))))
-    start = F.struct(F.lit(budget).cast("bigint").alias("left"), F.array().cast("array<struct<seq:bigint,qty:bigint,limited:int,remaining:bigint>>").alias("out"))
+    and costs nothing; a quantity is one at least."""
 
-    def step(acc: Column, r: Column) -> Column:
-        limited = r["qty"] > acc["left"]
-        left = F.when(limited, acc["left"]).otherwise(acc["left"] - r["qty"])
-        row = F.struct(r["seq"].cast("bigint").alias("seq"), r["qty"].cast("bigint").alias("qty"), limited.cast("int").alias("limited"), left.alias("remaining"))
-        return F.struct(left.alias("left"), F.array_append(acc["out"], row).alias("out"))
+    def step(left: int, qty: int) -> tuple[int, tuple]:
+        limited = qty > left
+        left -= 0 if limited else qty
+        return left, (int(limited), left)
 
-    folded = requests.groupBy("key").agg(F.aggregate(rows, start, step, lambda a: a["out"]).alias("r"))
-    return folded.select("key", F.inline("r"))
+    rows = requests.select("key", "seq", F.greatest("qty", F.lit(1)).cast("bigint").alias("qty"))
+    return folded(rows, ["key"], ["seq", "qty"], budget, step, "limited int, remaining bigint", ["qty"])
 
 
 def locks(events: DataFrame) -> DataFrame:
     """key, token, until of locks held after (key, seq, at_ms, op, token, ttl_ms) events: an acquire succeeds where no
     live lock is held, release and renew need the holder's token."""
-    rows = F.array_sort(F.collect_list(F.struct("seq", "at_ms", "op", "token", "ttl_ms")))
-    none = F.struct(F.lit(None).cast("string").alias("token"), F.lit(None).cast("bigint").alias("until"))
-
-    def step(acc: Column, r: Column) -> Column:
-        free = acc["token"].isNull() | (acc["until"] <= r["at_ms"])
-        mine = ~free & (acc["token"] == r["token"])
-        new = F.struct(r["token"].alias("token"), (r["at_ms"] + r["ttl_ms"]).alias("until"))
-        return F.when((r["op"] == "acquire") & free, new).when((r["op"] == "renew") & mine, new).when((r["op"] == "release") & mine, none).otherwise(acc)
 
-    folded = events.groupBy("key").agg(F.aggregate(rows, none, step).alias("r"), F.max("at_ms").alias("now"))
-    return folded.filter("r.token IS NOT NULL AND r.until > now").select("key", "r.token", "r.until")
+    def step(held: tuple, at: int, op: str, token: str, ttl: int) -> tuple[tuple, tuple]:
+        free = held[0] is None or held[1] <= at
+        mine = not free and held[0] == token
+        if (op == "acquire" and free) or (op == "renew" and mine):
+            held = (token, at + ttl)
+        elif op == "release" and mine:
+            held = (None, None)
+        return held, (*held, at)
+
+    after = folded(events, ["key"], ["seq"], (None, None), step, "token string, until bigint, now bigint", ["at_ms", "op", "token", "ttl_ms"])
+    last = after.groupBy("key").agg(F.max_by(F.struct("token", "until"), "seq").alias("r"), F.max("now").alias("now"))
+    return last.filter("r.token IS NOT NULL AND r.until > now").select("key", "r.token", "r.until")
+
+
+def transactions(kv: DataFrame, queued: DataFrame, watched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """MULTI, WATCH and EXEC as one commit point. queued (txn, ord, key, op, value) holds the commands between MULTI and
+    EXEC, watched (txn, key, version) what WATCH saw (version null: no such key), kv (key, value, version) the state at
+    the commit point. A transaction whose watched keys all still have their versions applies as a whole, others not at
+    all; those that apply do so by (txn, ord), and each key they touch gets the next version.
+
+    Returns kv afterwards, and txn, committed. A discarded transaction is one without queued rows."""
+    now = kv.select("key", F.col("version").alias("now"))
+    stale = watched.join(now, "key", "left").filter(~F.col("version").eqNullSafe(F.col("now"))).select("txn").distinct()
+    every = queued.select("txn").union(watched.select("txn")).distinct()
+    replies = every.join(stale.withColumn("stale", F.lit(True)), "txn", "left").select("txn", F.col("stale").isNull().alias("committed"))
+    writes = queued.filter(F.col("op").isin("SET", "DEL")).join(stale, "txn", "left_anti")
+    last = writes.groupBy("key").agg(F.max_by(F.struct("op", "value"), F.struct("txn", "ord")).alias("w"))
+    both = kv.join(last, "key", "full").filter("w IS NULL OR w.op = 'SET'")
+    value = F.when(F.col("w").isNull(), F.col("value")).otherwise(F.col("w.value"))
+    version = F.when(F.col("w").isNull(), F.col("version")).otherwise(F.coalesce(F.col("version"), F.lit(0)) + 1)
+    return both.select("key", value.alias("value"), version.alias("version")), replies
+
+
+def flushed(df: DataFrame) -> DataFrame:
+    """FLUSHDB, FLUSHALL: the relation without rows."""
+    return df.filter(F.lit(False))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.exprs import lex_bound, range_norm, score_bound
+from .state import folded
 
 
 def _key() -> WindowSpec:
@@ -88,8 +89,16 @@ def zremrangebylex(z: DataFrame, low: str, high: str) -> DataFrame:
 
 
 def zadd(z: DataFrame, delta: DataFrame, nx: bool = False, xx: bool = False, gt: bool = False, lt: bool = False, incr: bool = False) -> DataFrame:
-    """z after delta (key, member, score). GT and LT compare the given score with the old one, also with INCR."""
-    found = z.join(delta.withColumnRenamed("score", "new"), ["key", "member"], "full")
+    """z after delta (key, member, score[, seq]). GT and LT compare the given score with the old one, also with INCR.
+    Scores of one member apply by seq, or as they come: the last counts, the first with NX, the largest or smallest
+    with GT or LT, the sum with INCR; INCR with GT or LT folds them one by one."""
+    if incr and (gt or lt):
+        return _zadd_compared(z, delta, xx, gt)
+    by = F.col("seq")
+    if "seq" not in delta.columns:
+        delta = delta.withColumn("seq", F.monotonically_increasing_id())
+    pick = F.min_by("score", by) if nx else F.max("score") if gt else F.min("score") if lt else F.sum("score") if incr else F.max_by("score", by)
+    found = z.join(delta.groupBy("key", "member").agg(pick.alias("new")), ["key", "member"], "full")
     old, new = F.col("score"), F.col("new")
     passes = F.lit(True)
     if gt:
@@ -102,6 +111,25 @@ def zadd(z: DataFrame, delta: DataFrame, nx: bool = False, xx: bool = False, gt:
     return found.select("key", "member", score.alias("score")).filter("score IS NOT NULL")
 
 
+def _zadd_compared(z: DataFrame, delta: DataFrame, xx: bool, gt: bool) -> DataFrame:
+    if "seq" not in delta.columns:
+        delta = delta.withColumn("seq", F.monotonically_increasing_id())
+
+    def step(state, old, new):
+        now = old if state is None else state
+        if now is None:
+            now = None if xx else new
+        elif (new > now) if gt else (new < now):
+            now += new
+        return now, (now,)
+
+    found = delta.join(z.select("key", "member", F.col("score").alias("old")), ["key", "member"], "left")
+    after = folded(found, ["key", "member"], ["seq"], None, step, "now double", ["old", "score"])
+    last = after.groupBy("key", "member").agg(F.max_by("now", "seq").alias("new"))
+    both = z.join(last, ["key", "member"], "full")
+    return both.select("key", "member", F.coalesce("new", "score").alias("score")).filter("score IS NOT NULL")
+
+
 def zincrby(z: DataFrame, log: DataFrame) -> DataFrame:
     """z with the sums of (key, member, delta) added."""
     both = z.unionByName(log.select("key", "member", F.col("delta").cast("double").alias("score")))

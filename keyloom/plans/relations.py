@@ -24,6 +24,10 @@ RELATIONS = {
     "a": "SELECT l_orderkey AS key, CAST(l_linenumber AS BIGINT) AS idx, CAST(max(l_quantity) AS BIGINT) AS value FROM lineitem GROUP BY 1, 2",
     "v": "SELECT vec_id AS element, CAST(embedding AS DOUBLE[]) AS vector, label FROM embeddings",
     "j": "SELECT event_id AS key, props AS doc FROM events",
+    "jp": """SELECT event_id AS key, CASE WHEN event_id % 4 = 0 THEN CAST([] AS VARCHAR[]) ELSE [CAST(user_id % 7 AS VARCHAR), CAST(event_id % 3 AS VARCHAR), '"x"'] END AS a,
+ CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END AS b, CAST(user_id % 10 AS VARCHAR) AS n, event_type AS s FROM events""",
+    "versions": "SELECT CAST(user_id AS VARCHAR) AS key, max_by(event_type, event_id) AS value, count(*) AS version FROM events GROUP BY 1",
+    "writes": "SELECT 'cust:' || (user_id % 400) AS key, 'w' || event_id AS value, event_id AS seq FROM events",
     "ts": "SELECT event_type AS key, ms AS ts, arg_max(value, event_id) AS value FROM ev GROUP BY 1, 2",
     "items": "SELECT event_type AS key, CAST(user_id AS VARCHAR) AS item, event_id AS seq FROM events",
     "samples": "SELECT event_type AS key, value FROM events",

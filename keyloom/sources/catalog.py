@@ -91,6 +91,32 @@ class Catalog:
     def j(self) -> DataFrame:
         return self.table("events").select(F.col("event_id").alias("key"), F.col("props").alias("doc"))
 
+    @property
+    def jd(self) -> DataFrame:
+        """key, doc: documents with an array, a boolean, a number, an object and a string."""
+        e = F.col("event_id")
+        items = F.when(e % 4 == 0, "").otherwise(F.concat_ws(",", (F.col("user_id") % 7).cast("string"), (e % 3).cast("string"), F.lit('"x"')))
+        flag = F.when(e % 2 == 0, "true").otherwise("false")
+        doc = F.concat(F.lit('{"a":['), items, F.lit('],"b":'), flag, F.lit(',"n":'), (F.col("user_id") % 10).cast("string"), F.lit(',"o":{"k":1},"s":"'), F.col("event_type"), F.lit('"}'))
+        return self.table("events").select(e.alias("key"), doc.alias("doc"))
+
+    def requests(self, *commands: str) -> DataFrame:
+        """seq, command, args: the events as requests of the commands by turns."""
+        e = F.col("event_id")
+        command = F.element_at(F.lit(list(commands)), (e % len(commands) + 1).cast("int"))
+        name = F.when(command.startswith("RG."), F.concat(F.lit("exec-"), (e - 3).cast("string"))).otherwise(F.concat(F.lit("k"), (F.col("user_id") % 40).cast("string")))
+        return self.table("events").select(e.alias("seq"), command.alias("command"), F.array(name, F.col("event_type"), F.floor("value").cast("string")).alias("args"))
+
+    @property
+    def versions(self) -> DataFrame:
+        """key, value, version: a user's last event type and number of events."""
+        return self.table("events").groupBy(F.col("user_id").cast("string").alias("key")).agg(F.max_by("event_type", "event_id").alias("value"), F.count("*").alias("version"))
+
+    @property
+    def writes(self) -> DataFrame:
+        """key, value, seq: several writes of each key, half of them of customers."""
+        return self.table("events").select(F.concat(F.lit("cust:"), (F.col("user_id") % 400).cast("string")).alias("key"), F.concat(F.lit("w"), F.col("event_id").cast("string")).alias("value"), F.col("event_id").alias("seq"))
+
     @property
     def ts(self) -> DataFrame:
         return self.events.groupBy(F.col("event_type").alias("key"), F.col("ms").alias("ts")).agg(F.max_by("value", "event_id").alias("value"))

@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or in a local session a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: files need a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="keyloom-")
+    return f"{base.rstrip('/')}/keyloom-io-{uuid.uuid4().hex}"
+
+
 WAL = T.StructType([T.StructField(n, t) for n, t in (("shard_id", T.IntegerType()), ("sequence", T.LongType()), ("timestamp_ms", T.LongType()), ("op", T.StringType()), ("key", T.StringType()), ("value", T.DoubleType()), ("expire_at_ms", T.LongType()))])
 
 
@@ -36,6 +51,12 @@ def recover(spark: SparkSession, snapshot: str, wal: str) -> DataFrame:
     return recovery_fold(base.unionByName(read_wal(spark, wal).select(*base.columns)), at)
 
 
+def write_pairs(pairs: DataFrame, path: str) -> None:
+    """A pair file of (dataset, pair_id, label, cache_embedding, query_embedding): arrays as parts split by spaces."""
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("double").cast("string")), " ").alias(c)
+    pairs.select("dataset", "pair_id", "label", text("cache_embedding"), text("query_embedding")).write.csv(path, header=True)
+
+
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """dataset, pair_id, label, cache_embedding, query_embedding (arrays; parts split by space, ';' or '|')."""
     rows = spark.read.schema("dataset string, pair_id string, label int, cache_embedding string, query_embedding string").csv(path, header=True)

@@ -18,11 +18,19 @@ def read_wal_stream(spark: SparkSession, path: str, files_per_trigger: int | Non
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
-def materialise(log: DataFrame) -> DataFrame:
+def materialise(log: DataFrame, late: str = "1 hour") -> DataFrame:
     """key, value, expire_at_ms, live: each key's state after the micro-batches so far. A batch is sorted by time and
-    sequence within its key; rows at or before what a key has applied are skipped, so a replay changes nothing."""
+    sequence within its key; rows at or before what a key has applied are skipped, so a replay changes nothing. The state
+    of a key that a Del or its deadline ended goes once the watermark (`late` behind the newest time) is past that."""
+    wait = int(pd.Timedelta(late).total_seconds() * 1000)
 
     def apply(key: tuple[Any], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            here, value = state.get[2], state.get[3]
+            state.remove()
+            if here:  # its deadline is over
+                yield pd.DataFrame({"key": [key[0]], "value": pd.Series([value], dtype="float64"), "expire_at_ms": pd.Series([None], dtype="Int64"), "live": [False]})
+            return
         at_ms, at_seq, here, value, expire = state.get if state.exists else (-1, -1, False, None, None)
         for pdf in frames:
             for r in pdf.sort_values(["timestamp_ms", "sequence"]).itertuples():
@@ -37,10 +45,14 @@ def materialise(log: DataFrame) -> DataFrame:
                 elif here:
                     expire = deadline
         state.update((at_ms, at_seq, here, value, expire))
+        over = max(expire, at_ms) if here and expire is not None else at_ms if not here else None
+        if over is not None:
+            state.setTimeoutTimestamp(max(over + wait, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [key[0]], "value": pd.Series([value], dtype="float64"), "expire_at_ms": pd.Series([expire], dtype="Int64"), "live": [here]})
 
-    return log.groupBy("key").applyInPandasWithState(
-        apply, "key string, value double, expire_at_ms bigint, live boolean", "at_ms bigint, at_seq bigint, here boolean, value double, expire_at_ms bigint", "update", GroupStateTimeout.NoTimeout
+    timed = log.withColumn("_at", F.timestamp_millis("timestamp_ms")).withWatermark("_at", late)
+    return timed.groupBy("key").applyInPandasWithState(
+        apply, "key string, value double, expire_at_ms bigint, live boolean", "at_ms bigint, at_seq bigint, here boolean, value double, expire_at_ms bigint", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -49,15 +61,19 @@ def counters(log: DataFrame) -> DataFrame:
     return log.groupBy("key").agg(F.sum("delta").alias("value"))
 
 
+def _watermarked(events: DataFrame, time: str, late: str) -> DataFrame:
+    return events.withWatermark(time, late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, time: str, length: str, late: str, *by: str) -> DataFrame:
     """Counts and sums of `value` in windows; rows later than the watermark allows are dropped by the engine."""
     w = F.window(time, length)
-    return events.withWatermark(time, late).groupBy(w.alias("w"), *by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), *by, "n", "total")
+    return _watermarked(events, time, late).groupBy(w.alias("w"), *by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), *by, "n", "total")
 
 
 def sessions(events: DataFrame, time: str, gap: str, late: str, *by: str) -> DataFrame:
     w = F.session_window(time, gap)
-    return events.withWatermark(time, late).groupBy(w.alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n")
+    return _watermarked(events, time, late).groupBy(w.alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n")
 
 
 def append(stream: DataFrame, path: str, checkpoint: str):

@@ -258,11 +258,152 @@ def test_json(spark):
     j = rows(spark, "key int, doc string", (1, '{"a":true,"n":2,"arr":[1,2],"s":"x","o":{"k":1}}'))
     assert [jsondocs.get(j, p).first().value for p in ("$.n", ".s", "$.o", "$.o.k", ".none")] == ["2", '"x"', '{"k":1}', None, None]
     assert jsondocs.objlen(j).first().n == 5 and jsondocs.arrlen(j, ".arr").first().n == 2 and jsondocs.arrindex(j, ".arr", "2").first()["at"] == 1
-    assert jsondocs.toggle(j, ".a").first().value == 0 and jsondocs.strlen(j, ".s").first().n == 1 and jsondocs.number(j, ".n", 3, True).first().value == 6.0
-    new = lambda *how: jsondocs.rewrite(j, *how).first().doc
-    assert new(jsondocs.merge, {"a": None, "o": {"k": None, "m": 1}, "arr": None, "n": None}) == '{"o":{"m":1},"s":"x"}'
-    assert '"arr":[1,9,2]' in new(jsondocs.on_field, "arr", jsondocs.arr_insert, 1, 9) and '"arr":[1]' in new(jsondocs.on_field, "arr", jsondocs.arr_pop)
-    assert '"s":"xy"' in new(jsondocs.on_field, "s", jsondocs.str_append, '"y"') and new(jsondocs.clear) == "{}"
+    assert jsondocs.strlen(j, ".s").first().n == 1 and jsondocs.number(j, ".n", 3, True).first().value == 6.0
+    assert jsondocs.merged(j, {"a": None, "o": {"k": None, "m": 1}, "arr": None, "n": None}).first().doc == '{"s":"x","o":{"m":1}}'
+
+
+def test_json_writes_keep_what_they_do_not_touch(spark):
+    text = '{"z":1.5,"a":[1,"q\\"é",{"k":null}],"s":"x","b":true,"n":null}'
+    j = rows(spark, "key int, doc string", (1, text))
+    out = lambda df: tuple(df.select("doc", "reply", "error").first())
+    assert out(jsondocs.arr_append(j, ".a", "y")) == (text.replace('null}]', 'null},"y"]'), "4", None)
+    assert out(jsondocs.arr_insert(j, ".a", -3, 0))[0] == text.replace("[1,", "[0,1,") and out(jsondocs.arr_insert(j, ".a", 99, 0))[0] == text.replace("null}]", "null},0]")
+    assert out(jsondocs.arr_pop(j, ".a"))[1] == '{"k":null}' and out(jsondocs.arr_trim(j, ".a", 1, 1))[0] == text.replace('[1,"q', '["q').replace(',{"k":null}]', "]")
+    assert out(jsondocs.str_append(j, ".s", '"é"')) == (text.replace('"x"', '"xé"'), "3", None) and out(jsondocs.toggled(j, ".b")) == (text.replace("true", "false"), "0", None)
+    for bad in (jsondocs.arr_pop(j, ".z"), jsondocs.arr_append(j, ".s", 1), jsondocs.arr_trim(j, ".b", 0, 1), jsondocs.str_append(j, ".a", "x"), jsondocs.toggled(j, ".n"), jsondocs.changed_number(j, ".s", 1)):
+        doc, reply, error = out(bad)
+        assert (doc, reply) == (text, None) and error.startswith("JSON path is not")
+    assert out(jsondocs.arr_pop(j, ".missing")) == (text, None, None) and out(jsondocs.arr_pop(j, ".a.b")) == (text, None, None)
+    assert out(jsondocs.set_at(j, ".new", {"x": [1]}))[0] == text[:-1] + ',"new":{"x":[1]}}' and out(jsondocs.cleared(j, "$"))[0] == "{}"
+    odd = rows(spark, "key int, doc string", (1, "[1,2]"), (2, "no json"), (3, None))
+    assert [r.doc for r in jsondocs.arr_append(odd, "$", 3).orderBy("key").collect()] == ["[1,2,3]", "no json", None]
+    assert [r.doc for r in jsondocs.toggled(odd, ".a").orderBy("key").collect()] == ["[1,2]", "no json", None] and jsondocs.removed(j, ".s").first().reply == "1"
+
+
+def test_filters_by_type(spark):
+    docs = ['{"f":5}', '{"f":"5"}', '{"f":true}', '{"f":null}', "{}", None, '{"f":"b"}', '{"f":5.0}', '{"f":[5]}']
+    v = rows(spark, "i int, attrs string", *enumerate(docs))
+    found = lambda text: [r.i for r in v.filter(vectors.attribute_filter(text)).orderBy("i").collect()]
+    assert found(".f == 5") == [0, 7] and found(".f != 5") == [1, 2, 3, 6, 8] and found('.f == "5"') == [1] and found(".f == true") == [2] and found(".f == null") == [3]
+    assert found('.f > "a"') == [] and found(".f >= 5") == [0, 7] and found(".f < 6 && .f != 5") == [] and found(".f != null") == [0, 1, 2, 6, 7, 8]
+
+
+def test_writes_with_repeated_keys(spark):
+    kv = rows(spark, "key string, value string, expire_at_ms bigint", ("a", "1", 5))
+    new = rows(spark, "key string, value string, seq int", ("a", "2", 2), ("a", "3", 1), ("b", "4", 1), ("b", "5", 2))
+    assert got(strings.set_if(kv, new)) == [("a", "2", None), ("b", "5", None)] and got(strings.set_if(kv, new, "XX")) == [("a", "2", None)]
+    assert got(strings.setnx(kv, new)) == [("a", "1", 5), ("b", "4", None)] and got(strings.set_if(kv, new, "NX")) == [("a", "1", 5), ("b", "4", None)]
+    plain = rows(spark, "key string, value string", ("a", "2"), ("a", "3"))
+    assert got(state.upsert(kv, plain, ["key"])) == [("a", "3", None)] and got(state.upsert(kv.select("key"), plain.select("key"), ["key"])) == [("a",)]
+    chain = rows(spark, "key string, value string, expect string, seq int", ("a", "2", "1", 1), ("a", "3", "2", 2), ("a", "4", "x", 3), ("n", "9", "1", 1))
+    assert got(strings.set_if(kv, chain, "IFEQ")) == [("a", "3", None)] and got(strings.set_if(kv, chain, "IFNE")) == [("a", "4", None), ("n", "9", None)]
+
+
+def test_zadd_folds_repeated_members(spark):
+    rng = random.Random(4)
+    old = [("z", m, float(rng.randint(0, 50))) for m in "abcd"]
+    log = [("z", rng.choice("abcdefg"), float(rng.randint(0, 60)), i) for i in range(80)]
+    z, delta = rows(spark, "key string, member string, score double", *old), rows(spark, "key string, member string, score double, seq int", *log)
+    for kw in ({}, {"nx": True}, {"xx": True}, {"gt": True}, {"lt": True}, {"incr": True}, {"gt": True, "incr": True}, {"lt": True, "incr": True}, {"xx": True, "gt": True}):
+        want = {m: s for _, m, s in old}
+        for _, m, s, _ in log:
+            here = m in want
+            if (here and kw.get("nx")) or (not here and kw.get("xx")) or (here and kw.get("gt") and not s > want[m]) or (here and kw.get("lt") and not s < want[m]):
+                continue
+            want[m] = want[m] + s if here and kw.get("incr") else s
+        assert {r.member: r.score for r in zsets.zadd(z, delta, **kw).collect()} == want, kw
+
+
+def test_lcs_of_long_texts_and_ranges(spark):
+    rng = random.Random(5)
+    a, b = ("".join(rng.choice("abcd") for _ in range(n)).encode() for n in (700, 500))
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    matches = strings.lcs_matches(a, b)
+    assert len(matches) == best[-1][-1] and all(a[i] == b[j] for i, j in matches) and matches == sorted(matches, reverse=True)
+    assert strings.lcs_ranges(b"ohmytext", b"mynewtext") == [(4, 7, 5, 8, 4), (2, 3, 0, 1, 2)] and strings.lcs_ranges(b"ohmytext", b"mynewtext", 4) == [(4, 7, 5, 8, 4)]
+    df = rows(spark, "id int, a string, b string", (1, "ohmytext", "mynewtext"), (2, None, "x"))
+    out = {r.id: r for r in strings.lcs_idx(df, 4).collect()}
+    assert out[1].length == 6 and [tuple(x) for x in out[1].ranges] == [(4, 7, 5, 8, 4)] and (out[2].length, out[2].ranges) == (0, [])
+    assert len(strings.lcs_matches(b"ab" * 4000, b"ba" * 4000)) == 7999
+
+
+def test_deadlines_go_with_writes(spark):
+    kv = rows(spark, "key string, value string, expire_at_ms bigint", ("a", "1.5", 5), ("b", "x", 6), ("c", "1", 7))
+    assert got(strings.set_range(kv, 1, "Z")) == [("a", "1Z5", None), ("b", "xZ", None), ("c", "1Z", None)]
+    delta = rows(spark, "key string, delta double", ("a", 1.0), ("a", 0.25), ("b", 1.0), ("n", 2.0))
+    assert got(strings.incr_by_float(kv, delta)) == [("a", "2.75", None), ("b", "x", 6), ("c", "1", 7), ("n", "2.0", None)]
+
+
+def test_transactions(spark):
+    kv = rows(spark, "key string, value string, version bigint", ("a", "1", 1), ("b", "2", 4))
+    queued = rows(spark, "txn int, ord int, key string, op string, value string", (1, 1, "a", "SET", "x"), (1, 2, "new", "SET", "y"), (2, 1, "b", "DEL", None), (3, 1, "b", "SET", "no"), (4, 1, "a", "SET", "z"))
+    watched = rows(spark, "txn int, key string, version bigint", (1, "a", 1), (1, "new", None), (3, "b", 3), (5, "a", 1))
+    after, replies = state.transactions(kv, queued, watched)
+    assert got(after) == [("a", "z", 2), ("new", "y", 1)]
+    assert got(replies) == [(1, True), (2, True), (3, False), (4, True), (5, True)]
+
+
+def test_hashed_search_finds_what_brute_force_finds(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((150, 64))
+    near = np.repeat(base, 4, axis=0) + rng.standard_normal((600, 64)) * 0.45
+    every = np.concatenate([base, near])
+    data = [(i, [float(x) for x in r]) for i, r in enumerate(every)] + [(9000, None), (9001, []), (9002, [1.0, None]), (9003, [0.5] * 10)]
+    v = spark.createDataFrame(data, "element bigint, vector array<double>")
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    for least in (0.8, 0.7):
+        found = {(r.query, r.element) for r in vectors.lsh_search(v, v.filter("element % 20 = 0"), least).collect() if r.query < 9000}
+        want = {(q, int(e)) for q in range(0, len(every), 20) for e in np.flatnonzero(unit[q] @ unit.T >= least)}
+        assert found <= want | {(q, q) for q in range(len(every))} and len(found & want) >= 0.95 * len(want) and len(want) > 100
+    best = vectors.vsim(v, [(0, data[0][1]), (1, data[1][1])], 5).collect()
+    for q in (0, 1):
+        order = sorted(range(len(every)), key=lambda e: (-(unit[q] @ unit[e]), e))[:5]
+        assert [r.element for r in sorted(best, key=lambda r: r["rank"]) if r.query == q] == order
+
+
+def test_search_with_ties_keeps_the_least_elements(spark):
+    v = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(500)], "element bigint, vector array<double>").repartition(3)
+    out = vectors.vsim(v, [(7, [1.0, 0.0])], 4).orderBy("rank").collect()
+    assert [r.element for r in out] == [0, 2, 4, 6]
+
+
+def test_radius_join_against_all_pairs(spark):
+    rng = random.Random(6)
+    places = [("g", i, rng.uniform(-180, 180), rng.choice([rng.uniform(-85, 85), rng.uniform(83, 85), rng.uniform(-1, 1)])) for i in range(400)] + [("g", 900, 179.9999, 10.0), ("g", 901, -179.9999, 10.0), ("g", 902, 179.9999, 10.0)]
+    z = geo.geoadd(rows(spark, "key string, member int, lon double, lat double", *places))
+    at = geo.geopos(z).select("member", "lon", "lat")
+    pairs = at.crossJoin(at.toDF("m2", "lon2", "lat2")).withColumn("d", X.haversine(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")))
+    for metres in (0, 50.0, 300_000.0, 4_000_000.0, 30_000_000.0):
+        want = sorted((r.member, r.m2) for r in pairs.filter(F.col("d") <= metres).collect())
+        assert sorted((r.a_member, r.b_member) for r in geo.join_radius(z, z, metres).collect()) == want, metres
+
+
+def test_plain_python_has_the_same_rows(spark):
+    """What SQL can't express: digests, slots and shards of all keys."""
+    import xxhash
+
+    from keyloom.operators import control
+    from keyloom.sources.catalog import Catalog
+
+    kv = Catalog(spark, "/root/testdata/sf0.001").kv(500_000)
+    mine = {r.key: r for r in kv.withColumn("digest", strings.digest(F.col("value"))).collect()}
+    assert all(r.digest == xxhash.xxh3_64_hexdigest(r.value.encode()) for r in mine.values())
+    hashed = {k: xxhash.xxh64_intdigest(k.encode(), 42) for k in mine}
+    signed = {k: h - (1 << 64) if h >> 63 else h for k, h in hashed.items()}
+    for r in modules.owners(kv.select("key"), ["a", "b", "c"]).collect():
+        slot = signed[r.key] % modules.SLOTS
+        assert (r.slot, r.owner) == (slot, "abc"[slot * 3 // modules.SLOTS])
+    want = {}
+    for k, r in mine.items():
+        n, size = want.get(signed[k] % 16, (0, 0))
+        want[signed[k] % 16] = (n + 1, size + len(r.value.encode()))
+    assert {r.shard: (r.keys, r.bytes) for r in control.stats(kv).collect()} == want
+    assert abs(control.server_time(spark).first().seconds - __import__("time").time()) < 100 and control.commands(spark).count() > 80
 
 
 def test_time_series(spark):
@@ -278,7 +419,11 @@ def test_scripts(spark):
     sha = cache.load("return ARGV[1]")
     assert cache.exists(sha, "0" * 40) == [1, 0] and cache.evalsha(df, sha).first().reply == "7.9"
     cache.flush()
-    for bad in ("x = 1", "return foo", "return 1 2", "return redis.call('SET', 'a')"):
+    script = "redis.call('SET', KEYS[1], ARGV[2]); redis.call('APPEND', KEYS[1], '!') redis.call('INCRBY', 'n', '5'); redis.pcall('DEL', 'gone') return {redis.call('GET', KEYS[1]), redis.call('DECR', 'n'), redis.call('EXISTS', 'gone'), redis.call('STRLEN', KEYS[1])}"
+    out = scripting.evaluate(df, script).first()
+    assert out.reply == '["b!","4","0","2"]' and out.found == {"k": "b!", "n": "4"}
+    assert scripting.evaluate(df, "redis.call('DEL', KEYS[1])").first()[2:] == ({}, None)
+    for bad in ("x = 1", "return foo", "return 1 2", "return redis.call('SET', 'a')", "return redis.call('EVAL', 'x')", "'x' return 1"):
         with pytest.raises(ValueError):
             scripting.compile_script(bad)
     with pytest.raises(ValueError):
