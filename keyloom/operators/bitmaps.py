@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bit_at, bytes_of, popcount, range_norm
+from .state import matching
 
 
 def getbit(value: Column, offset: int) -> Column:
@@ -58,6 +59,25 @@ def edges(bits: DataFrame) -> DataFrame:
     return bits.groupBy("key").agg(F.min("bit").alias("least"), F.max("bit").alias("most"))
 
 
+def bit_array(bits: DataFrame) -> DataFrame:
+    """key, text of zeros and ones up to the greatest bit (R.GETBITARRAY). The text is one value; for large bits take the rows."""
+    sets = bits.groupBy("key").agg(F.sort_array(F.collect_set("bit")).alias("on"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.element_at("on", -1))
+    return sets.select("key", F.array_join(F.transform(every, lambda i: F.array_contains(F.col("on"), i).cast("int").cast("string")), "").alias("text"))
+
+
+def get_bits(bits: DataFrame, probes: DataFrame) -> DataFrame:
+    """key, bit, is_set (1 or 0) of probes (R.GETBITS, R.GETBIT)."""
+    keys = ["key", "bit"]
+    found = probes.join(matching(bits, probes, keys).select(*keys, F.lit(1).alias("f")).distinct(), keys, "left")
+    return found.select(*keys, F.coalesce("f", F.lit(0)).alias("is_set"))
+
+
+def set_bits(bits: DataFrame, key: str, values: DataFrame) -> DataFrame:
+    """bits with the numbers of values (bit) as the whole set of a key (R.SETINTARRAY, R.SETBITARRAY)."""
+    return bits.filter(F.col("key") != key).unionByName(values.select(F.lit(key).alias("key"), "bit").distinct())
+
+
 def members_between(bits: DataFrame, start: int, stop: int) -> DataFrame:
     return bits.filter(F.col("bit").between(start, stop))
 

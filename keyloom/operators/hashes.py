@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import expire_gate, live, ttl
-from .state import delete, insert_absent, upsert
+from .state import delete, insert_absent, matching, upsert
 
 KEYS = ["key", "field"]
 
@@ -22,7 +22,7 @@ def hgetall(h: DataFrame) -> DataFrame:
 
 def hmget(h: DataFrame, probes: DataFrame) -> DataFrame:
     """key, field, value of probes (key, field): null for a miss."""
-    return probes.join(h.select(*KEYS, "value"), KEYS, "left").select(*KEYS, "value")
+    return probes.join(matching(h, probes, KEYS).select(*KEYS, "value"), KEYS, "left").select(*KEYS, "value")
 
 
 def hlen(h: DataFrame) -> DataFrame:
@@ -60,14 +60,14 @@ def hincrby(h: DataFrame, log: DataFrame) -> DataFrame:
 
 def hexpire(h: DataFrame, probes: DataFrame, at_ms: Column, now_ms: int, flag: str | None = None) -> DataFrame:
     """key, field, code: -2 no field, 0 the flag forbids, 2 deadline passed (deleted), 1 set."""
-    found = probes.join(h.select(*KEYS, "field_expire_at_ms", F.lit(True).alias("here")), KEYS, "left").withColumn("new", at_ms)
+    found = probes.join(matching(h, probes, KEYS).select(*KEYS, "field_expire_at_ms", F.lit(True).alias("here")), KEYS, "left").withColumn("new", at_ms)
     gate = expire_gate(F.col("field_expire_at_ms"), F.col("new"), flag)
     code = F.when(F.col("here").isNull(), -2).when(~gate, 0).when(F.col("new") <= now_ms, 2).otherwise(1)
     return found.select(*KEYS, code.alias("code"))
 
 
 def httl(h: DataFrame, probes: DataFrame, now_ms: int) -> DataFrame:
-    found = probes.join(h.select(*KEYS, "field_expire_at_ms", F.lit(True).alias("here")), KEYS, "left")
+    found = probes.join(matching(h, probes, KEYS).select(*KEYS, "field_expire_at_ms", F.lit(True).alias("here")), KEYS, "left")
     here, at = F.coalesce("here", F.lit(False)), F.col("field_expire_at_ms")
     return found.select(*KEYS, ttl(here, at, now_ms).alias("httl"), ttl(here, at, now_ms, False).alias("hpttl"))
 

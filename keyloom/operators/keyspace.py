@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import expire_gate, glob, ttl
-from .state import delete, insert_absent, upsert
+from .state import delete, insert_absent, matching, upsert
 
 
 def scan(keys: DataFrame, pattern: str = "*", kind: str | None = None, cursor: str | None = None, count: int | None = None) -> DataFrame:
@@ -28,12 +28,19 @@ def keyspace(**relations: DataFrame) -> DataFrame:
     return out
 
 
+def entries(df: DataFrame, first: str | None = None, count: int | None = None) -> DataFrame:
+    """A snapshot of keys or entries from a key on, in order where it stops early (visit_keys, visit_entries, key_snapshot,
+    entry_snapshot); toLocalIterator() visits it a partition at a time."""
+    out = df if first is None else df.filter(F.col("key") >= first)
+    return out if count is None else out.orderBy("key").limit(count)
+
+
 def dbsize(keys: DataFrame) -> DataFrame:
     return keys.agg(F.count("*").alias("size"))
 
 
 def types(keys: DataFrame, probes: DataFrame) -> DataFrame:
-    return probes.join(keys, "key", "left").select("ord", "key", F.coalesce("type", F.lit("none")).alias("type"))
+    return probes.join(matching(keys, probes, ["key"]), "key", "left").select("ord", "key", F.coalesce("type", F.lit("none")).alias("type"))
 
 
 def exists(keys: DataFrame, probes: DataFrame) -> DataFrame:
@@ -52,7 +59,7 @@ def randomkey(keys: DataFrame) -> DataFrame:
 
 def ttls(kv: DataFrame, probes: DataFrame, now_ms: int) -> DataFrame:
     """ord, key, ttl, pttl, expiretime, pexpiretime."""
-    found = probes.join(kv.select("key", "expire_at_ms", F.lit(True).alias("here")), "key", "left")
+    found = probes.join(matching(kv, probes, ["key"]).select("key", "expire_at_ms", F.lit(True).alias("here")), "key", "left")
     here, at = F.coalesce("here", F.lit(False)), F.col("expire_at_ms")
     absolute = lambda c: F.when(~here, F.lit(-2)).when(at.isNull(), F.lit(-1)).otherwise(c).cast("bigint")
     return found.select("ord", "key", ttl(here, at, now_ms).alias("ttl"), ttl(here, at, now_ms, False).alias("pttl"), absolute(F.floor(at / 1000)).alias("expiretime"), absolute(at).alias("pexpiretime"))

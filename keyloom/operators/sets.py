@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .state import delete
+from .state import delete, matching
 
 
 def scard(s: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def scard(s: DataFrame) -> DataFrame:
 
 def smismember(s: DataFrame, probes: DataFrame) -> DataFrame:
     """key, member, found (1 or 0) of probes."""
-    found = probes.join(s.select("key", "member", F.lit(1).alias("f")), ["key", "member"], "left")
+    found = probes.join(matching(s, probes, ["key", "member"]).select("key", "member", F.lit(1).alias("f")), ["key", "member"], "left")
     return found.select("key", "member", F.coalesce("f", F.lit(0)).alias("found"))
 
 

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .state import split_ranks
+
 
 # HyperLogLog (exact)
 def pfcount(members: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -112,12 +114,24 @@ def topk_query(items: DataFrame, k: int, probes: DataFrame) -> DataFrame:
     return probes.join(top, ["key", "item"], "left").select("key", "item", F.coalesce("f", F.lit(0)).alias("found"))
 
 
-# t-digest (exact). Ranks come from a window over distinct values with counts, so repeated values cost nothing.
+# t-digest (exact). Ranks are of distinct values with counts, so repeated values cost nothing, and a key with most of the
+# samples takes many tasks.
 def _ranked(samples: DataFrame) -> DataFrame:
     sums = samples.filter("value IS NOT NULL").groupBy("key", "value").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("key").orderBy("value")
-    upto = F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return sums.withColumn("hi", upto).withColumn("lo", upto - F.col("c")).withColumn("n", F.sum("c").over(Window.partitionBy("key")))
+    ranked = split_ranks(sums, ["key"], [F.col("value")], "c")
+    return ranked.select("key", "value", "c", "lo", (F.col("lo") + F.col("c")).alias("hi"), F.col("total").alias("n"))
+
+
+def tdigest_add(samples: DataFrame, delta: DataFrame) -> DataFrame:
+    """key, value with more samples (TDIGEST.ADD); values that are no numbers don't count."""
+    return samples.select("key", "value").unionByName(delta.select("key", F.col("value").try_cast("double").alias("value"))).filter("value IS NOT NULL")
+
+
+def tdigest_merge(samples: DataFrame, dst: str, keys: list[str], override: bool = False) -> DataFrame:
+    """key, value with the samples of keys added to dst's, or in their place."""
+    merged = samples.filter(F.col("key").isin(keys)).select(F.lit(dst).alias("key"), "value")
+    kept = samples.select("key", "value")
+    return (kept.filter(F.col("key") != dst) if override else kept).unionByName(merged)
 
 
 def quantiles(samples: DataFrame, qs: list[float]) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import staged
+
 
 def reduced(delta: DataFrame, keys: Sequence[str], order: str = "seq", first: bool = False) -> DataFrame:
     """One row for each key: the last (or first) by the order column, which goes; without such a column, as the rows
@@ -60,22 +62,41 @@ def recovery_fold(wal: DataFrame, snapshot_ms: int = 0) -> DataFrame:
     return out.select("key", F.col("w.value").alias("value"), deadline.alias("expire_at_ms"))
 
 
-def evict(entries: DataFrame, target_bytes: int, rank: Sequence[Column]) -> DataFrame:
-    """Entries (key, bytes, ...) that stay when the coldest by rank go until at most target_bytes are left.
+#: Lists of probes up to so many rows are given to all tasks; longer ones meet the table in a shuffle.
+PROBES = 100_000
 
-    Totals by rank prefix would need one task; here bytes are summed in ranges of the rank first, so a task holds
-    one range: the running total of ranges is over as many rows as there are shuffle partitions.
-    """
-    spark = entries.sparkSession
+
+def matching(table: DataFrame, probes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of a table that probes can find: a short list of probes, counted first, filters the table where it is
+    read, so only what it finds is exchanged."""
+    wanted = probes.select(*keys).distinct()
+    if wanted.limit(PROBES + 1).count() <= PROBES:
+        return table.join(F.broadcast(wanted), list(keys), "left_semi")
+    return table
+
+
+def split_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: str | None = None) -> DataFrame:
+    """df with lo, the sum of weights (or number) of the rows before a row within its key, and total, that of all of its key.
+    The rows are sorted in ranges of key and order together, so a hot key takes many tasks; totals of each range and key
+    are summed up apart. The ranges are written, as their bounds come from a sample."""
+    spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = entries.repartitionByRange(n, *rank).withColumn("_part", F.spark_partition_id())
-    totals = ranged.groupBy("_part").agg(F.sum("bytes").alias("_bytes"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    offsets = totals.select("_part", F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_offset"), F.sum("_bytes").over(every).alias("_total"))
-    run = F.sum("bytes").over(Window.partitionBy("_part").orderBy(*rank).rowsBetween(Window.unboundedPreceding, 0))
-    out = ranged.withColumn("_run", run).join(F.broadcast(offsets), "_part")
-    return out.filter(F.col("_run") + F.col("_offset") > F.col("_total") - target_bytes).select(*entries.columns)
+    part = df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id())
+    ranged = staged(part)
+    w = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    sums = ranged.groupBy(*keys, "_part").agg(F.sum(w).alias("_sum"))
+    whole = Window.partitionBy(*keys)
+    before = F.sum("_sum").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select(*keys, "_part", F.coalesce(before, F.lit(0)).alias("_offset"), F.sum("_sum").over(whole).alias("total"))
+    inside = F.sum(w).over(Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    out = ranged.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(offsets, [*keys, "_part"])
+    return out.select(*df.columns, (F.col("_inside") + F.col("_offset")).alias("lo"), "total")
+
+
+def evict(entries: DataFrame, target_bytes: int, rank: Sequence[Column]) -> DataFrame:
+    """Entries (key, bytes, ...) that stay when the coldest by rank go until at most target_bytes are left."""
+    rows = split_ranks(entries.withColumn("_all", F.lit(0)), ["_all"], rank, "bytes")
+    return rows.filter(F.col("lo") + F.col("bytes") > F.col("total") - target_bytes).select(*entries.columns)
 
 
 def evict_prefixes(entries: DataFrame, target_bytes: int) -> DataFrame:

@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import range_norm
-from .state import folded, insert_absent, reduced, upsert
+from .state import folded, insert_absent, matching, reduced, upsert
 
 
 def mget(kv: DataFrame, probes: DataFrame) -> DataFrame:
     """ord, key, value: null for a miss (GET of many; batch_get)."""
-    return probes.join(kv.select("key", "value"), "key", "left").select("ord", "key", "value")
+    return probes.join(matching(kv, probes, ["key"]).select("key", "value"), "key", "left").select("ord", "key", "value")
 
 
 def getrange(value: Column, start: int, stop: int) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.exprs import lex_bound, range_norm, score_bound
-from .state import folded
+from .state import folded, matching
 
 
 def _key() -> WindowSpec:
@@ -59,7 +59,7 @@ def zcard(z: DataFrame) -> DataFrame:
 
 
 def zmscore(z: DataFrame, probes: DataFrame) -> DataFrame:
-    return probes.join(z, ["key", "member"], "left").select("key", "member", "score")
+    return probes.join(matching(z, probes, ["key", "member"]), ["key", "member"], "left").select("key", "member", "score")
 
 
 def zpop(z: DataFrame, n: int, highest: bool = False) -> tuple[DataFrame, DataFrame]:

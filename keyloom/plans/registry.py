@@ -49,6 +49,8 @@ _probes = lambda c: values(c, "ord int, key string", *_PROBES)
 
 query("scan", lambda c: keyspace.scan(_KEYS(c), "cust:1*5", "string", "cust:1", 50), "kv h s z", _KEYS_SQL + "SELECT key, type FROM ks WHERE type = 'string' AND key > 'cust:1' AND key LIKE 'cust:1%5' AND length(key) >= 7 ORDER BY key LIMIT 50")
 query("keys_glob", lambda c: keyspace.scan(_KEYS(c), "cust:12*"), "kv h s z", _KEYS_SQL + "SELECT key, type FROM ks WHERE starts_with(key, 'cust:12')")
+query("entry_snapshot", lambda c: keyspace.entries(c.kv(NOW), "cust:3").select("key", "value", "expire_at_ms"), "kv", "SELECT key, value, expire_at_ms FROM kv WHERE key >= 'cust:3'")
+query("visit_keys", lambda c: keyspace.entries(c.kv(NOW).select("key"), count=40), "kv", "SELECT key FROM kv ORDER BY key LIMIT 40")
 query("dbsize", lambda c: keyspace.dbsize(_KEYS(c)), "kv h s z", _KEYS_SQL + "SELECT count(*) AS size FROM ks")
 query("type", lambda c: keyspace.types(keyspace.keyspace(string=c.kv(NOW)), _probes(c)), "kv", _PROBES_SQL + "SELECT ord, key, CASE WHEN key IN (SELECT key FROM kv) THEN 'string' ELSE 'none' END AS type FROM probes")
 query("exists", lambda c: keyspace.exists(c.kv(NOW), _probes(c)), "kv", _PROBES_SQL + "SELECT count(*) AS n FROM probes WHERE key IN (SELECT key FROM kv)")
@@ -131,6 +133,10 @@ query("bitfield_set", lambda c: c.kv(NOW).select("key", bitmaps.bitfield_set(C("
 for _op, _sql in (("AND", "SELECT bit FROM bits WHERE key = 'click' INTERSECT SELECT bit FROM bits WHERE key = 'view'"), ("OR", "SELECT bit FROM bits WHERE key IN ('click', 'view')  GROUP BY bit"), ("XOR", "SELECT bit FROM bits WHERE key IN ('click', 'view') GROUP BY bit HAVING count(*) = 1"), ("DIFF", "SELECT bit FROM bits WHERE key = 'click' EXCEPT SELECT bit FROM bits WHERE key = 'view'")):
     query(f"r_bitop_{_op.lower()}", lambda c, op=_op: bitmaps.combine(c.bits, op, ["click", "view"]), "bits", _sql)
 query("r_bitcount", lambda c: bitmaps.cardinality(c.bits), "bits", "SELECT key, count(*) AS n FROM bits GROUP BY key")
+query("r_getbitarray", lambda c: bitmaps.bit_array(c.bits), "bits", "SELECT k.key, string_agg(CASE WHEN b.bit IS NULL THEN '0' ELSE '1' END, '' ORDER BY g) AS text FROM (SELECT key, max(bit) AS top FROM bits GROUP BY key) k CROSS JOIN range(0, (SELECT max(bit) + 1 FROM bits)) AS t(g) LEFT JOIN bits b ON b.key = k.key AND b.bit = g WHERE g <= k.top GROUP BY k.key")
+query("r_getintarray", lambda c: c.bits.filter("key = 'click'").select("bit"), "bits", "SELECT bit FROM bits WHERE key = 'click'")
+query("r_getbits", lambda c: bitmaps.get_bits(c.bits, c.table("customer").select(F.lit("view").alias("key"), C("c_custkey").cast("bigint").alias("bit"))), "bits", "SELECT 'view' AS key, CAST(c_custkey AS BIGINT) AS bit, CASE WHEN bits.key IS NULL THEN 0 ELSE 1 END AS is_set FROM customer LEFT JOIN bits ON bits.key = 'view' AND bits.bit = c_custkey")
+query("r_setintarray", lambda c: bitmaps.set_bits(c.bits, "view", c.table("customer").select(C("c_nationkey").cast("bigint").alias("bit"))), "bits", "SELECT key, bit FROM bits WHERE key <> 'view' UNION ALL SELECT DISTINCT 'view', CAST(c_nationkey AS BIGINT) FROM customer")
 query("r_min_max", lambda c: bitmaps.edges(c.bits), "bits", "SELECT key, min(bit) AS least, max(bit) AS most FROM bits GROUP BY key")
 query("r_rangeintarray", lambda c: bitmaps.members_between(c.bits, 10, 40), "bits", "SELECT key, bit FROM bits WHERE bit BETWEEN 10 AND 40")
 query("r_bitpos_gap", lambda c: bitmaps.first_gap(c.bits), "bits", "SELECT k.key, (SELECT min(g) FROM (SELECT 0 AS g UNION ALL SELECT bit + 1 FROM bits b WHERE b.key = k.key) WHERE g NOT IN (SELECT bit FROM bits b WHERE b.key = k.key)) AS gap FROM (SELECT DISTINCT key FROM bits) k")
@@ -311,6 +317,8 @@ query("tdigest_ranks", lambda c: sketches.ranks(c.samples, 50.0), "samples", "SE
 query("tdigest_byrank", lambda c: sketches.by_rank(c.samples, 3), "sr", "SELECT key, value FROM sr WHERE rn = 3")
 query("tdigest_byrevrank", lambda c: sketches.by_rank(c.samples, 3, True), "sr", "SELECT key, value FROM sr WHERE rn = n - 4")
 query("tdigest_trimmed_mean", lambda c: sketches.trimmed_mean(c.samples, 0.1, 0.9).select("key", F.round("mean", 6).alias("mean")), "sr", "SELECT key, round(avg(value), 6) AS mean FROM sr WHERE rn BETWEEN floor((n - 1) * CAST(0.1 AS DOUBLE)) AND ceil((n - 1) * CAST(0.9 AS DOUBLE)) GROUP BY key")
+query("tdigest_add", lambda c: sketches.extremes(sketches.tdigest_add(c.samples, c.table("orders").select(F.lit("view").alias("key"), C("o_totalprice").alias("value")))), "samples", "SELECT key, min(value) AS least, max(value) AS most, count(value) AS nodes FROM (SELECT key, value FROM samples UNION ALL SELECT 'view', CAST(o_totalprice AS DOUBLE) FROM orders) GROUP BY key")
+query("tdigest_merge", lambda c: sketches.extremes(sketches.tdigest_merge(c.samples, "view", ["click", "error"], override=True)), "samples", "SELECT key, min(value) AS least, max(value) AS most, count(value) AS nodes FROM (SELECT key, value FROM samples WHERE key <> 'view' UNION ALL SELECT 'view', value FROM samples WHERE key IN ('click', 'error')) GROUP BY key")
 query("tdigest_min_max", lambda c: sketches.extremes(c.samples), "samples", "SELECT key, min(value) AS least, max(value) AS most, count(value) AS nodes FROM samples GROUP BY key")
 
 # JSON
@@ -422,6 +430,14 @@ def _reread(c: Catalog) -> DataFrame:
     return out
 
 
+def _offloaded(c: Catalog) -> DataFrame:
+    """Users' last event types, those that are old and long on a colder tier, probed with all users."""
+    path = f"{io.scratch(c.spark)}/cold"
+    entries = c.events.groupBy(C("user_id").cast("string").alias("key")).agg(F.max_by("event_type", "event_id").alias("value"), F.max("ms").alias("touch"))
+    return io.faulted(io.offload(entries, path, 1_706_000_000_000, 400_000_000, 5), path, c.table("customer").select(C("c_custkey").alias("ord"), C("c_custkey").cast("string").alias("key")))
+
+
+query("overflow_fault_in", _offloaded, "ev", ", e AS (SELECT CAST(user_id AS VARCHAR) AS key, max_by(event_type, event_id) AS value, max(ms) AS touch FROM ev GROUP BY 1) SELECT c_custkey AS ord, CAST(c_custkey AS VARCHAR) AS key, value, CASE WHEN value IS NOT NULL THEN CASE WHEN 1706000000000 - touch >= 400000000 AND strlen(value) >= 5 THEN 'offloaded' ELSE 'resident' END END AS tier FROM customer LEFT JOIN e ON e.key = CAST(c_custkey AS VARCHAR)")
 query("file_formats", _reread, "kv", "SELECT key, value, kind FROM kv CROSS JOIN (VALUES ('parquet'), ('orc'), ('csv'), ('json')) AS k(kind)")
 
 

@@ -21,6 +21,29 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/keyloom-io-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """df written to a scratch folder and read back: a partition's number, say, that must not change if it is computed
+    again. Plans that read such a table need no lineage above it."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def offload(entries: DataFrame, path: str, now_ms: int, idle_ms: int, min_bytes: int) -> DataFrame:
+    """entries (key, value, touch) that stay; those idle for so long and as large go to Parquet at a path (any store that
+    Spark writes to)."""
+    cold = (F.lit(now_ms) - F.col("touch") >= idle_ms) & (F.octet_length("value") >= min_bytes)
+    entries.filter(cold).write.mode("append").parquet(path)
+    return entries.filter(~F.coalesce(cold, F.lit(False)))
+
+
+def faulted(resident: DataFrame, path: str, probes: DataFrame) -> DataFrame:
+    """ord, key, value, tier of probes (ord, key): resident entries first, else what was offloaded."""
+    both = resident.select("key", "value", F.lit("resident").alias("tier")).unionByName(resident.sparkSession.read.schema(resident.schema).parquet(path).select("key", "value", F.lit("offloaded").alias("tier")))
+    found = both.join(probes.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max_by(F.struct("value", "tier"), "tier").alias("r"))
+    return probes.join(found, "key", "left").select("ord", "key", "r.value", "r.tier")
+
+
 WAL = T.StructType([T.StructField(n, t) for n, t in (("shard_id", T.IntegerType()), ("sequence", T.LongType()), ("timestamp_ms", T.LongType()), ("op", T.StringType()), ("key", T.StringType()), ("value", T.DoubleType()), ("expire_at_ms", T.LongType()))])
 
 
