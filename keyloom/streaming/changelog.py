@@ -21,7 +21,8 @@ def read_wal_stream(spark: SparkSession, path: str, files_per_trigger: int | Non
 def materialise(log: DataFrame, late: str = "1 hour") -> DataFrame:
     """key, value, expire_at_ms, live: each key's state after the micro-batches so far. A batch is sorted by time and
     sequence within its key; rows at or before what a key has applied are skipped, so a replay changes nothing. The state
-    of a key that a Del or its deadline ended goes once the watermark (`late` behind the newest time) is past that."""
+    of a key that a Del or its deadline ended goes once the watermark (`late` behind the newest time) is past that by
+    `late` again; the engine drops records that come behind the watermark."""
     wait = int(pd.Timedelta(late).total_seconds() * 1000)
 
     def apply(key: tuple[Any], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -35,3 +35,34 @@ def test_windows_and_counters(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.count()
+
+
+def test_a_restart_goes_on_where_the_last_run_ended(spark, tmp_path):
+    wal = Catalog(spark, SF).wal
+    read = lambda: changelog.read_wal_stream(spark, str(tmp_path / "wal"))
+    for part in (wal.filter("sequence < 500"), wal.filter("sequence >= 500")):
+        io.append_wal(part.coalesce(1), str(tmp_path / "wal"))
+        q = changelog.append(read(), str(tmp_path / "out"), str(tmp_path / "check"))
+        q.processAllAvailable()
+        q.stop()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == wal.count()
+
+
+def test_state_of_ended_keys_goes(spark, tmp_path):
+    schema = "shard_id int, sequence bigint, timestamp_ms bigint, op string, key string, value double, expire_at_ms bigint"
+    day = 86_400_000
+    batches = [
+        [(0, 1, 5, "Set", "a", 1.0, None), (0, 2, 5, "Set", "b", 2.0, 5_000), (0, 3, 5, "Set", "c", 3.0, None)], [(0, 4, 10, "Del", "a", None, None)],
+        [(0, 5, day, "Set", "d", 4.0, None)], [(0, 6, 2 * day, "Set", "d", 5.0, None)],
+    ]
+    (tmp_path / "wal").mkdir()
+    q = changelog.materialise(changelog.read_wal_stream(spark, str(tmp_path / "wal"))).writeStream.format("memory").queryName("ended").outputMode("update").start()
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "wal"))
+        q.processAllAvailable()
+    kept = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    q.stop()
+    last = {}
+    for r in spark.table("ended").collect():
+        last[r.key] = (r.value, r.live)
+    assert last == {"a": (None, False), "b": (2.0, False), "c": (3.0, True), "d": (5.0, True)} and kept == 2
