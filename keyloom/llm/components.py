@@ -1,8 +1,9 @@
 """Distributed connected components: least labels spread over links, with jumps to a label's own label.
 
 Nothing but one count a round comes to the driver. Each round is written to the shared folder, which cuts its
-lineage, and the round before is deleted then. Least labels combine on the map side; a hub's links meet in one join
-key, which adaptive execution splits, since the other side has one row for it.
+lineage, and the round before is deleted then. Least labels combine on the map side. Up to BROADCAST_NODES labels go to
+all tasks; beyond that a hub's links meet in one join key, which adaptive execution splits, since the other side has one
+row for it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import drop, stage_table
 
+#: Labels up to so many rows (two nodes each, some 100 bytes) are broadcast.
+BROADCAST_NODES = 100_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node reachable) for every node in links (a, b), whose type must have an order.
@@ -23,11 +27,12 @@ def components(links: DataFrame) -> DataFrame:
     both = stage_table(both, "links")
     table = stage_table(both.groupBy("node").agg(F.least(F.first("node"), F.min("other")).alias("component")), "labels")
     labels = table
+    few = F.broadcast if labels.count() <= BROADCAST_NODES else (lambda df: df)  # the number of nodes never changes
     while True:
         # The least label among the neighbours of a node and itself, then the label of that label.
-        near = both.join(labels.toDF("other", "label"), "other").groupBy("node").agg(F.min("label").alias("label"))
-        joined = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "label").alias("component"))
-        jumped = joined.join(labels.toDF("component", "further"), "component", "left")
+        near = both.join(few(labels.toDF("other", "label")), "other").groupBy("node").agg(F.min("label").alias("label"))
+        joined = labels.join(few(near), "node").select("node", F.col("component").alias("old"), F.least("component", "label").alias("component"))
+        jumped = joined.join(few(labels.toDF("component", "further")), "component", "left")
         step = jumped.select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component"))
         step = stage_table(step, "labels")
         changed = step.filter("old <> component").limit(1).count()

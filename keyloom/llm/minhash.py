@@ -211,16 +211,21 @@ def _blocks(placed: DataFrame) -> DataFrame:
 
 def _open_pairs(members: DataFrame, known: DataFrame, labels: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs (a, b) across components in buckets with more than one: their nodes meet in blocks, a block with itself
-    and with each other block of the bucket that another component has nodes in."""
+    and with each other block of the bucket that another component has nodes in. Most buckets are one block."""
     placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    placed = placed.join(mixed, "key").join(known.select("node", F.octet_length("parity").alias("bytes")), "node").select("key", "node", "component", "bytes")
-    rest = stage_table(_blocks(placed), "blocks")
-    others = rest.select("key", F.col("block").alias("other"), F.col("owner").alias("of")).distinct()
-    rest = rest.join(others, "key").filter("owner IS NULL OR of IS NULL OR owner <> of")
-    rest = rest.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component").join(known, "node")
-    rest = rest.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return rest.mapInArrow(_across(percent, forest), "a binary, b binary").distinct()
+    bucket = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("nodes"), F.sum("bytes").alias("size"))
+    wide = (F.col("nodes") > BLOCK) | (F.col("size") > BLOCK_BYTES)
+    mixed = bucket.filter("x <> y").select("key", wide.alias("wide"))
+    rest = stage_table(placed.join(mixed, "key").select("key", "node", "component", "bytes", "wide"), "mixed")
+    zero = F.lit(0).cast("bigint")
+    met = rest.filter("NOT wide").select("key", zero.alias("lo"), zero.alias("hi"), zero.alias("block"), "node", "component")
+    if rest.filter("wide").limit(1).count():
+        blocks = stage_table(_blocks(rest.filter("wide")), "blocks")
+        others = blocks.select("key", F.col("block").alias("other"), F.col("owner").alias("of")).distinct()
+        across = blocks.join(others, "key").filter("owner IS NULL OR of IS NULL OR owner <> of")
+        met = met.union(across.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component"))
+    met = met.join(known, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return met.mapInArrow(_across(percent, forest), "a binary, b binary").distinct()
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -237,8 +242,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame
     name = F.min(F.struct("doc_id", "text_hash")).alias("first")
     names = F.min(F.when(F.col("doc_id").isNotNull(), F.col("doc_id"))).alias("least")
     nodes = marks.filter("node IS NOT NULL").groupBy("node").agg(name, names, F.first("n").alias("n"))
-    keys = marks.filter("node IS NOT NULL").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    # A parity has less than 16 bits for each hash, and 1024 at least.
+    keys = marks.filter("node IS NOT NULL").dropDuplicates(["node"]).select("node", F.greatest(F.col("n") * 2, F.lit(128)).alias("bytes"), F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     members = stage_table(keys.join(shared, "key"), "members")
     alike = stage_table(members.select("node").distinct().join(nodes.select("node", "first"), "node").select("first.*"), "alike")
     sets = stage_table(_full_sets(docs, alike, alike.count(), k), "sets")
