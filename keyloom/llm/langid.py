@@ -256,13 +256,13 @@ def train(docs: DataFrame, per_language: int = 100, most_languages: int = 256) -
     labelled = docs.select(F.col("doc_id").alias("d"), F.col("text").cast("string").alias("t"), F.col("lang").cast("string").alias("l"))
     labelled = labelled.filter(~held_out(F.col("d")) & F.col("l").isNotNull() & F.col("t").isNotNull())
     draw = F.pmod(F.xxhash64("d", "t"), F.lit(1 << 30)) / float(1 << 30)
-    found = labelled.groupBy("l").agg(F.count("*").alias("n"), F.min_by("t", draw).alias("t")).orderBy(F.desc("n"), "l").limit(most_languages).collect()
+    labelled = labelled.withColumn("draw", draw)
+    found = labelled.groupBy("l").agg(F.count("*").alias("n"), F.min("draw").alias("least")).orderBy(F.desc("n"), "l").limit(most_languages).collect()
     if not found:
         return fit([])
-    share = F.element_at(F.create_map(*[F.lit(x) for r in found for x in (r.l, per_language / r.n)]), F.col("l"))
-    # A row that is repeated counts once, so repeats can't swell the sample; each language has its first draw.
-    drawn = {(r.t, r.l) for r in labelled.filter(draw < share).select("t", "l").distinct().collect()}
-    return fit(sorted(drawn | {(r.t, r.l) for r in found}))
+    # Each language has its first draw at least. A row that is repeated counts once, so repeats can't swell the sample.
+    share = F.element_at(F.create_map(*[F.lit(x) for r in found for x in (r.l, max(per_language / r.n, r.least))]), F.col("l"))
+    return fit(sorted({(r.t, r.l) for r in labelled.filter(F.col("draw") <= share).select("t", "l").distinct().collect()}))
 
 
 def identify(docs: DataFrame, model: Crf) -> DataFrame:
