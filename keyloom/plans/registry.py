@@ -499,5 +499,6 @@ query("eval_script", lambda c: scripting.evaluate(c.kv(NOW).select(F.array("key"
 
 # Event time (extensions)
 query("window_tumbling", lambda c: changelog.tumbling(c.table("events").withColumn("ts", C("ts").cast("timestamp_ntz")), "ts", "1 day", "0 seconds", "event_type").select(C("start").cast("date").alias("day"), "event_type", "n"), "", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+query("window_sliding", lambda c: changelog.sliding(c.table("events").withColumn("ts", C("ts").cast("timestamp_ntz")), "ts", "3 days", "1 day", "0 seconds", "event_type").select(C("start").cast("date").alias("day"), "event_type", "n", F.round("total", 4).alias("total")), "", "SELECT CAST(date_trunc('day', ts) - INTERVAL 1 DAY * k AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events CROSS JOIN range(3) AS t(k) GROUP BY 1, 2")
 query("window_sessions", lambda c: changelog.sessions(c.table("events").withColumn("ts", C("ts").cast("timestamp_ntz")), "ts", "6 hours", "0 seconds", "user_id").groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest")), "", """WITH o AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS b, event_id FROM events),
  g AS (SELECT user_id, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM o), n AS (SELECT user_id, s, count(*) AS n FROM g GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM n GROUP BY user_id""")

@@ -72,6 +72,12 @@ def tumbling(events: DataFrame, time: str, length: str, late: str, *by: str) ->
     return _watermarked(events, time, late).groupBy(w.alias("w"), *by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), *by, "n", "total")
 
 
+def sliding(events: DataFrame, time: str, length: str, step: str, late: str, *by: str) -> DataFrame:
+    """The same in windows that begin at every step: an event is in several."""
+    w = F.window(time, length, step)
+    return _watermarked(events, time, late).groupBy(w.alias("w"), *by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), *by, "n", "total")
+
+
 def sessions(events: DataFrame, time: str, gap: str, late: str, *by: str) -> DataFrame:
     w = F.session_window(time, gap)
     return _watermarked(events, time, late).groupBy(w.alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n")

@@ -174,6 +174,12 @@ def test_folds_against_a_model(spark):
         assert out[k] == v and [x for x in spent if x[0] == k] == sorted(want, key=str)
 
 
+def test_bounded_steps_in_doubles(spark):
+    log = rows(spark, "key string, seq bigint, delta double", ("a", 1, 0.5), ("a", 2, 2.0), ("a", 3, -4.0), ("b", 1, 9.0))
+    assert got(strings.increx(log, -1.0, 2.0, real=True)) == [("a", 1, 0.5, 0.5), ("a", 2, 2.0, 1.5), ("a", 3, -1.0, -3.0), ("b", 1, 2.0, 2.0)]
+    assert got(strings.increx(log, -1.0, 2.0, saturate=False, real=True)) == [("a", 1, 0.5, 0.5), ("a", 2, 0.5, 0.0), ("a", 3, 0.5, 0.0), ("b", 1, 0.0, 0.0)]
+
+
 def test_recovery(spark, tmp_path):
     log = rows(spark, "shard_id int, sequence bigint, timestamp_ms bigint, op string, key string, value double, expire_at_ms bigint", (0, 1, 9, "Set", "k", 1.0, None), (0, 2, 11, "Set", "k", 2.0, None), (0, 3, 12, "Expire", "k", None, 99), (0, 4, 13, "Del", "k", None, None), (1, 1, 14, "Expire", "none", None, 5), (1, 2, 15, "Set", "m", 3.0, 7), (1, 3, 16, "Expire", "m", None, 8))
     assert got(state.recovery_fold(log, 10)) == [("m", 3.0, 8)]
