@@ -71,6 +71,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             bands = [next(keys) if len(s) else None for s in sets]
             columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(node, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.record_batch(columns, names=["doc_id", "text_hash", "node", "n", "bands"])
+        sh.forget()
         give_back()
 
     text = F.col("text").cast("string")
@@ -183,6 +184,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, count: int, k: int) -> DataFr
             columns = [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
             columns += [pa.array([f(s) for s in sets], pa.binary()) for f in (sh.parity, np.ndarray.tobytes)]
             yield pa.record_batch(columns, names=["node", "n", "parity", "hashes"])
+        sh.forget()
         give_back()
 
     text = F.col("text").cast("string")
