@@ -299,6 +299,25 @@ def test_resampled_pcm_is_stored(docs, texts):
         assert out[i].startswith(f"{stored[i].codec} n={len(pcm)} ") and out[i].endswith(f"pcm16k={zlib.crc32(wide.astype('<i2').tobytes()):08x}")
 
 
+def test_stored_pcm_is_lossless_for_any_samples_and_small():
+    rng = np.random.default_rng(1)
+    anything = rng.integers(-32768, 32768, 3000).astype(np.int16)
+    few = rng.choice(np.array([-32768, -5, 0, 7, 32767], np.int16), 3000)
+    for times in (1, 2, 3):
+        for x in (anything, few, telephony.MULAW[few & 255].repeat(times), telephony.ALAW[few & 255], anything[:0], np.full(6, 32767, np.int16)):
+            x = x[: len(x) // times * times]
+            assert (telephony.unplanes(telephony.planes(x, times), times) == x).all()
+    payload = rng.integers(32, 127, 576 * 4, dtype=np.uint8).tobytes()
+    for codec in telephony.TAGS:
+        (pcm,) = telephony.expand([(codec, payload)])
+        wide = telephony.resample(pcm)
+        stored = telephony.planes(wide, 2)
+        assert (telephony.unplanes(stored, 2) == wide).all() and len(stored) < 0.55 * wide.nbytes
+        wide[1] ^= 1  # not what resample() gives
+        wide[-1] = 99
+        assert (telephony.unplanes(telephony.planes(wide, 2), 2) == wide).all()
+
+
 def test_media_of_repeated_and_long_texts(spark):
     long = "word and more " * 200_000
     df = spark.createDataFrame([(1, "same"), (1, "same"), (2, "same"), (None, None), (3, long)], "doc_id bigint, text string")
